@@ -46,10 +46,11 @@ class MergeTable:
         letters = byte_alphabet()
         self.first = [self.vocab[c] for c in letters]
         self.last = [self.vocab[c + self.suffix] for c in letters]
-        self.merges: dict[tuple[int, int], tuple[int, int]] = {}
-        for rank, pair in enumerate(model["merges"]):
+        #: left id << 20 | right id  ->  (rank + 1) << 20 | merged id
+        self.merges: dict[int, int] = {}
+        for rank, pair in enumerate(model["merges"], 1):
             a, b = pair.split(" ") if isinstance(pair, str) else pair
-            self.merges.setdefault((self.vocab[a], self.vocab[b]), (rank, self.vocab[a + b]))
+            self.merges.setdefault(self.vocab[a] << 20 | self.vocab[b], rank << 20 | self.vocab[a + b])
         self.special = {t["content"]: t["id"] for t in spec.get("added_tokens", [])}
         if any(t["normalized"] or t["lstrip"] or t["rstrip"] or t["single_word"] for t in spec.get("added_tokens", [])):
             raise ValueError(f"{path}: added tokens that strip or need normal text are not supported")
@@ -72,16 +73,18 @@ class MergeTable:
         plus the longest token, is sufficient.  Merges are visited from the last to the first, so
         every chain found so far consists of higher ranks.
         """
-        parts = {new: pair for pair, (_, new) in reversed(self.merges.items())}
+        low = (1 << 20) - 1
+        ranked = sorted((m >> 20, pair >> 20, pair & low, m & low) for pair, m in self.merges.items())
+        parts = {new: left for _, left, _, new in reversed(ranked)}
         size = {t: len(b) for t, b in self.token_bytes.items()}
         reach: dict[int, int] = {}
-        for (left, right), _ in sorted(self.merges.items(), key=lambda kv: -kv[1][0]):
+        for _, left, right, _ in reversed(ranked):
             far = size[left] + reach.get(left, 0)
             spine = right
             while spine is not None:
                 if reach.get(spine, 0) < far:
                     reach[spine] = far
-                spine = parts[spine][0] if spine in parts else None
+                spine = parts.get(spine)
         return max(reach.values(), default=0) + max(size.values())
 
     def symbols(self, raw: bytes) -> list[int]:
@@ -92,43 +95,71 @@ class MergeTable:
         return out
 
 
-def heap_merge(symbols: list[int], merges: dict[tuple[int, int], tuple[int, int]], count_only: bool = False):
+def heap_merge(symbols: list[int], merges: dict[int, int], count_only: bool = False):
     """Pop the lowest-rank adjacent pair until none is left.
 
     Returns the ids left over, or with ``count_only`` their number: the initial symbols minus the
-    merges made, without ever building the list of ids.
+    merges made, without ever building the list of ids.  ``merges``: see ``MergeTable``.  A heap
+    entry is one integer, the rank above the place; it is stale unless the pair that stands at its
+    place still has that rank.
     """
     n = len(symbols)
-    if n < 2:
-        return n if count_only else symbols
     get = merges.get
-    heap = [(m[0], i, m[1], a, b) for i, (a, b) in enumerate(zip(symbols, symbols[1:])) if (m := get((a, b)))]
+    heap, left = [], 0
+    for i, right in enumerate(symbols):
+        if i and (m := get(left << 20 | right)):
+            heap.append((m >> 20) << 32 | i - 1)
+        left = right
     if not heap:
         return n if count_only else symbols
     heapify(heap)
-    at = list(symbols)
-    after = list(range(1, n + 1))
-    before = list(range(-1, n - 1))
+    at = symbols + [-1]  # the sentinel is in no pair
+    after = list(range(1, n + 2))
+    before = list(range(-1, n))
     made = 0
     while heap:
-        _, i, new, a, b = heappop(heap)
+        item = heappop(heap)
+        i = item & 0xFFFFFFFF
+        left = at[i]
+        if left < 0:
+            continue
         j = after[i]
-        if at[i] != a or j >= n or at[j] != b:
-            continue  # one side has been merged since
+        m = get(left << 20 | at[j])
+        if m is None or m >> 20 != item >> 32:
+            continue
         made += 1
-        at[i] = new
-        at[j] = -1
+        new = m & 0xFFFFF
+        at[i], at[j] = new, -1
         k = after[i] = after[j]
-        if k < n:
-            before[k] = i
-            if m := get((new, at[k])):
-                heappush(heap, (m[0], i, m[1], new, at[k]))
+        before[k] = i
+        if m := get(new << 20 | at[k]):
+            heappush(heap, (m >> 20) << 32 | i)
         h = before[i]
-        if h >= 0 and (m := get((at[h], new))):
-            heappush(heap, (m[0], h, m[1], at[h], new))
+        if h >= 0 and (m := get(at[h] << 20 | new)):
+            heappush(heap, (m >> 20) << 32 | h)
     return n - made if count_only else [t for t in at if t >= 0]
 
 
+def scan_merge(symbols: list[int], merges: dict[int, int]) -> list[int]:
+    """The same by a scan for the lowest rank, which is faster for words of a few letters."""
+    if len(symbols) > 40:
+        return heap_merge(symbols, merges)
+    get, none = merges.get, 1 << 62
+    ranks = [get(a << 20 | b, none) for a, b in zip(symbols, symbols[1:])]
+    while ranks:
+        low = min(ranks)
+        if low == none:
+            break
+        i = ranks.index(low)
+        symbols[i] = low & 0xFFFFF
+        del symbols[i + 1], ranks[i]
+        if i:
+            ranks[i - 1] = get(symbols[i - 1] << 20 | symbols[i], none)
+        if i < len(ranks):
+            ranks[i] = get(symbols[i] << 20 | symbols[i + 1], none)
+    return symbols
+
+
 class StreamingWord:
     """Merges one word that arrives in pieces, keeping at most two windows of bytes."""
 
@@ -231,4 +262,8 @@ class WordPieces:
         return [text] if _NOT_SPACE.search(text) else text.split()
 
     def words(self, piece: str) -> list[str]:
+        if piece.isalpha():
+            return [piece]
+        if piece[:-1].isalpha() and piece[-1] in ".,;:!?":
+            return [piece[:-1], piece[-1]]
         return self.find(piece)

@@ -56,8 +56,8 @@ class StreamingEncoder:
         if pre["type"] != "ByteLevel" or pre["add_prefix_space"] or not pre["use_regex"] or table.spec["normalizer"]:
             raise ValueError(f"{path}: unknown pre-tokenizer")
         self.table, self.chunk = table, chunk
-        self.word = WordCache(self._word, 150_000)
-        self.spaced = WordCache(lambda p: self._cut(" " + p), 300_000)
+        self.word = WordCache(self._word, 400_000)
+        self.spaced = WordCache(lambda p: self._cut(" " + p), 400_000)
         self.reset()
 
     def reset(self) -> None:
@@ -70,6 +70,8 @@ class StreamingEncoder:
         return b"".join(map(pack, StreamingWord(t).push(raw, final=True)))
 
     def _cut(self, text: str) -> bytes:
+        if text[1:].isalpha() and (text[0] == " " or text[0].isalpha()):
+            return self.word[text]
         return b"".join(map(self.word.__getitem__, _FIND.findall(text)))
 
     def _whole(self, text: str) -> bytes:

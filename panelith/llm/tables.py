@@ -92,3 +92,15 @@ def batch(fields: dict) -> pa.RecordBatch:
 
 def texts_of(b: pa.RecordBatch, name: str = "text") -> list[str]:
     return [x or "" for x in b.column(b.schema.get_field_index(name)).to_pylist()]
+
+
+def slices(texts: list[str], most: int = 512, chars: int = 1 << 20):
+    """(from, to) of runs of texts that together have about ``chars`` characters."""
+    a = size = 0
+    for i, t in enumerate(texts):
+        size += len(t)
+        if size >= chars or i + 1 - a >= most:
+            yield a, i + 1
+            a, size = i + 1, 0
+    if a < len(texts):
+        yield a, len(texts)

@@ -21,18 +21,29 @@ from .tables import arrow_map, batch, texts_of
 
 
 class TokenCounter:
-    """Counts the tokens of texts for a word-level vocabulary file."""
+    """Counts the tokens of texts for a word-level vocabulary file.
 
-    def __init__(self, path: str):
+    ``merge``: another function of (symbols, merges) that returns the ids left over.
+    """
+
+    def __init__(self, path: str, merge=None):
         table = load_table(path)
         pre = WordPieces(table)
         merges, symbols = table.merges, table.symbols
-        word = WordCache(lambda w: heap_merge(symbols(w.encode()), merges, count_only=True), 200_000)
-        self._piece = WordCache(lambda p: sum(map(word.__getitem__, pre.words(p))), 400_000)
+
+        def count(piece: str) -> int:
+            words = pre.words(piece)
+            if len(words) == 1 and words[0] == piece:
+                raw = symbols(piece.encode())
+                return len(merge(raw, merges)) if merge else heap_merge(raw, merges, count_only=True)
+            return sum(map(known, words))
+
+        cache = WordCache(count, 800_000)
+        known = self._piece = cache.__getitem__
         self._pieces, self._special = pre.pieces, table.special
 
     def count(self, text: str) -> int:
-        total, look = 0, self._piece.__getitem__
+        total, look = 0, self._piece
         for part, special in split_special(text, self._special):
             total += sum(map(look, self._pieces(part))) + (special is not None)
         return total
