@@ -131,11 +131,11 @@ def nearest(vectors: DataFrame, k: int = 20, every: int = 20, dims: int = DIMS,
     out = None
     for query_ids, q in query_chunks(whole.where(F.col("id") % every == 0), width, "float64"):
         floor = np.full(len(q), -np.inf)
-        if len(prime_ids) > k:
+        if len(prime_ids) > 4 * k:  # well below the k-th score, so that every list fills up
             for a in range(0, len(q), 1024):
                 s = dots(q[a : a + 1024], prime_x)
                 s[query_ids[a : a + 1024][:, None] == prime_ids[None, :]] = -np.inf
-                floor[a : a + 1024] = np.partition(s, -k, axis=1)[:, -k] - 1e-9
+                floor[a : a + 1024] = np.partition(s, -4 * k, axis=1)[:, -4 * k]
         shared = spark.sparkContext.broadcast((query_ids, q, floor))
 
         def run(batches, shared=shared):

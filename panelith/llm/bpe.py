@@ -203,13 +203,13 @@ def load_table(path: str) -> MergeTable:
 class WordCache(dict):
     """Remembers what was worked out for short pieces of text, in bounded memory."""
 
-    def __init__(self, compute, entries: int = 300_000, longest: int = 48):
+    def __init__(self, compute, entries: int = 300_000, longest: int = 48, line_end: str | bytes = "\n"):
         super().__init__()
-        self.compute, self.entries, self.longest = compute, entries, longest
+        self.compute, self.entries, self.longest, self.line_end = compute, entries, longest, line_end
 
     def __missing__(self, key):
         value = self.compute(key)
-        if len(key) <= self.longest and "\n" not in key:
+        if len(key) <= self.longest and self.line_end not in key:
             if len(self) >= self.entries:
                 self.clear()
             self[key] = value

@@ -58,8 +58,8 @@ QUERIES = {f.__name__: f for f in (op1_quality_gam, op2_topk_blocks, op3_ann_pro
 
 _TOP_K = """
 WITH v AS (
-  SELECT vec_id, list_transform(embedding, x -> floor(64 * CAST(x AS DOUBLE))) AS x FROM embeddings
-  WHERE embedding IS NOT NULL AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0
+  SELECT vec_id, list_transform(embedding, lambda x: floor(64 * CAST(x AS DOUBLE))) AS x FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
 ), s AS (
   SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.x, c.x) AS BIGINT) AS score
   FROM v q JOIN v c ON c.vec_id <> q.vec_id WHERE q.vec_id % 20 = 0
@@ -78,7 +78,7 @@ WITH t AS (
 ), often AS (
   SELECT line FROM l GROUP BY line HAVING count(*) > 1
 ), a AS (
-  SELECT doc_id, i, line, len(list_filter(regexp_split_to_array(line, '[\x20\x09-\x0D]+'), w -> w <> '')) AS w
+  SELECT doc_id, i, line, len(list_filter(regexp_split_to_array(line, '[\x20\x09-\x0D]+'), lambda w: w <> '')) AS w
   FROM l SEMI JOIN often USING (line)
 ), b AS (
   SELECT *, i - row_number() OVER (PARTITION BY doc_id ORDER BY i) AS g FROM a
@@ -105,7 +105,7 @@ WITH t AS (
 
 _LINE_RUNS = LINE_RUNS_SQL.replace("{docs}", "documents") + """
 SELECT doc_id, coalesce(len(ls), 0) AS n_lines, coalesce(len(dead), 0) AS n_deleted,
-  sha256(CASE WHEN dead IS NULL THEN text ELSE array_to_string(list_filter(ls, (x, i) -> NOT list_contains(dead, i)), chr(10)) END) AS text_sha256
+  sha256(CASE WHEN dead IS NULL THEN text ELSE array_to_string(list_filter(ls, lambda x, i: NOT list_contains(dead, i)), chr(10)) END) AS text_sha256
 FROM t LEFT JOIN per USING (doc_id)
 """
 

@@ -140,10 +140,19 @@ class Framer:
             at += 16 + size
         for a in range(0, len(found), 512):
             part = found[a : a + 512]
-            for (at, payload, check), crc in zip(part, self.crc.many([p for _, p, _ in part])):
+            for (at, raw, check), crc in zip(part, self.crc.many([p for _, p, _ in part])):
                 if struct.unpack("<I", check)[0] != masked(crc):
                     raise ValueError(f"broken payload at byte {at}")
-                yield at, payload
+                yield at, raw
+
+
+def payload(doc_id: int | None, width: int, ids: bytes) -> bytes:
+    return _PAYLOAD.pack(doc_id or 0, doc_id is not None, width, len(ids) // width) + ids
+
+
+def unpack_payload(raw: bytes) -> tuple[int | None, np.ndarray]:
+    doc_id, known, width, n = _PAYLOAD.unpack_from(raw)
+    return doc_id if known else None, np.frombuffer(raw, f"<u{width}", n, _PAYLOAD.size)
 
 
 # ---- encoding ----------------------------------------------------------------------------------
@@ -189,10 +198,7 @@ def write_records(docs: DataFrame, folder: str, path: str, end_id: int, id_col:
         encoder, framer, end = WordEncoder(path, width), Framer(), end_id.to_bytes(width, "little")
 
         def run(b: pa.RecordBatch) -> pa.RecordBatch:
-            payloads = []
-            for i, text in zip(b.column(0).to_pylist(), texts_of(b)):
-                ids = encoder.encode(text) + end
-                payloads.append(_PAYLOAD.pack(i or 0, i is not None, width, len(ids) // width) + ids)
+            payloads = [payload(i, width, encoder.encode(text) + end) for i, text in zip(b.column(0).to_pylist(), texts_of(b))]
             blocks, block, n = [], [], 0
             for frame in framer.frames(payloads):
                 block.append(frame)
@@ -224,10 +230,10 @@ def read_records(spark: SparkSession, folder: str, with_ids: bool = False) -> Da
             cols: dict[str, list] = {k: [] for k in ("shard", "offset", "length", "id", "n_tokens", "first", "ids_crc32", "ids")}
             for shard, content in zip(b.column(0).to_pylist(), b.column(1)):
                 first = 0
-                for at, payload in framer.read(content.as_py()):
-                    i, known, width, n = _PAYLOAD.unpack_from(payload)
-                    ids = np.frombuffer(payload, f"<u{width}", n, _PAYLOAD.size)
-                    for k, v in (("shard", shard), ("offset", at), ("length", len(payload) + 16), ("id", i if known else None), ("n_tokens", n), ("first", first), ("ids_crc32", zlib.crc32(ids.astype("<u4").tobytes()))):
+                for at, raw in framer.read(content.as_py()):
+                    i, ids = unpack_payload(raw)
+                    n = len(ids)
+                    for k, v in (("shard", shard), ("offset", at), ("length", len(raw) + 16), ("id", i), ("n_tokens", n), ("first", first), ("ids_crc32", zlib.crc32(ids.astype("<u4").tobytes()))):
                         cols[k].append(v)
                     if with_ids:
                         cols["ids"].append(ids.tolist())

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from .vector_search import PRIMING, TopLists, best, build_segments, finite_vectors, grouped, matrix, query_chunks, rounds
 
 BLOCK = 128
-_LOWEST = np.iinfo(np.int64).min
+_LOWEST = np.iinfo(np.int64).min + 1  # its negative is still a number
 
 
 def exact_kind(q: np.ndarray, x: np.ndarray):

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from .tables import batch, stored
 
-SEGMENT, CHUNK_BYTES, PRIMING = 8192, 32 << 20, 4096
+SEGMENT, CHUNK_BYTES, PRIMING = 8192, 32 << 20, 1024
 
 
 def finite_vectors(df: DataFrame, id_col: str, vec_col: str) -> DataFrame:
