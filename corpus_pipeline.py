@@ -1,16 +1,60 @@
-"""A training-data pipeline over documents."""
+"""A training-data pipeline over documents: quality, line dedup, near-dedup, packing.
+
+Each stage takes (spark, docs, sf_dir), works on all rows its predecessor kept, and returns a
+DataFrame that is written as Parquet and read again as the next one's docs.  All but the last
+return the columns of documents.
+"""
+
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from panelith.llm import line_runs, pack_bins, quality_gam, simhash_vp
+from panelith.llm.tables import WORD_FILE, stored, table, tokenizer_path
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier rejects go.  Nulls and empty texts are scored like any text."""
+    return quality_gam.keep_good(docs, quality_gam.fit(docs, table(spark, sf_dir, "labels")))
+
+
+def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Later copies of repeated line runs go; so does a document that loses all its lines by it.
+
+    ``n_chars`` is counted anew where a text has changed.  A text that was null or empty before
+    stays as it is.
+    """
+    done = line_runs.delete_runs(docs)
+    done = done.where("lines_deleted = 0 or lines_deleted < lines_before")
+    if "n_chars" in docs.columns:
+        done = done.withColumn("n_chars", F.when(F.col("lines_deleted") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
+    return done.select(*docs.columns)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near duplicates the document with the smallest id stays.
+
+    Of rows that share that id, the one with the smallest hash of the text (and of equal rows one)
+    stays; of a group without any id, one row by the same rule.
+    """
+    return simhash_vp.keep_one(docs)
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Where every piece of every document lies: one row a piece."""
+    return pack_bins.pack_documents(docs, tokenizer_path(WORD_FILE))
+
 
-STAGES: list = []
+STAGES = [("quality", quality), ("line_dedup", line_dedup), ("near_dedup", near_dedup), ("packing", packing)]
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = stored(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)
 
 
+#: Scores, fingerprints and token counts are beyond SQL: see tests/llm/test_pipeline.py.
 ORACLE_SQL: str | None = None
