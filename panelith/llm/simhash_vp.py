@@ -35,8 +35,9 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .tables import arrow_map, batch, ensure_checkpoint_dir, texts_of
+from .tables import arrow_map, batch, ensure_checkpoint_dir, stored, texts_of
 
 #: Fingerprints sampled for the tree; residents a leaf aims at; most leaves a tree has levels for.
 SAMPLE, LEAF = 20_000, 12_000
@@ -253,14 +254,47 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     return edges.selectExpr("a as node", "b as root").unionByName(edges.selectExpr("b as node", "b as root").distinct())
 
 
+def classes_of(marked: DataFrame, reach: int, leaf: int) -> DataFrame:
+    """(fp, component_id) for all distinct fingerprints of marked (id, fp)."""
+    classes = marked.groupBy("fp").agg(F.min("id").alias("low")).checkpoint()
+    roots = components(links(classes, reach, leaf=leaf)).checkpoint()
+    lows = roots.join(classes, roots["node"] == classes["fp"]).groupBy("root").agg(F.min("low").alias("low")).checkpoint()
+    linked = roots.join(lows, "root").selectExpr("node as fp", "low as component_id", "root").checkpoint()
+    every = classes.join(linked, "fp", "left")
+    return every.select("fp", F.coalesce("component_id", "low").alias("component_id"), F.coalesce("root", "fp").alias("root")).checkpoint()
+
+
 def near_duplicates(docs: DataFrame, reach: int = 3, id_col: str = "doc_id", text_col: str = "text", leaf: int = LEAF) -> DataFrame:
     """Per document: id, fingerprint (16 hexadecimal digits), component_id (smallest id reachable)."""
     ensure_checkpoint_dir(docs.sparkSession)
     marked = fingerprints(docs, id_col, text_col).checkpoint()
-    classes = marked.groupBy("fp").agg(F.min("id").alias("low")).checkpoint()
-    edges = links(classes, reach, leaf=leaf)
-    roots = components(edges).checkpoint()
-    lows = roots.join(classes, roots["node"] == classes["fp"]).groupBy("root").agg(F.min("low").alias("low")).checkpoint()
-    linked = roots.join(lows, "root").selectExpr("node as fp", "low as component_id").checkpoint()
-    every = classes.join(linked, "fp", "left").select("fp", F.coalesce("component_id", "low").alias("component_id")).checkpoint()
+    every = classes_of(marked, reach, leaf)
     return marked.join(every, "fp").select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def keep_one(docs: DataFrame, reach: int = 3, id_col: str = "doc_id", text_col: str = "text", leaf: int = LEAF) -> DataFrame:
+    """docs, with its columns, without all but one document of each group of near duplicates.
+
+    The document with the smallest id stays; of rows with that id, or of a group without ids, the
+    one with the smallest hash of the text, and of rows equal in both the first as they lie.
+    """
+    ensure_checkpoint_dir(docs.sparkSession)
+
+    def run(batches):
+        for b in batches:
+            texts = texts_of(b, text_col)
+            fp = np.array([fingerprint(t) for t in texts], np.uint64).view(np.int64)
+            extra = {"__fp": fp, "__th": np.array([xxhash.xxh3_64_intdigest(t.encode()) >> 1 for t in texts], np.int64)}
+            yield pa.RecordBatch.from_arrays([*b.columns, *map(pa.array, extra.values())], names=[*b.schema.names, *extra])
+
+    # the rows are written once with a number, which so stays the same for all that follows
+    numbered = docs.withColumn("__row", F.monotonically_increasing_id())
+    schema = T.StructType([*numbered.schema.fields, T.StructField("__fp", T.LongType()), T.StructField("__th", T.LongType())])
+    marked = stored(numbered.mapInArrow(run, schema), "marked")
+    slim = marked.select(F.col(id_col).alias("id"), F.col("__fp").alias("fp"), "__th", "__row")
+    roots = classes_of(slim.select("id", "fp"), reach, leaf).select("fp", "root")
+    first = F.struct(F.col("id").isNull().alias("a"), "id", "__th", "__row")
+    # first within each fingerprint, before the hot ones could meet in a join
+    leads = slim.groupBy("fp").agg(F.min(first).alias("first")).checkpoint()
+    stay = leads.join(roots, "fp").groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.__row").alias("__row"))
+    return marked.join(stay, "__row", "left_semi").select(*docs.columns)
