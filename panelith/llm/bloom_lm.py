@@ -207,26 +207,22 @@ def train(docs: DataFrame, bits: int) -> DataFrame:
 class Group:
     """The segments of some buckets, laid end to end for lookups."""
 
-    def __init__(self, rows: list, bits: int):
-        rows = sorted(rows, key=lambda r: r["bucket"])
+    def __init__(self, rows, sizes: list[tuple[int, int, int]], bits: int):
+        """sizes: (bucket, words of its filter, words it counts), by bucket; rows in any order."""
         n = 1 << bits
-        self.bits, self.size, self.at = bits, np.zeros(n, np.int64), np.zeros(n, np.int64)
-        at = 0
-        for r in rows:
-            self.at[r["bucket"]], self.size[r["bucket"]] = at, len(r["filter"]) // 8
-            at += self.size[r["bucket"]]
+        self.bits, self.size, self.at, first = bits, np.zeros(n, np.int64), np.zeros(n, np.int64), {}
+        at = counted = 0
+        for b, filter_words, words in sizes:
+            self.at[b], self.size[b], first[b] = at, filter_words, counted
+            at, counted = at + filter_words, counted + words
         self.filter = np.empty(at, np.uint64)
-        n_words = sum(len(r["words"]) // 8 for r in rows)
-        self.words, self.counts = np.empty(n_words, np.uint64), np.empty(n_words, np.uint32)
-        a = 0
-        for r in rows:
+        self.words, self.counts = np.empty(counted, np.uint64), np.empty(counted, np.uint32)
+        for r in rows:  # one at a time: the driver holds the group once
             b = r["bucket"]
             self.filter[self.at[b] : self.at[b] + self.size[b]] = np.frombuffer(r["filter"], "<u8")
-            k = len(r["words"]) // 8
+            a, k = first[b], len(r["words"]) // 8
             self.words[a : a + k] = np.frombuffer(r["words"], "<u8")
             self.counts[a : a + k] = np.frombuffer(r["counts"], "<u4")
-            a += k
-            r.clear()
 
     def exact(self, keys: np.ndarray) -> np.ndarray:
         if not len(self.words):
@@ -270,8 +266,10 @@ def score(docs: DataFrame, segments: DataFrame, bits: int, max_broadcast_mb: int
     state = docs.select("id", "held_out", "text")
     for g, buckets in enumerate(groups):
         low, high = (buckets[0], buckets[-1]) if buckets else (0, -1)
-        rows = [r.asDict() for r in segments.where(F.col("bucket").between(low, high)).select("bucket", "filter", "words", "counts").toLocalIterator()]
-        shared = spark.sparkContext.broadcast(Group(rows, bits))
+        own = sizes[sizes["bucket"].between(low, high)]
+        shape = [(int(b), int(x - 12 * w) // 8, int(w)) for b, x, w in zip(own["bucket"], own["bytes"], own["distinct1"])]
+        rows = segments.where(F.col("bucket").between(low, high)).select("bucket", "filter", "words", "counts").toLocalIterator()
+        shared = spark.sparkContext.broadcast(Group(rows, shape, bits))
         first, last = g == 0, g == len(groups) - 1
 
         def make(shared=shared, first=first, last=last):
