@@ -39,8 +39,9 @@ from pyspark.sql import types as T
 
 from .tables import arrow_map, batch, ensure_checkpoint_dir, stored, texts_of
 
-#: Fingerprints sampled for the tree; residents a leaf aims at; most leaves a tree has levels for.
-SAMPLE, LEAF = 20_000, 12_000
+#: Fingerprints sampled for the tree; least and most residents that a leaf aims at, and how many
+#: leaves there are at least between the two.  Fewer, larger leaves have fewer visitors in all.
+SAMPLE, LEAST_LEAF, MOST_LEAF, LEAVES = 20_000, 1_000, 50_000, 32
 
 _LANES = np.uint64(0x0101010101010101)
 
@@ -205,9 +206,10 @@ def link_leaf(fps: np.ndarray, home: np.ndarray, reach: int, points: np.ndarray)
     return order[root[child]], order[child]
 
 
-def links(classes: DataFrame, reach: int = 3, sample: int = SAMPLE, leaf: int = LEAF) -> DataFrame:
+def links(classes: DataFrame, reach: int = 3, sample: int = SAMPLE, leaf: int | None = None) -> DataFrame:
     """Edges (a, b) between distinct fingerprints ``fp``: they span every group of linked ones."""
     n = classes.count()
+    leaf = leaf or min(MOST_LEAF, max(LEAST_LEAF, n // LEAVES))
     # a bounded sample only shapes the tree; the links are exact whatever it is
     rows = classes.orderBy(F.xxhash64("fp", F.lit(11))).limit(sample).toPandas()["fp"].to_numpy(np.int64).view(np.uint64)
     tree = build_tree(rows, -(-n // leaf)) if n else 0
@@ -254,7 +256,7 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     return edges.selectExpr("a as node", "b as root").unionByName(edges.selectExpr("b as node", "b as root").distinct())
 
 
-def classes_of(marked: DataFrame, reach: int, leaf: int) -> DataFrame:
+def classes_of(marked: DataFrame, reach: int, leaf: int | None) -> DataFrame:
     """(fp, component_id) for all distinct fingerprints of marked (id, fp)."""
     classes = marked.groupBy("fp").agg(F.min("id").alias("low")).checkpoint()
     roots = components(links(classes, reach, leaf=leaf)).checkpoint()
@@ -264,7 +266,7 @@ def classes_of(marked: DataFrame, reach: int, leaf: int) -> DataFrame:
     return every.select("fp", F.coalesce("component_id", "low").alias("component_id"), F.coalesce("root", "fp").alias("root")).checkpoint()
 
 
-def near_duplicates(docs: DataFrame, reach: int = 3, id_col: str = "doc_id", text_col: str = "text", leaf: int = LEAF) -> DataFrame:
+def near_duplicates(docs: DataFrame, reach: int = 3, id_col: str = "doc_id", text_col: str = "text", leaf: int | None = None) -> DataFrame:
     """Per document: id, fingerprint (16 hexadecimal digits), component_id (smallest id reachable)."""
     ensure_checkpoint_dir(docs.sparkSession)
     marked = fingerprints(docs, id_col, text_col).checkpoint()
@@ -272,7 +274,7 @@ def near_duplicates(docs: DataFrame, reach: int = 3, id_col: str = "doc_id", tex
     return marked.join(every, "fp").select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame, reach: int = 3, id_col: str = "doc_id", text_col: str = "text", leaf: int = LEAF) -> DataFrame:
+def keep_one(docs: DataFrame, reach: int = 3, id_col: str = "doc_id", text_col: str = "text", leaf: int | None = None) -> DataFrame:
     """docs, with its columns, without all but one document of each group of near duplicates.
 
     The document with the smallest id stays; of rows with that id, or of a group without ids, the
