@@ -63,23 +63,15 @@ def stored(df: DataFrame, what: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def drop_stored(spark: SparkSession, path: str) -> None:
-    """Removes a folder that an operator wrote, on whatever file system it is."""
-    jvm = spark._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
-
-
-def arrow_map(df: DataFrame, make, schema: str) -> DataFrame:
-    """``make()`` runs once a task and gives a function from one Arrow batch to another."""
+def arrow_map(df: DataFrame, make, schema: str, rows: int = 1024) -> DataFrame:
+    """``make()`` runs once a task and gives a function from one Arrow batch to another; it gets
+    at most ``rows`` rows at a time, which bounds the Python objects made of them."""
 
     def run(batches):
         f = make()
         for batch in batches:
-            if batch.num_rows:
-                out = f(batch)
-                if out is not None:
-                    yield out
+            for at in range(0, batch.num_rows, rows):
+                yield f(batch.slice(at, rows))
 
     return df.mapInArrow(run, schema)
 
