@@ -38,7 +38,7 @@ class TokenCounter:
                 return len(merge(raw, merges)) if merge else heap_merge(raw, merges, count_only=True)
             return sum(map(known, words))
 
-        cache = WordCache(count, 800_000)
+        cache = WordCache(count, 600_000)
         known = self._piece = cache.__getitem__
         self._pieces, self._special = pre.pieces, table.special
 
