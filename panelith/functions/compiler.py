@@ -113,9 +113,24 @@ class _Lowering:
             self.df = self.df.withColumns({n: backfilled(self.axis, F.col(n), w) for n, w in gaps.items()})
 
 
+#: A frame of w rows is added up anew for every row; from this window on, sums and means come from
+#: running totals (equal but for rounding in the last digits).
+LONG_WINDOW = 200
+
+
+def long_windows(node: Node) -> Node:
+    node = rebuild(node, tuple(map(long_windows, children(node)))) if children(node) else node
+    if isinstance(node, Call) and node.name in ("sma", "rolling_sum") and len(node.args) == 2:
+        w = fold(node.args[1])
+        if isinstance(w, Num) and w.value >= LONG_WINDOW:
+            total = Call("rolling_sum_of_totals", (Call("running_total", node.args[:1]), w))
+            return Binary("/", total, w) if node.name == "sma" else total
+    return node
+
+
 def compute(df: DataFrame, axis: Axis, wanted: dict[str, Node]) -> DataFrame:
     """df with a column for each formula; names that exist are replaced."""
-    low, nodes = _Lowering(df, axis), dict(wanted)
+    low, nodes = _Lowering(df, axis), {k: long_windows(v) for k, v in wanted.items()}
     while calls := low.ready(list(nodes.values())):
         low.layer(calls)
         nodes = {k: low.replaced(v) for k, v in nodes.items()}

@@ -177,6 +177,18 @@ def _rolling_sum(axis, x, w):
     return _rolled(axis, F.sum(_zero(x)).over(axis.trailing(w)), w)
 
 
+@register("running_total", "time", 1, "rolling")
+def _running_total(axis, x):
+    """The sum of all rows so far, missing ones as 0."""
+    return F.sum(_zero(x)).over(axis.rows().rowsBetween(Window.unboundedPreceding, 0))
+
+
+@register("rolling_sum_of_totals", "time", 1, "rolling", (20,))
+def _rolling_sum_of_totals(axis, x, w):
+    """The rolling sum from running totals: two rows are read whatever the window."""
+    return _rolled(axis, x - F.coalesce(F.lag(x, w).over(axis.rows()), F.lit(0.0)), w)
+
+
 @register("rolling_std", "time", 1, "rolling", (20,))
 def _rolling_std(axis, x, w):
     return _rolled(axis, F.stddev_pop(_zero(x)).over(axis.trailing(w)), w)
@@ -246,7 +258,7 @@ def _month_coord(axis, x):
 
 
 #: Functions whose first w - 1 outputs repeat the first full one.
-WARM = ("sma", "rolling_sum", "rolling_std", "moving_median", "moving_mode", "wma", "gain", "loss", "ema", "rma")
+WARM = ("sma", "rolling_sum", "rolling_sum_of_totals", "rolling_std", "moving_median", "moving_mode", "wma", "gain", "loss", "ema", "rma")
 
 
 def backfilled(axis: Axis, value: Column, w: int) -> Column:

@@ -102,6 +102,11 @@ class Panel:
     def rolling(self, window: int, columns: list[str] | None = None) -> Rolling:
         return Rolling(self, window, columns or self.numeric)
 
+    def cross_section(self, function: str, *parameters: float, columns: list[str] | None = None) -> Panel:
+        """A cross-sectional function of each numeric column, put in its place."""
+        wanted = {c: Call(function, (Data(c), *map(Num, parameters))) for c in columns or self.numeric}
+        return self.on(compute(self.df, self.axis, wanted).select(*self.df.columns))
+
     def mask(self, column: str) -> Column:
         return F.col(column).isNotNull()
 

@@ -18,7 +18,7 @@ from ..functions.dsl import Call, Data, parse
 from ..functions.kernels import AGGREGATES, Axis
 from ..functions.manager import FormulaManager, with_formula
 from ..operators import backtest, filters, joins, processors
-from ..operators.panel import Panel, from_table, truncated
+from ..operators.panel import Panel, from_table, sas_date, truncated
 from .models import ModelRunner, information_coefficient
 from .walkforward import SegmentConfig, WalkForwardRunner, make_plan, optimize_plan, window_counts
 
@@ -250,6 +250,51 @@ for _name, _build in AGGREGATES.items():
         query(f"agg_{_name}_{_by}", f"{_PA}, q AS (SELECT asset, time, x / 1000 AS x FROM pa), g AS (SELECT {_by}, {_DUCK[_name]} AS v FROM q GROUP BY 1) SELECT {_key}, {_r('v', digits=4)} FROM g")(_agg)
 
 
+for _name, _build in AGGREGATES.items():
+    query(f"agg_{_name}_all", f"{_PA}, q AS (SELECT x / 1000 AS x FROM pa) SELECT 'all' AS scope, {_r(_DUCK[_name], digits=3)} FROM q")(
+        lambda spark, d, build=_build: shown(pa(spark, d).df.withColumn("x", F.col("x") / 1000).agg(build("x").alias("value")).withColumn("scope", F.lit("all")), "value", keys=("scope",), digits=3)
+    )
+
+
+@query("distinct_times", f"{_PA}, t AS (SELECT DISTINCT time FROM pa) SELECT {_T} FROM t")
+def distinct_times(spark, d):
+    return shown(pa(spark, d).df.select("time").distinct(), keys=("time",))
+
+
+@query("ordinal", f"{_PA} SELECT asset, {_T}, rn - 1 AS n FROM pa")
+def ordinal(spark, d):
+    from pyspark.sql import Window
+
+    p = pa(spark, d)
+    return shown(p.df, keys=("asset", "time")).withColumn("n", (F.row_number().over(Window.partitionBy("asset").orderBy("time")) - 1).cast("bigint"))
+
+
+for _name, _sql in {"mean": "avg", "sum": "sum", "std": "stddev_pop", "median": "median"}.items():
+    _v = f"{_PA}, v AS (SELECT *, {_sql}(vol) OVER (PARTITION BY asset ORDER BY time ROWS 3 PRECEDING) AS v FROM pa)"
+    query(f"rolling_{_name}", f"{_v} SELECT asset, {_T}, {_r('CASE WHEN rn >= 4 THEN v ELSE max(CASE WHEN rn = 4 THEN v END) OVER (PARTITION BY asset) END', 'vol', 4)} FROM v")(
+        lambda spark, d, n=_name: shown(getattr(pa(spark, d).rolling(4, ["vol"]), n)().df, "vol", digits=4)
+    )
+
+
+@query("cs_all", f"{_PA} SELECT asset, {_T}, {_r(f'me - avg(me) {_S}', 'me', 3)}, {_r(f'vol - avg(vol) {_S}', 'vol', 3)} FROM pa")
+def cs_all(spark, d):
+    return shown(pa(spark, d).cross_section("cs_demean", columns=["me", "vol"]).df, "me", "vol", digits=3)
+
+
+@query("long_window", f"{_PB} SELECT asset, {_T}, {_r('CASE WHEN n >= 25 THEN CASE WHEN rn >= 25 THEN sum(x) OVER (PARTITION BY asset ORDER BY time ROWS 24 PRECEDING) ELSE f END END', digits=4)} FROM (SELECT *, sum(CASE WHEN rn <= 25 THEN x END) OVER (PARTITION BY asset) AS f FROM pb)")
+def long_window(spark, d):
+    p = pb(spark, d)
+    return shown(with_formula(p.df, "rolling_sum_of_totals(running_total($x), 25)", "value", p.axis), "value", digits=4)
+
+
+@query("fn_dates", """SELECT o_orderkey AS k, CAST(DATE '1960-01-01' + CAST(o_orderkey % 20000 AS INTEGER) AS VARCHAR) AS sas, CAST(last_day(make_date(year(o_orderdate), 12, 31) + INTERVAL 6 MONTH) AS VARCHAR) AS published,
+  CAST(year(o_orderdate) AS INT) AS y, CAST(month(o_orderdate) AS INT) AS m, CAST(day(o_orderdate) AS INT) AS d FROM orders""")
+def fn_dates(spark, d):
+    o = table(spark, d, "orders")
+    t = F.col("o_orderdate")
+    return o.select(F.col("o_orderkey").alias("k"), sas_date(F.col("o_orderkey") % 20000).cast("string").alias("sas"), joins.publication_date(F.year(t)).cast("date").cast("string").alias("published"), F.year(t).alias("y"), F.month(t).alias("m"), F.day(t).alias("d"))
+
+
 @query("zscore_asset", f"{_PA} SELECT asset, {_T}, {_r('(ret - avg(ret) OVER (PARTITION BY asset)) / (coalesce(stddev_pop(ret) OVER (PARTITION BY asset), 0) + 1e-8)', 'ret_csz', 5)} FROM pa")
 def zscore_asset(spark, d):
     return shown(processors.AssetZScore(["ret"]).transform(processors.View(pa(spark, d))).panel.df, "ret_csz", digits=5)

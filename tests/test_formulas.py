@@ -179,3 +179,12 @@ def test_weights():
         weights.custom(3, [1, 2])
     with pytest.raises(KeyError):
         weights.generator("os.system")
+
+
+def test_long_windows_use_running_totals(spark, monkeypatch):
+    from panelith.functions import compiler
+
+    df = series(spark, [i * 7 % 5 for i in range(30)])
+    want = out(with_formula(df, "sma($x, 8) + rolling_sum($x, 9)", "value"))
+    monkeypatch.setattr(compiler, "LONG_WINDOW", 8)
+    assert out(with_formula(df, "sma($x, 8) + rolling_sum($x, 9)", "value")) == pytest.approx(want)
