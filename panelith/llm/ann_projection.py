@@ -78,10 +78,20 @@ def lifted(x: np.ndarray, most: float) -> np.ndarray:
     return np.concatenate([x, rest[:, None]], axis=1)
 
 
+#: More than the rounding of a matrix product of unit-size numbers.
+SLACK = 1e-9
+
+
 def dots(q: np.ndarray, x: np.ndarray) -> np.ndarray:
     return q @ x.T
 
 
+def exact_dots(q: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """Row by row, always added in the same order: equal vectors get equal scores wherever they
+    lie, which a matrix product does not promise."""
+    return np.add.reduce(q * x, axis=1)
+
+
 def search_segment(ids, x, p, starts, query_ids, q, qp, q_norm, most, top: TopLists, factor: float) -> int:
     """Adds what the segment has to the lists; returns how many inner products it verified."""
     low, high = np.minimum.reduceat(p, starts), np.maximum.reduceat(p, starts)
@@ -102,9 +112,13 @@ def search_segment(ids, x, p, starts, query_ids, q, qp, q_norm, most, top: TopLi
             gap = qp[rows][:, None, :] - p[part][None, :, :]
             near = np.einsum("ijk,ijk->ij", gap, gap) <= radius(rows)[:, None]
             near &= query_ids[rows][:, None] != ids[part][None, :]
-            s = np.where(near, dots(q[rows], x[part]), -np.inf)
             verified += int(near.sum())
-            top.add(rows, s, ids[part])
+            rough = dots(q[rows], x[part])
+            i, j = np.nonzero(near & (rough >= (top.floor[rows] - SLACK * (1 + most * q_norm[rows]))[:, None]))
+            if len(i):
+                s = np.full(rough.shape, -np.inf)
+                s[i, j] = exact_dots(q[rows][i], x[part][j])
+                top.add(rows, s, ids[part])
     return verified
 
 
@@ -135,7 +149,7 @@ def nearest(vectors: DataFrame, k: int = 20, every: int = 20, dims: int = DIMS,
             for a in range(0, len(q), 1024):
                 s = dots(q[a : a + 1024], prime_x)
                 s[query_ids[a : a + 1024][:, None] == prime_ids[None, :]] = -np.inf
-                floor[a : a + 1024] = np.partition(s, -4 * k, axis=1)[:, -4 * k]
+                floor[a : a + 1024] = np.partition(s, -4 * k, axis=1)[:, -4 * k] - SLACK * (1 + most * np.linalg.norm(q[a : a + 1024], axis=1))
         shared = spark.sparkContext.broadcast((query_ids, q, floor))
 
         def run(batches, shared=shared):
