@@ -132,12 +132,26 @@ def expand_plan(plan: SegmentPlan, config: SegmentConfig, start: datetime | None
 
 def windows(panel: Panel, plan: SegmentPlan, part: str, closed: str = "both") -> DataFrame:
     """Panel rows by segment; a row is in every window that holds its time.  ``closed`` "left"
-    leaves a training window's last time out."""
+    leaves a training window's last time out.
+
+    Time is cut into slots of a quarter of the longest window; a row meets only the windows that
+    touch its slot, in an equi join, and the bounds are checked on those.
+    """
+    t, bounds = F.col(panel.time), [(getattr(s, f"{part}_start"), getattr(s, f"{part}_end")) for s in plan]
+    half_open = closed == "left" and part == "train"
+    if not bounds:
+        return panel.df.withColumn("segment", F.lit(None).cast("int")).limit(0)
     # a plan has a row a segment: it is small by construction, whatever the panel
-    table = F.broadcast(plan.table(panel.df.sparkSession).select("segment", F.col(f"{part}_start").alias("__a"), F.col(f"{part}_end").alias("__z")))
-    t = F.col(panel.time)
-    inside = (t >= F.col("__a")) & ((t < F.col("__z")) if closed == "left" and part == "train" else (t <= F.col("__z")))
-    return panel.df.join(table, inside).drop("__a", "__z")
+    width = max(TICK, max(z - a for a, z in bounds) / 4)
+    origin = min(a for a, _ in bounds)
+    slot = lambda x: (x - origin) // width
+    shifts = timedelta(days=1)  # a session's time zone may move a row's slot by some hours
+    rows = [(n, i, a, z) for i, (a, z) in enumerate(bounds) for n in range(slot(a - shifts), slot(z + shifts) + 1)]
+    table = F.broadcast(panel.df.sparkSession.createDataFrame(rows, "__slot long, segment int, __a timestamp_ntz, __z timestamp_ntz"))
+    micros = lambda c: F.unix_micros(c.cast("timestamp"))
+    mine = F.floor((micros(t) - micros(F.lit(origin).cast("timestamp_ntz"))) / F.lit(width // TICK)).cast("long")
+    inside = (t >= F.col("__a")) & ((t < F.col("__z")) if half_open else (t <= F.col("__z")))
+    return panel.df.withColumn("__slot", mine).join(table, "__slot").where(inside).drop("__slot", "__a", "__z")
 
 
 def window_counts(panel: Panel, plan: SegmentPlan) -> DataFrame:

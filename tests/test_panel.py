@@ -321,3 +321,19 @@ def test_streams(spark, tmp_path):
     got = [r.value for r in spark.table("ema_out").orderBy("time").collect()]
     assert got[2:] == pytest.approx(want[2:]) and got[:2] == [None, None]
     assert [(r.open, r.close, r.volume) for r in spark.table("bar_out").orderBy("time").collect()] == [(0, 4, 5), (5, 9, 5)]
+
+
+def test_windows_do_not_depend_on_the_time_zone(spark):
+    from panelith.plans.walkforward import windows
+
+    p = simulated(spark, 1, 24 * 400, 1, "hour", start="2020-01-01")
+    plan = make_plan(SegmentConfig(datetime(2020, 1, 1), datetime(2020, 12, 31), timedelta(days=20), timedelta(hours=30), timedelta(days=5)))
+    count = lambda: [r["count"] for r in windows(p, plan, "infer").groupBy("segment").count().orderBy("segment").collect()]
+    want = count()
+    assert set(want) == {30}
+    spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+    try:
+        assert count() == want
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+    assert windows(p, plan, "train", "left").where("segment = 0").count() == 480 and windows(p, plan, "train").where("segment = 0").count() == 481
