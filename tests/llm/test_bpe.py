@@ -107,3 +107,14 @@ def test_queries_on_odd_rows(spark, byte_lib, word_lib):
     assert sorted((r.doc_id or 0, r.n_bytes, r.over_limit) for r in got) == [(0, 0, False), (1, 3, False), (1, 3, False), (2, 0, False), (3, 24000, True)]
     assert {r.n_tokens for r in got if r.doc_id == 3} == {len(word_lib.encode("the end " * 3000, add_special_tokens=False).ids)}
     assert encode_documents(docs.limit(0), BYTE).count() == count_tokens(docs.limit(0), WORD).count() == 0
+
+
+def test_documents_equal_library(spark, byte_lib, word_lib):
+    from panelith.llm.records import WordEncoder
+
+    texts = [r.text or "" for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("text").collect()]
+    encoder, counter, words = StreamingEncoder(BYTE), TokenCounter(WORD), WordEncoder(WORD, 2)
+    for text in texts:
+        assert b"".join(encoder.encode(text)) == pack(byte_lib.encode(text, add_special_tokens=False).ids)
+        ids = word_lib.encode(text, add_special_tokens=False).ids
+        assert counter.count(text) == len(ids) and words.encode(text) == np.array(ids, "<u2").tobytes()
