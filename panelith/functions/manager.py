@@ -207,9 +207,14 @@ class FormulaManager:
                         out[f"{label}_lag{k}" if k >= 0 else f"{label}_lead{-k}"] = Call("shift", (node, Num(k)))
         return out
 
-    def evaluate(self, df: DataFrame, request: str | list | dict, axis: Axis | None = None, alias: dict[str, str] | None = None) -> DataFrame:
-        """df with the requested columns."""
-        return compute(df, axis or Axis(), self.trees(request, alias))
+    def evaluate(self, df: DataFrame, request: str | list | dict, axis: Axis | None = None, alias: dict[str, str] | None = None, dependencies: bool = False) -> DataFrame:
+        """df with the requested columns; with ``dependencies``, also those of the formulas that
+        they name, at their defaults (worked out once in any case)."""
+        wanted = self.trees(request, alias)
+        if dependencies:
+            names = [request] if isinstance(request, str) else list(request)
+            wanted = {**{n: self.tree(n, {}, alias) for n in self.order(names) if n not in names}, **wanted}
+        return compute(df, axis or Axis(), wanted)
 
     def evaluate_all(self, df: DataFrame, axis: Axis | None = None, alias: dict[str, str] | None = None) -> DataFrame:
         """Every formula whose columns are there."""

@@ -121,8 +121,8 @@ def test_manager_names_and_lags(spark):
     assert out(got, [c for c in got.columns if c.startswith("price_ret")][0])[2] == 2.0
 
 
-def test_manager_dependencies():
-    m = FormulaManager()
+def test_manager_dependencies(spark):
+    m, df = FormulaManager(), series(spark, range(1, 30), "price")
     assert m.dependencies("ts_combined") == {"ts_signal", "rsi"} and m.inputs("ts_combined") == {"price"}
     order = m.order(["ts_combined"])
     assert order.index("ts_momentum") < order.index("ts_signal") < order.index("ts_combined")
@@ -142,6 +142,7 @@ def test_manager_dependencies():
         m.tree("rsi", {"window": 1000})
     with pytest.raises(FormulaError):
         m.tree("rsi", {"window": "x"})
+    assert {"ts_momentum", "ts_signal", "rsi", "ts_combined"} <= set(m.evaluate(df, "ts_combined", dependencies=True).columns)
     assert len(m.list()) >= 43 and m.info("alma")["variables"] == ["price"]
 
 
