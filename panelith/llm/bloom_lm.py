@@ -59,7 +59,7 @@ class Tokens:
     """Hashes of the tokens of a batch of texts: each text's words, then one end."""
 
     def __init__(self):
-        self.hash = WordCache(xxhash.xxh3_64_intdigest, 400_000, line_end=b"\n")
+        self.hash = WordCache(xxhash.xxh3_64_intdigest, 250_000, line_end=b"\n")
 
     def __call__(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         parts, sizes = [], []
