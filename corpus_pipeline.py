@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelith.llm import line_runs, pack_bins, quality_gam, simhash_vp
+from panelith.llm import line_runs, near_copies, pack_bins, quality_gam
 from panelith.llm.tables import WORD_FILE, stored, table, tokenizer_path
 
 
@@ -35,10 +35,12 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near duplicates the document with the smallest id stays.
 
+    Near duplicates share five-word shingles to a Jaccard similarity of 0.8 or more; candidates
+    come from the fingerprints and the tree of op10, with a reach of their own.
     Of rows that share that id, the one with the smallest hash of the text (and of equal rows one)
     stays; of a group without any id, one row by the same rule.
     """
-    return simhash_vp.keep_one(docs)
+    return near_copies.keep_one(docs)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -63,21 +63,28 @@ def bit_counts(h: np.ndarray) -> np.ndarray:
 _POWERS = np.uint64(1) << np.arange(64, dtype=np.uint64)
 
 
-def fingerprint(text: str, n: int = 3) -> int:
+def shingle_hashes(text: str, n: int) -> np.ndarray:
+    """The hash of every n-word shingle, repeats included; a shorter text is one shingle."""
     words = text.encode().lower().split()  # ASCII case, ASCII white space
     if not words:
-        return 0
+        return np.empty(0, np.uint64)
     if len(words) <= n:
-        hashes = np.array([xxhash.xxh64_intdigest(b" ".join(words), 42)], np.uint64)
-    else:
-        line = b" ".join(words)
-        sizes = np.fromiter(map(len, words), np.int64, len(words))
-        ends = np.cumsum(sizes + 1) - 1
-        cut = [line[a:b] for a, b in zip((ends - sizes)[: 1 - n].tolist(), ends[n - 1 :].tolist())]
-        hashes = np.fromiter(map(xxhash.xxh64_intdigest, cut, repeat(42)), np.uint64, len(cut))
+        return np.array([xxhash.xxh64_intdigest(b" ".join(words), 42)], np.uint64)
+    line = b" ".join(words)
+    sizes = np.fromiter(map(len, words), np.int64, len(words))
+    ends = np.cumsum(sizes + 1) - 1
+    cut = [line[a:b] for a, b in zip((ends - sizes)[: 1 - n].tolist(), ends[n - 1 :].tolist())]
+    return np.fromiter(map(xxhash.xxh64_intdigest, cut, repeat(42)), np.uint64, len(cut))
+
+
+def majority(hashes: np.ndarray) -> int:
     return int(_POWERS[2 * bit_counts(hashes) > len(hashes)].sum(dtype=np.uint64))
 
 
+def fingerprint(text: str, n: int = 3) -> int:
+    return majority(shingle_hashes(text, n))
+
+
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id and fp (the fingerprint's 64 bits as a signed long)."""
 
