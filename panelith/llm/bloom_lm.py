@@ -151,7 +151,7 @@ def _segment(pdf: pd.DataFrame) -> pd.DataFrame:
         keys, counts = keys[first], np.add.reduceat(weight, first) if len(first) else weight
         stats[kind] = (len(keys), int(counts.sum()), int((counts == 1).sum()))
         if kind == 1:
-            exact = (keys.astype("<u8").tobytes(), np.minimum(counts, 0xFFFFFFFF).astype("<u4").tobytes())
+            exact = (keys.astype("<u8").tobytes(), counts.astype("<i8").tobytes())
             keys = tag(keys, 0, 1)
         else:
             keys = keys | np.uint64(2 << 40)
@@ -216,19 +216,19 @@ class Group:
             self.at[b], self.size[b], first[b] = at, filter_words, counted
             at, counted = at + filter_words, counted + words
         self.filter = np.empty(at, np.uint64)
-        self.words, self.counts = np.empty(counted, np.uint64), np.empty(counted, np.uint32)
+        self.words, self.counts = np.empty(counted, np.uint64), np.empty(counted, np.int64)
         for r in rows:  # one at a time: the driver holds the group once
             b = r["bucket"]
             self.filter[self.at[b] : self.at[b] + self.size[b]] = np.frombuffer(r["filter"], "<u8")
             a, k = first[b], len(r["words"]) // 8
             self.words[a : a + k] = np.frombuffer(r["words"], "<u8")
-            self.counts[a : a + k] = np.frombuffer(r["counts"], "<u4")
+            self.counts[a : a + k] = np.frombuffer(r["counts"], "<i8")
 
     def exact(self, keys: np.ndarray) -> np.ndarray:
         if not len(self.words):
-            return np.zeros(len(keys), np.uint32)
+            return np.zeros(len(keys), np.int64)
         at = np.minimum(np.searchsorted(self.words, keys), len(self.words) - 1)
-        return np.where(self.words[at] == keys, self.counts[at], 0).astype(np.uint32)
+        return np.where(self.words[at] == keys, self.counts[at], 0)
 
     def level(self, keys: np.ndarray, kind: int) -> np.ndarray:
         """Levels by repeated membership probes; 0 for buckets of other groups."""
@@ -267,7 +267,7 @@ def score(docs: DataFrame, segments: DataFrame, bits: int, max_broadcast_mb: int
     for g, buckets in enumerate(groups):
         low, high = (buckets[0], buckets[-1]) if buckets else (0, -1)
         own = sizes[sizes["bucket"].between(low, high)]
-        shape = [(int(b), int(x - 12 * w) // 8, int(w)) for b, x, w in zip(own["bucket"], own["bytes"], own["distinct1"])]
+        shape = [(int(b), int(x - 16 * w) // 8, int(w)) for b, x, w in zip(own["bucket"], own["bytes"], own["distinct1"])]
         rows = segments.where(F.col("bucket").between(low, high)).select("bucket", "filter", "words", "counts").toLocalIterator()
         shared = spark.sparkContext.broadcast(Group(rows, shape, bits))
         first, last = g == 0, g == len(groups) - 1
@@ -284,14 +284,14 @@ def score(docs: DataFrame, segments: DataFrame, bits: int, max_broadcast_mb: int
                     t, lengths = tokens(texts[a:z])
                     c, hl, pl = _look_up(model, t)
                     if not first:
-                        old = np.frombuffer(b"".join(before[a:z]), np.uint8).reshape(-1, 6)
-                        c = c + np.ascontiguousarray(old[:, :4]).view("<u4").ravel()
-                        hl, pl = np.maximum(hl, old[:, 4]), np.maximum(pl, old[:, 5])
+                        old = np.frombuffer(b"".join(before[a:z]), np.uint8).reshape(-1, 10)
+                        c = c + np.ascontiguousarray(old[:, :8]).view("<i8").ravel()
+                        hl, pl = np.maximum(hl, old[:, 8]), np.maximum(pl, old[:, 9])
                     ends = np.cumsum(lengths)
                     if not last:
-                        packed = np.empty((len(t), 6), np.uint8)
-                        packed[:, :4] = np.ascontiguousarray(c.astype("<u4")).view(np.uint8).reshape(-1, 4)
-                        packed[:, 4], packed[:, 5] = hl, pl
+                        packed = np.empty((len(t), 10), np.uint8)
+                        packed[:, :8] = np.ascontiguousarray(c.astype("<i8")).view(np.uint8).reshape(-1, 8)
+                        packed[:, 8], packed[:, 9] = hl, pl
                         cols["state"] += [packed[e - k : e].tobytes() for e, k in zip(ends.tolist(), lengths.tolist())]
                         continue
                     starts = ends - lengths
