@@ -8,6 +8,9 @@ parameter; nothing is trained or copied.  Two ways to apply the merge list are h
 * ``StreamingWord``: the same result from a window of constant size.  The merge list has a
   *sufficient lookahead*: bytes further away than that cannot change a token any more, so tokens
   that end early enough are emitted and forgotten (``MergeTable.lookahead``).
+
+``Merger`` does what ``heap_merge`` does for many windows at once: every round merges the lowest
+pair of every window.
 """
 
 from __future__ import annotations
@@ -17,7 +20,9 @@ import re
 import unicodedata
 from functools import cached_property, lru_cache
 from heapq import heapify, heappop, heappush
+from itertools import chain
 
+import numpy as np
 import regex
 
 #: The pre-tokenizer pattern of the byte-level vocabulary.
@@ -140,24 +145,107 @@ def heap_merge(symbols: list[int], merges: dict[int, int], count_only: bool = Fa
     return n - made if count_only else [t for t in at if t >= 0]
 
 
-def scan_merge(symbols: list[int], merges: dict[int, int]) -> list[int]:
-    """The same by a scan for the lowest rank, which is faster for words of a few letters."""
-    if len(symbols) > 40:
-        return heap_merge(symbols, merges)
-    get, none = merges.get, 1 << 62
-    ranks = [get(a << 20 | b, none) for a, b in zip(symbols, symbols[1:])]
-    while ranks:
-        low = min(ranks)
-        if low == none:
-            break
-        i = ranks.index(low)
-        symbols[i] = low & 0xFFFFF
-        del symbols[i + 1], ranks[i]
-        if i:
-            ranks[i - 1] = get(symbols[i - 1] << 20 | symbols[i], none)
-        if i < len(ranks):
-            ranks[i] = get(symbols[i] << 20 | symbols[i + 1], none)
-    return symbols
+class Merger:
+    """Merges many short byte strings at once, each as ``heap_merge`` would.
+
+    The strings are rows of a matrix of symbols, like lengths together; in a round the leftmost
+    pair of the lowest rank is merged in every row that has one.  Ranks are looked up in an open
+    hash table of pairs.
+    """
+
+    LONGEST, ROWS, _NONE = 64, 8192, np.int32((1 << 31) - 1)
+
+    def __init__(self, table: MergeTable):
+        self.table = table
+        self.first, self.last = np.array(table.first, np.int32), np.array(table.last, np.int32)
+        bits = max(4, (4 * len(table.merges)).bit_length())
+        self.shift, self.mask = np.uint64(64 - bits), (1 << bits) - 1
+        self.keys, self.values = np.full(1 << bits, -1, np.int64), np.full(1 << bits, self._NONE, np.int32)
+        pairs, values = np.array(list(table.merges), np.int64), np.array(list(table.merges.values()), np.int64)
+        self.merged = np.zeros(int((values >> 20).max(initial=0)) + 1, np.int32)  # by rank
+        self.merged[values >> 20] = values & 0xFFFFF
+        ranks, at = (values >> 20).astype(np.int32), self._slot(pairs)
+        while len(pairs):
+            self.keys[at] = np.where(self.keys[at] < 0, pairs, self.keys[at])
+            done = self.keys[at] == pairs
+            self.values[at[done]] = ranks[done]
+            pairs, ranks, at = pairs[~done], ranks[~done], (at[~done] + 1) & self.mask
+
+    def _slot(self, pairs: np.ndarray) -> np.ndarray:
+        with np.errstate(over="ignore"):
+            return ((pairs.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> self.shift).astype(np.int64)
+
+    def _ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """Ranks of pairs; ids below 0 are in none."""
+        pairs = left.astype(np.int64) << 20 | right
+        pairs = np.where((left < 0) | (right < 0), np.int64(-2), pairs)
+        at = self._slot(pairs)
+        found = self.keys[at]
+        out = np.where(found == pairs, self.values[at], self._NONE)
+        open_ = np.nonzero((found != pairs) & (found >= 0) & (pairs >= 0))
+        while len(open_[0]):
+            some, at_some = pairs[open_], (at[open_] + 1) & self.mask
+            found = self.keys[at_some]
+            hit = found == some
+            at[open_] = at_some
+            out[tuple(x[hit] for x in open_)] = self.values[at_some[hit]]
+            open_ = tuple(x[~hit & (found >= 0)] for x in open_)
+        return out
+
+    def rows(self, data: np.ndarray, starts: np.ndarray, sizes: np.ndarray):
+        """Merges the words data[start : start + size]; yields (numbers of words, matrix of their
+        ids, -1 behind the last) as rows are done."""
+        order = np.argsort(sizes, kind="stable")
+        order = order[sizes[order] > 0]
+        for a in range(0, len(order), self.ROWS):
+            row = order[a : a + self.ROWS]
+            size = sizes[row]
+            cols = np.arange(int(size[-1]))
+            inside = cols < size[:, None]
+            at = np.where(inside, starts[row][:, None] + cols, 0)
+            s = np.where(inside, self.first[data[at]], np.int32(-1))
+            s[np.arange(len(row)), size - 1] = self.last[data[starts[row] + size - 1]]
+            r = self._ranks(s[:, :-1], s[:, 1:])
+            while s.shape[1] > 1:
+                i = r.argmin(axis=1)
+                v = r[np.arange(len(row)), i]
+                more = v < self._NONE
+                if not more.all():
+                    yield row[~more], s[~more]
+                    row, s, r, i, v = row[more], s[more], r[more], i[more], v[more]
+                    if not len(row):
+                        break
+                every, n = np.arange(len(row)), s.shape[1]
+                s = np.take_along_axis(s, cols[: n - 1] + (cols[: n - 1] > i[:, None]), 1)
+                s[every, i] = self.merged[v]
+                r = np.take_along_axis(r, cols[: n - 2] + (cols[: n - 2] >= i[:, None]), 1)
+                k = np.flatnonzero(i > 0)
+                r[k, i[k] - 1] = self._ranks(s[k, i[k] - 1], s[k, i[k]])
+                k = np.flatnonzero(i < n - 2)
+                r[k, i[k]] = self._ranks(s[k, i[k]], s[k, i[k] + 1])
+            if len(row):
+                yield row, s
+
+    def packed(self, words: list[bytes], kind: str) -> list[bytes]:
+        """The ids of each word as integers of type ``kind`` (such as "<u4")."""
+        out = [b""] * len(words)
+        short = [i for i, w in enumerate(words) if len(w) <= self.LONGEST]
+        sizes = np.fromiter((len(words[i]) for i in short), np.int64, len(short))
+        for row, s in self.rows(np.frombuffer(b"".join(words[i] for i in short), np.uint8), np.cumsum(sizes) - sizes, sizes):
+            there = s >= 0
+            raw, width = s[there].astype(kind).tobytes(), np.dtype(kind).itemsize
+            ends = (np.cumsum(there.sum(axis=1)) * width).tolist()
+            for i, a, z in zip(row.tolist(), [0, *ends], ends):
+                out[short[i]] = raw[a:z]
+        if len(short) < len(words):
+            t = self.table
+            for i, w in enumerate(words):
+                if len(w) > self.LONGEST:
+                    out[i] = np.array(heap_merge(t.symbols(w), t.merges), kind).tobytes()
+        return out
+
+    def counts(self, words: list[bytes]) -> list[int]:
+        return [len(x) // 4 for x in self.packed(words, "<u4")]
 
 
 class StreamingWord:
@@ -200,6 +288,44 @@ def load_table(path: str) -> MergeTable:
     return MergeTable(path)
 
 
+class Known:
+    """Packed ids of pieces of text: what a batch has new is merged at once, and the pieces are
+    remembered in bounded memory.
+
+    ``words`` cuts a piece into the words that no merge crosses.
+    """
+
+    def __init__(self, merger: Merger, kind: str, words, entries: int = 400_000, longest: int = 48):
+        self.merger, self.kind, self.words, self.entries, self.longest = merger, kind, words, entries, longest
+        self.pieces: dict[str, bytes] = {}
+        self.ids: dict[str, bytes] = {}
+
+    def ids_of(self, pieces: list[str]) -> list[bytes]:
+        """The ids of each piece."""
+        out = list(map(self.pieces.get, pieces))
+        at = [i for i, x in enumerate(out) if x is None]
+        if at:
+            fresh = self._merged(list(dict.fromkeys(map(pieces.__getitem__, at))))
+            for i in at:
+                out[i] = fresh[pieces[i]]
+            if len(self.pieces) > self.entries:
+                self.pieces.clear()
+            self.pieces.update((p, x) for p, x in fresh.items() if len(p) <= self.longest)
+        return out
+
+    def _merged(self, new: list[str]) -> dict[str, bytes]:
+        ids, cut = self.ids, list(map(self.words, new))
+        if len(ids) > self.entries:
+            ids.clear()
+        unknown = [w for w in dict.fromkeys(chain.from_iterable(cut)) if w not in ids]
+        ids.update(zip(unknown, self.merger.packed([w.encode() for w in unknown], self.kind)))
+        fresh = {p: ids[x[0]] if len(x) == 1 else b"".join(map(ids.__getitem__, x)) for p, x in zip(new, cut)}
+        for w in unknown:
+            if len(w) > self.longest:
+                del ids[w]
+        return fresh
+
+
 class WordCache(dict):
     """Remembers what was worked out for short pieces of text, in bounded memory."""
 
@@ -230,8 +356,19 @@ def split_special(text: str, special: dict[str, int]):
 
 
 #: Str.lower() has a final form of sigma, which the file's rule has not; the other
-#: two letters got their small forms in Unicode 16.
-_LOWER = {"Σ": "σ", "\ua7cb": "\u0264", "\ua7dc": "\u019b"}
+#: letters got their small forms in Unicode 16 and later.
+LOWER = {0x3A3: 0x3C3, 0x1C89: 0x1C8A, 0xA7CB: 0x264, 0xA7CC: 0xA7CD, 0xA7CE: 0xA7CF, 0xA7D2: 0xA7D3, 0xA7D4: 0xA7D5, 0xA7DA: 0xA7DB, 0xA7DC: 0x19B}
+LOWER |= {c: c + 0x20 for c in range(0x10D50, 0x10D66)} | {c: c + 0x1B for c in range(0x16EA0, 0x16EB9)}
+_CAPITALS = re.compile(f"[{''.join(map(chr, LOWER))}]")
+
+
+def normal(text: str) -> str:
+    """NFC and lower case."""
+    if text.isascii():
+        return text.lower()
+    text = unicodedata.normalize("NFC", text)
+    return (text.translate(LOWER) if _CAPITALS.search(text) else text).lower()
+
 
 #: Control characters that str.split() takes for white space although Unicode does not.
 _NOT_SPACE = re.compile("[\x1c-\x1f]")
@@ -254,11 +391,7 @@ class WordPieces:
         self.find = regex.compile(split["pattern"]["Regex"]).findall
 
     def pieces(self, text: str) -> list[str]:
-        text = unicodedata.normalize("NFC", text)
-        for capital, small in _LOWER.items():
-            if capital in text:
-                text = text.replace(capital, small)
-        text = text.lower()
+        text = normal(text)
         return [text] if _NOT_SPACE.search(text) else text.split()
 
     def words(self, piece: str) -> list[str]:

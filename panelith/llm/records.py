@@ -3,14 +3,18 @@
 Layout of a record file (little-endian, the framing of public record formats):
 
     frame    u64 length | u32 masked CRC-32C of the length | payload | u32 masked CRC-32C of it
-    payload  i64 document id | u8 1 if there is an id | u8 bytes an id (2 or 4) | u32 ids | ids
+    block    a frame that opens it | frames of records | a frame of length 0 that closes it
+    opening  u8 0 | u64 offset of the block in its file | u64 ids before it in its file
+    record   u8 1 | i64 document id | u8 1 if there is an id | u8 bytes an id (2 or 4) | u32 ids | ids
 
-A frame of length 0 closes every block of frames; readers skip it.  Files are dealt out by
-ranges of the id, so part numbers follow the id and each file is sorted; the index (Parquet:
-shard, offset, length, id, n_tokens, first) lets a shuffled reader seek to single records.
+Files are dealt out by ranges of the id, so part numbers follow the id and each file is sorted.
+The index (Parquet: shard, offset, length, id, n_tokens, first, ids_crc32) lets a shuffled reader
+seek to single records; it comes from one pass that reads the files back and checks every sum.
 
-Spark's own text writer puts the blocks on disk (its "line separator" is the closing frame), so
-files go through the commit protocol to any file system, and a lost executor costs a task.
+Spark's own text writer puts the blocks on disk, and its text reader cuts files of any size at the
+closing frames (its "line separator"), so files go through the commit protocol to any file system,
+are read in splits, and a lost executor costs a task.  A record whose ids happen to hold the bytes
+of a closing frame is written with 4 bytes an id, which cannot.
 
 The ids are shuffled as text before they are encoded, so that the range bounds are sampled from
 the scan and not from encoded rows.  Copies of one row are spread by their place in the input.
@@ -24,19 +28,18 @@ from __future__ import annotations
 
 import struct
 import zlib
-from array import array
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .bpe import WordCache, WordPieces, load_table, scan_merge, split_special
 from .tables import arrow_map, batch, shared_folder, texts_of
+from .word_ids import width_of, word_encoder
 
-_HEAD, _PAYLOAD = struct.Struct("<Q"), struct.Struct("<qBBI")
-#: Bytes of text a file, bytes a block.
-FILE_BYTES, BLOCK_BYTES = 24 << 20, 1 << 20
+_HEAD, _RECORD, _OPENING = struct.Struct("<Q"), struct.Struct("<BqBBI"), struct.Struct("<BQQ")
+#: Least and most bytes of text a file (between the two, some files a core), bytes a block.
+FILE_BYTES, BLOCK_BYTES = (24 << 20, 256 << 20), 1 << 20
 
 
 # ---- checksums ---------------------------------------------------------------------------------
@@ -128,9 +131,8 @@ class Framer:
     def frames(self, payloads: list[bytes]) -> list[bytes]:
         return [self.head(len(p)) + p + struct.pack("<I", masked(c)) for p, c in zip(payloads, self.crc.many(payloads))]
 
-    def read(self, data: bytes, verify: bool = True):
-        """(offset, payload) of each record; raises where a checksum is wrong.  Without ``verify``
-        only the lengths' checksums are looked at."""
+    def read(self, data: bytes):
+        """(offset, payload) of each frame that is not empty; raises where a checksum is wrong."""
         at, end, found = 0, len(data), []
         while at < end:
             (size,) = _HEAD.unpack_from(data, at)
@@ -139,9 +141,6 @@ class Framer:
             if size:
                 found.append((at, data[at + 12 : at + 12 + size], data[at + 12 + size : at + 16 + size]))
             at += 16 + size
-        if not verify:
-            yield from ((at, raw) for at, raw, _ in found)
-            return
         for a in range(0, len(found), 512):
             part = found[a : a + 512]
             for (at, raw, check), crc in zip(part, self.crc.many([p for _, p, _ in part])):
@@ -150,84 +149,84 @@ class Framer:
                 yield at, raw
 
 
-def payload(doc_id: int | None, width: int, ids: bytes) -> bytes:
-    return _PAYLOAD.pack(doc_id or 0, doc_id is not None, width, len(ids) // width) + ids
-
-
-def unpack_payload(raw: bytes) -> tuple[int | None, np.ndarray]:
-    doc_id, known, width, n = _PAYLOAD.unpack_from(raw)
-    return doc_id if known else None, np.frombuffer(raw, f"<u{width}", n, _PAYLOAD.size)
+def closing() -> bytes:
+    """The empty frame that ends a block."""
+    return Framer().frames([b""])[0]
 
 
-# ---- encoding ----------------------------------------------------------------------------------
-
+def payload(doc_id: int | None, width: int, ids: bytes) -> bytes:
+    return _RECORD.pack(1, doc_id or 0, doc_id is not None, width, len(ids) // width) + ids
 
-class WordEncoder:
-    """Ids of texts for a word-level vocabulary file, as packed little-endian integers."""
 
-    def __init__(self, path: str, width: int):
-        table = load_table(path)
-        pre = WordPieces(table)
-        merges, symbols, code = table.merges, table.symbols, {2: "H", 4: "I"}[width]
+def unpack_payload(raw: bytes) -> tuple[int | None, np.ndarray]:
+    _, doc_id, known, width, n = _RECORD.unpack_from(raw)
+    return doc_id if known else None, np.frombuffer(raw, f"<u{width}", n, _RECORD.size)
 
-        def encode(piece: str) -> bytes:
-            words = pre.words(piece)
-            if len(words) == 1 and words[0] == piece:
-                return array(code, scan_merge(symbols(piece.encode()), merges)).tobytes()
-            return b"".join(map(known, words))
 
-        cache = WordCache(encode, 500_000)
-        known = self._piece = cache.__getitem__
-        self._pieces, self._special, self._width = pre.pieces, table.special, width
+def unpack_opening(raw: bytes) -> tuple[int, int]:
+    """Offset of the block in its file, ids before it."""
+    return _OPENING.unpack(raw)[1:]
 
-    def encode(self, text: str) -> bytes:
-        out = []
-        for part, special in split_special(text, self._special):
-            out.extend(map(self._piece, self._pieces(part)))
-            if special is not None:
-                out.append(special.to_bytes(self._width, "little"))
-        return b"".join(out)
 
+class Blocks:
+    """The blocks of one file, in order."""
 
-def write_records(docs: DataFrame, folder: str, path: str, end_id: int, id_col: str = "doc_id", text_col: str = "text", file_bytes: int = FILE_BYTES) -> DataFrame:
-    """Encodes docs into ``folder``/records and writes ``folder``/index; returns the index."""
+    def __init__(self):
+        self.framer, self.end = Framer(), closing()
+        self.frames, self.size, self.ids = [], 0, 0
+        self.offset = self.before = 0  # of the block that is being filled
+
+    def add(self, doc_id: int | None, width: int, ids: bytes, frame: bytes) -> bytes | None:
+        if self.end in frame:
+            frame = self.framer.frames([payload(doc_id, 4, np.frombuffer(ids, f"<u{width}").astype("<u4").tobytes())])[0]
+        self.frames.append(frame)
+        self.size += len(frame)
+        self.ids += len(ids) // width
+        return self.cut() if self.size >= BLOCK_BYTES else None
+
+    def cut(self) -> bytes:
+        block = b"".join([*self.framer.frames([_OPENING.pack(0, self.offset, self.before)]), *self.frames])
+        self.offset += len(block) + len(self.end)
+        self.before += self.ids
+        self.frames, self.size, self.ids = [], 0, 0
+        return block
+
+
+def write_records(docs: DataFrame, folder: str, path: str, end_id: int, id_col: str = "doc_id", text_col: str = "text", file_bytes: int | None = None) -> DataFrame:
+    """Encodes docs into ``folder``/records, reads them back and writes ``folder``/index; returns
+    the index."""
     spark = docs.sparkSession
     slim = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     size = slim.agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)) + 16)).first()[0] or 0
-    files = max(1, -(-size // file_bytes))
+    least, most = FILE_BYTES
+    files = max(1, -(-size // (file_bytes or min(most, max(least, size // (3 * spark.sparkContext.defaultParallelism))))))
     ranged = slim.withColumns({"h": F.xxhash64("text"), "r": F.monotonically_increasing_id()}).repartitionByRange(int(files), "id", "h", "r").sortWithinPartitions("id", "h")
 
-    def make():
-        width = 2 if max(load_table(path).size, end_id + 1) <= 1 << 16 else 4
-        encoder, framer, end = WordEncoder(path, width), Framer(), end_id.to_bytes(width, "little")
-
-        def run(b: pa.RecordBatch) -> pa.RecordBatch:
-            payloads = [payload(i, width, encoder.encode(text) + end) for i, text in zip(b.column(0).to_pylist(), texts_of(b))]
-            blocks, block, n = [], [], 0
-            for frame in framer.frames(payloads):
-                block.append(frame)
-                n += len(frame)
-                if n >= BLOCK_BYTES:
-                    blocks.append(b"".join(block))
-                    block, n = [], 0
-            if block:
-                blocks.append(b"".join(block))
-            return batch({"value": (blocks, pa.binary())})
-
-        return run
-
-    blocks = arrow_map(ranged.select("id", "text"), make, "value binary")
-    closing = (Framer().head(0) + struct.pack("<I", masked(Crc32c().small(b"")))).decode("latin-1")
-    blocks.select(F.col("value").cast("string")).write.option("lineSep", closing).option("encoding", "ISO-8859-1").text(f"{folder}/records")
-    read_records(spark, folder, verify=False).drop("ids_crc32").write.parquet(f"{folder}/index")
+    def run(batches):
+        width = width_of(path, end_id)
+        encoder, blocks, end = word_encoder(path, width), Blocks(), end_id.to_bytes(width, "little")
+        for b in batches:
+            for at in range(0, b.num_rows, 512):
+                part = b.slice(at, 512)
+                docs, ids = part.column(0).to_pylist(), [x + end for x in encoder.encode(texts_of(part))]
+                done = []
+                for doc, x, frame in zip(docs, ids, blocks.framer.frames([payload(i, width, x) for i, x in zip(docs, ids)])):
+                    if block := blocks.add(doc, width, x, frame):
+                        done.append(block)
+                yield batch({"value": (done, pa.binary())})
+        if blocks.frames:
+            yield batch({"value": ([blocks.cut()], pa.binary())})
+
+    out = ranged.select("id", "text").mapInArrow(run, "value binary").select(F.col("value").cast("string"))
+    # one file a task: offsets count from the task's first block
+    out.write.options(lineSep=closing().decode("latin-1"), encoding="ISO-8859-1", maxRecordsPerFile=0).text(f"{folder}/records")
+    read_records(spark, folder).write.parquet(f"{folder}/index")
     return spark.read.parquet(f"{folder}/index")
 
 
-def read_records(spark: SparkSession, folder: str, with_ids: bool = False, verify: bool = True) -> DataFrame:
+def read_records(spark: SparkSession, folder: str, with_ids: bool = False) -> DataFrame:
     """One row a record: shard, offset, length, id, n_tokens, first (ids before it in its file),
-    ids_crc32 (of the ids as 32-bit integers) and, if asked for, the ids.
-
-    Checks every checksum; without ``verify`` only those of the lengths, and ids_crc32 is null.
+    ids_crc32 (of the ids as 32-bit integers) and, if asked for, the ids.  Checks every checksum.
     """
 
     def make():
@@ -236,11 +235,14 @@ def read_records(spark: SparkSession, folder: str, with_ids: bool = False, verif
         def run(b: pa.RecordBatch) -> pa.RecordBatch:
             cols: dict[str, list] = {k: [] for k in ("shard", "offset", "length", "id", "n_tokens", "first", "ids_crc32", "ids")}
             for shard, content in zip(b.column(0).to_pylist(), b.column(1)):
-                first = 0
-                for at, raw in framer.read(content.as_py(), verify):
+                base = first = None
+                for at, raw in framer.read(content.as_py()):
+                    if raw[0] == 0:
+                        base, first = unpack_opening(raw)
+                        continue
                     i, ids = unpack_payload(raw)
                     n = len(ids)
-                    for k, v in (("shard", shard), ("offset", at), ("length", len(raw) + 16), ("id", i), ("n_tokens", n), ("first", first), ("ids_crc32", zlib.crc32(ids.astype("<u4").tobytes()) if verify else None)):
+                    for k, v in (("shard", shard), ("offset", base + at), ("length", len(raw) + 16), ("id", i), ("n_tokens", n), ("first", first), ("ids_crc32", zlib.crc32(ids.astype("<u4").tobytes()))):
                         cols[k].append(v)
                     if with_ids:
                         cols["ids"].append(ids.tolist())
@@ -250,8 +252,9 @@ def read_records(spark: SparkSession, folder: str, with_ids: bool = False, verif
 
         return run
 
-    files = spark.read.format("binaryFile").load(f"{folder}/records").select(F.regexp_extract("path", r"part-(\d+)[^/]*$", 1).cast("int").alias("shard"), "content")
-    return arrow_map(files, make, "shard int, offset long, length long, id long, n_tokens long, first long, ids_crc32 long" + ", ids array<long>" * with_ids)
+    blocks = spark.read.options(lineSep=closing().decode("latin-1"), encoding="ISO-8859-1").text(f"{folder}/records")
+    blocks = blocks.select(F.regexp_extract(F.col("_metadata.file_name"), r"part-(\d+)", 1).cast("int").alias("shard"), F.col("value").cast("binary").alias("block"))
+    return arrow_map(blocks, make, "shard int, offset long, length long, id long, n_tokens long, first long, ids_crc32 long" + ", ids array<long>" * with_ids, rows=16)
 
 
 def with_starts(records: DataFrame, index: DataFrame) -> DataFrame:
@@ -265,8 +268,7 @@ def with_starts(records: DataFrame, index: DataFrame) -> DataFrame:
 
 
 def record_digest(docs: DataFrame, path: str, end_id: int = 2, folder: str | None = None) -> DataFrame:
-    """Writes docs as records and returns what is read back from the files."""
-    spark = docs.sparkSession
-    folder = folder or shared_folder(spark, "records")
+    """Writes docs as records and returns what was read back from the files."""
+    folder = folder or shared_folder(docs.sparkSession, "records")
     index = write_records(docs, folder, path, end_id)
-    return with_starts(read_records(spark, folder), index).select(F.col("id").alias("doc_id"), "start", "n_tokens", "ids_crc32")
+    return with_starts(index, index).select(F.col("id").alias("doc_id"), "start", "n_tokens", "ids_crc32")

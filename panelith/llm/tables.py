@@ -76,6 +76,30 @@ def arrow_map(df: DataFrame, make, schema: str, rows: int = 1024) -> DataFrame:
     return df.mapInArrow(run, schema)
 
 
+#: Keys that hold more than a 1/HOT of all rows count as hot: there are fewer than HOT of them.
+HOT = 1000
+
+
+def join_hot(rows: DataFrame, keyed: DataFrame, keys: list[str], count: str, total: int) -> DataFrame:
+    """Inner join of ``rows`` with ``keyed`` (one row a key, with the number of rows that have it in
+    column ``count``, which is dropped), where some keys may hold a large share of all rows.
+
+    Hot keys are fewer than ``HOT``, so they are broadcast and their rows stay where they are; the
+    others are shuffled as usual.
+    """
+    is_hot = F.col(count) * HOT > total
+    hot = keyed.where(is_hot).limit(HOT)  # the limit never cuts: it states the bound
+    few = F.broadcast(hot.drop(count))
+    rest = rows.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(keyed.where(~is_hot).drop(count), keys)
+    return rows.join(few, keys).unionByName(rest)
+
+
+def free_names(df: DataFrame, *stems: str) -> list[str]:
+    """Column names that df does not have (whatever their case)."""
+    taken = {c.lower() for c in df.columns}
+    return [next(n for k in range(len(taken) + 1) if (n := f"{stem}_{k}") not in taken) for stem in stems]
+
+
 def batch(fields: dict) -> pa.RecordBatch:
     """A batch from {name: (values, Arrow type)}."""
     arrays = [v if isinstance(v, (pa.Array, pa.ChunkedArray)) else pa.array(v, t) for v, t in fields.values()]
