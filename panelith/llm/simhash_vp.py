@@ -7,10 +7,10 @@ Links.  Only distinct fingerprints are compared, so exact copies cost nothing.
 tree over a bounded sample of fingerprints (``SAMPLE``) parts the space by Hamming distance to a
 vantage point, inside or outside its median.  Every fingerprint lives in one leaf; it also visits
 the leaves to the right of its own that its ball of radius 3 may reach, by the triangle bound on
-the way down.  A leaf compares residents with residents and visitors; inside it, rows are sorted
-by distance to two more vantage points and only rings within the radius meet.  A leaf emits a
-spanning forest of its links and never the pairs themselves, so a group of n near copies costs
-n rows.
+the way down.  A leaf is worked off in tiles of at most ``TILE`` residents and ``TILE`` residents
+or visitors, however many rows it has; inside a tile, rows are sorted by distance to two more
+vantage points and only rings within the radius meet.  A tile emits a spanning forest of its links
+and never the pairs themselves, so a group of n near copies costs n rows.
 
 Components.  Forest edges are contracted by large-star / small-star rounds on DataFrames; each
 round is written to the shared folder.  Nothing but counts comes to the driver.
@@ -21,8 +21,9 @@ fingerprints, and the tree takes away a constant factor (see the README for figu
 
 Nulls and empty texts have no words: fingerprint zero, linked like any other.  A null id belongs
 to its component but is never its smallest id; alone it has a null component.  Very long texts:
-memory follows the longest text.  Repeated rows each get their class's component.  Empty tables:
-an empty result.  Extra columns are not read.
+memory follows the longest text.  Repeated rows each get their class's component; a fingerprint
+that many rows share is joined without a shuffle of these rows.  Empty tables: an empty result.
+Extra columns are not read.
 """
 
 from __future__ import annotations
@@ -35,13 +36,14 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from .tables import arrow_map, batch, ensure_checkpoint_dir, stored, texts_of
+from .tables import arrow_map, batch, ensure_checkpoint_dir, join_hot, texts_of
 
 #: Fingerprints sampled for the tree; least and most residents that a leaf aims at, and how many
 #: leaves there are at least between the two.  Fewer, larger leaves have fewer visitors in all.
 SAMPLE, LEAST_LEAF, MOST_LEAF, LEAVES = 20_000, 1_000, 50_000, 32
+#: Most residents of a tile, and most of what they are compared with.
+TILE = 65_536
 
 _LANES = np.uint64(0x0101010101010101)
 
@@ -133,9 +135,9 @@ def build_tree(sample: np.ndarray, leaves: int):
     return node(sample, leaves)
 
 
-def route(tree, fps: np.ndarray, reach: int):
+def route(tree, fps: np.ndarray, reach: int, visit: bool = False):
     """(row, leaf, is home) for every leaf that each fingerprint's ball may reach and that does not
-    lie to the left of its home."""
+    lie to the left of its home; with ``visit`` for every leaf in reach, none of them home."""
     out = []
 
     def walk(node, rows: np.ndarray, home: np.ndarray):
@@ -152,7 +154,7 @@ def route(tree, fps: np.ndarray, reach: int):
         right = np.where(home, ~own | (d + reach > radius), d + reach > radius)
         walk(outside, rows[right], (home & ~own)[right])
 
-    walk(tree, np.arange(len(fps)), np.ones(len(fps), bool))
+    walk(tree, np.arange(len(fps)), np.full(len(fps), not visit))
     return tuple(np.concatenate(x) for x in zip(*out)) if out else (np.empty(0, np.int64),) * 3
 
 
@@ -179,41 +181,65 @@ class Forest:
             np.minimum.at(self.parent, np.maximum(ra, rb), np.minimum(ra, rb))
 
 
-def link_leaf(fps: np.ndarray, home: np.ndarray, reach: int, points: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Forest edges (as positions) of all links with at least one resident."""
-    d1 = np.bitwise_count(fps ^ points[0]).astype(np.int64)
-    d2 = np.bitwise_count(fps ^ points[1]).astype(np.int64)
-    order = np.lexsort((d2, d1))
-    f, h = fps[order], home[order]
-    cell = d1[order] * 65 + d2[order]
-    forest = Forest(len(f))
-    starts = np.searchsorted(cell, np.arange(65 * 65 + 1))
-    for c in np.unique(cell).tolist():
-        a, z = int(starts[c]), int(starts[c + 1])
-        one, two = divmod(c, 65)
-        # rings at the same or a larger first distance; within one ring, the second distance too
-        ranges = [(a, int(starts[one * 65 + min(64, two + reach) + 1]))]
-        for r in range(one + 1, min(64, one + reach) + 1):
-            ranges.append((int(starts[r * 65 + max(0, two - reach)]), int(starts[r * 65 + min(64, two + reach) + 1])))
+def link_tile(one: np.ndarray, two: np.ndarray | None, reach: int, points: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Forest edges of all links within ``one`` (``two`` None), or between ``one`` and ``two``, as
+    positions in ``one`` followed by ``two``."""
+    sides = [one] if two is None else [one, two]
+    cells, orders, starts = [], [], []
+    for f in sides:
+        d1, d2 = (np.bitwise_count(f ^ p).astype(np.int64) for p in points[:2])
+        orders.append(np.lexsort((d2, d1)))
+        cells.append((d1 * 65 + d2)[orders[-1]])
+        starts.append(np.searchsorted(cells[-1], np.arange(65 * 65 + 1)))
+    f, g = one[orders[0]], sides[-1][orders[-1]]
+    begin, base = starts[-1], len(one) if two is not None else 0
+    forest = Forest(sum(map(len, sides)))
+    for c in np.unique(cells[0]).tolist():
+        a, z = int(starts[0][c]), int(starts[0][c + 1])
+        d1, d2 = divmod(c, 65)
+        # rings within the radius; among themselves only the same cell or a later one
+        ranges = []
+        for r in range(max(0, d1 - reach) if two is not None else d1, min(64, d1 + reach) + 1):
+            low = a if two is None and r == d1 else int(begin[r * 65 + max(0, d2 - reach)])
+            ranges.append((low, int(begin[r * 65 + min(64, d2 + reach) + 1])))
         other = np.concatenate([np.arange(x, y) for x, y in ranges])
         if not len(other):
             continue
         step = max(1, (1 << 21) // len(other))
-        theirs, at_home = f[other], h[other]
+        theirs = g[other]
         for s in range(a, z, step):
             e = min(z, s + step)
-            hit = np.bitwise_count(f[s:e, None] ^ theirs[None, :]) <= reach
-            hit &= h[s:e, None] | at_home[None, :]
-            i, j = np.nonzero(hit)
-            i, j = i + s, other[j]
+            i, j = np.nonzero(np.bitwise_count(f[s:e, None] ^ theirs[None, :]) <= reach)
+            i, j = orders[0][i + s], base + orders[-1][other[j]]
             real = i != j
             forest.join(i[real], j[real])
-    root = forest.roots(np.arange(len(f)))
-    child = np.flatnonzero(root != np.arange(len(f)))
-    return order[root[child]], order[child]
+    root = forest.roots(np.arange(len(forest.parent)))
+    child = np.flatnonzero(root != np.arange(len(root)))
+    return root[child], child
 
 
-def links(classes: DataFrame, reach: int = 3, sample: int = SAMPLE, leaf: int | None = None) -> DataFrame:
+def tiles(routed: DataFrame, key: str, tile: int) -> DataFrame:
+    """Deals rows (leaf, home, ...) out to tiles (leaf, i, j), with a column side; home goes.
+
+    The residents of a leaf are cut into blocks and its visitors into slices, by a hash of ``key``.
+    A tile is a block by itself (all of side 0), two blocks, or a block and a slice (sides 0, 1),
+    so every resident meets all residents and visitors in tiles of bounded size.
+    """
+    spark = routed.sparkSession
+    # a row a leaf; the tree, made of a bounded sample, has a bounded number of leaves
+    sizes = routed.groupBy("leaf").agg(F.sum(F.col("home").cast("long")).alias("r"), F.sum((~F.col("home")).cast("long")).alias("v"))
+    parts = sizes.selectExpr("leaf", f"greatest(1, cast(ceil(r / {tile}) as int)) as blocks", f"cast(ceil(v / {tile}) as int) as slices")
+    parts = F.broadcast(spark.createDataFrame(parts.collect(), "leaf long, blocks int, slices int"))
+    own = F.pmod(F.xxhash64(key, F.lit(3)), F.when(F.col("home"), F.col("blocks")).otherwise(F.col("slices"))).cast("int")
+    at = routed.join(parts, "leaf").withColumn("own", own)
+    pairs = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda i: F.struct(F.least("own", i).alias("i"), F.greatest("own", i).alias("j"), (F.col("own") > i).cast("int").alias("side")))
+    met = F.when(F.col("slices") > 0, F.transform(F.sequence(F.lit(0), F.col("slices") - 1), lambda s: F.struct(F.col("own").alias("i"), (F.col("blocks") + s).alias("j"), F.lit(0).alias("side"))))
+    visits = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda i: F.struct(i.alias("i"), (F.col("blocks") + F.col("own")).alias("j"), F.lit(1).alias("side")))
+    where = F.when(F.col("home"), F.concat(pairs, F.coalesce(met, F.expr("cast(array() as array<struct<i:int,j:int,side:int>>)")))).otherwise(visits)
+    return at.withColumn("at", F.explode(where)).withColumns({"i": F.col("at.i"), "j": F.col("at.j"), "side": F.col("at.side").cast("boolean")}).drop("at", "own", "blocks", "slices", "home")
+
+
+def links(classes: DataFrame, reach: int = 3, sample: int = SAMPLE, leaf: int | None = None, tile: int = TILE) -> DataFrame:
     """Edges (a, b) between distinct fingerprints ``fp``: they span every group of linked ones."""
     n = classes.count()
     leaf = leaf or min(MOST_LEAF, max(LEAST_LEAF, n // LEAVES))
@@ -225,16 +251,19 @@ def links(classes: DataFrame, reach: int = 3, sample: int = SAMPLE, leaf: int |
     def spread(batches):
         for b in batches:
             fps = b.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
-            row, at, home = route(tree, fps.view(np.uint64), reach)
-            yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(fps[row]), pa.array(home.astype(bool))], names=["leaf", "fp", "home"])
+            for k in range(0, len(fps), 4096):
+                some = fps[k : k + 4096]
+                row, at, home = route(tree, some.view(np.uint64), reach)
+                yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int64)), pa.array(some[row]), pa.array(home.astype(bool))], names=["leaf", "fp", "home"])
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        fps = pdf["fp"].to_numpy(np.int64)
-        a, b = link_leaf(fps.view(np.uint64), pdf["home"].to_numpy(bool), reach, points)
-        return pd.DataFrame({"a": fps[a], "b": fps[b]})
+        fps, side = pdf["fp"].to_numpy(np.int64), pdf["side"].to_numpy(bool)
+        both = np.concatenate([fps[~side], fps[side]])
+        a, b = link_tile(fps[~side].view(np.uint64), fps[side].view(np.uint64) if side.any() else None, reach, points)
+        return pd.DataFrame({"a": both[a], "b": both[b]})
 
-    spread_out = classes.select("fp").mapInArrow(spread, "leaf int, fp long, home boolean")
-    return spread_out.groupBy("leaf").applyInPandas(run, "a long, b long")
+    spread_out = classes.select("fp").mapInArrow(spread, "leaf long, fp long, home boolean")
+    return tiles(spread_out, "fp", tile).groupBy("leaf", "i", "j").applyInPandas(run, "a long, b long")
 
 
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
@@ -263,47 +292,14 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     return edges.selectExpr("a as node", "b as root").unionByName(edges.selectExpr("b as node", "b as root").distinct())
 
 
-def classes_of(marked: DataFrame, reach: int, leaf: int | None) -> DataFrame:
-    """(fp, component_id) for all distinct fingerprints of marked (id, fp)."""
-    classes = marked.groupBy("fp").agg(F.min("id").alias("low")).checkpoint()
-    roots = components(links(classes, reach, leaf=leaf)).checkpoint()
-    lows = roots.join(classes, roots["node"] == classes["fp"]).groupBy("root").agg(F.min("low").alias("low")).checkpoint()
-    linked = roots.join(lows, "root").selectExpr("node as fp", "low as component_id", "root").checkpoint()
-    every = classes.join(linked, "fp", "left")
-    return every.select("fp", F.coalesce("component_id", "low").alias("component_id"), F.coalesce("root", "fp").alias("root")).checkpoint()
-
-
-def near_duplicates(docs: DataFrame, reach: int = 3, id_col: str = "doc_id", text_col: str = "text", leaf: int | None = None) -> DataFrame:
+def near_duplicates(docs: DataFrame, reach: int = 3, id_col: str = "doc_id", text_col: str = "text", leaf: int | None = None, tile: int = TILE) -> DataFrame:
     """Per document: id, fingerprint (16 hexadecimal digits), component_id (smallest id reachable)."""
     ensure_checkpoint_dir(docs.sparkSession)
     marked = fingerprints(docs, id_col, text_col).checkpoint()
-    every = classes_of(marked, reach, leaf)
-    return marked.join(every, "fp").select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
-
-
-def keep_one(docs: DataFrame, reach: int = 3, id_col: str = "doc_id", text_col: str = "text", leaf: int | None = None) -> DataFrame:
-    """docs, with its columns, without all but one document of each group of near duplicates.
-
-    The document with the smallest id stays; of rows with that id, or of a group without ids, the
-    one with the smallest hash of the text, and of rows equal in both the first as they lie.
-    """
-    ensure_checkpoint_dir(docs.sparkSession)
-
-    def run(batches):
-        for b in batches:
-            texts = texts_of(b, text_col)
-            fp = np.array([fingerprint(t) for t in texts], np.uint64).view(np.int64)
-            extra = {"__fp": fp, "__th": np.array([xxhash.xxh3_64_intdigest(t.encode()) >> 1 for t in texts], np.int64)}
-            yield pa.RecordBatch.from_arrays([*b.columns, *map(pa.array, extra.values())], names=[*b.schema.names, *extra])
-
-    # the rows are written once with a number, which so stays the same for all that follows
-    numbered = docs.withColumn("__row", F.monotonically_increasing_id())
-    schema = T.StructType([*numbered.schema.fields, T.StructField("__fp", T.LongType()), T.StructField("__th", T.LongType())])
-    marked = stored(numbered.mapInArrow(run, schema), "marked")
-    slim = marked.select(F.col(id_col).alias("id"), F.col("__fp").alias("fp"), "__th", "__row")
-    roots = classes_of(slim.select("id", "fp"), reach, leaf).select("fp", "root")
-    first = F.struct(F.col("id").isNull().alias("a"), "id", "__th", "__row")
-    # first within each fingerprint, before the hot ones could meet in a join
-    leads = slim.groupBy("fp").agg(F.min(first).alias("first")).checkpoint()
-    stay = leads.join(roots, "fp").groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.__row").alias("__row"))
-    return marked.join(stay, "__row", "left_semi").select(*docs.columns)
+    classes = marked.groupBy("fp").agg(F.min("id").alias("low"), F.count(F.lit(1)).alias("c")).checkpoint()
+    roots = components(links(classes, reach, leaf=leaf, tile=tile)).checkpoint()
+    lows = roots.join(classes, roots["node"] == classes["fp"]).groupBy("root").agg(F.min("low").alias("low")).checkpoint()
+    linked = roots.join(lows, "root").selectExpr("node as fp", "low as component_id")
+    every = classes.join(linked, "fp", "left").select("fp", F.coalesce("component_id", "low").alias("component_id"), "c").checkpoint()
+    done = join_hot(marked, every, ["fp"], "c", marked.count())
+    return done.select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
