@@ -108,13 +108,14 @@ class _Lowering:
         if windows:
             self.df = self.df.withColumns(windows)
         if scans:
-            self.df = scan(self.df, self.axis.asset, self.axis.time, scans)
+            self.df = scan(self.df, list(self.axis.assets), self.axis.time, scans)
         if gaps and self.axis.warmup == "backfill":
             self.df = self.df.withColumns({n: backfilled(self.axis, F.col(n), w) for n, w in gaps.items()})
 
 
-#: A frame of w rows is added up anew for every row; from this window on, sums and means come from
-#: running totals (equal but for rounding in the last digits).
+#: A frame of w rows is added up anew for every row; from this window on, sums and means are put
+#: together from running sums within blocks of w rows.  Nothing is subtracted, so both ways agree but
+#: for rounding in the last digits.
 LONG_WINDOW = 200
 
 
@@ -123,7 +124,8 @@ def long_windows(node: Node) -> Node:
     if isinstance(node, Call) and node.name in ("sma", "rolling_sum") and len(node.args) == 2:
         w = fold(node.args[1])
         if isinstance(w, Num) and w.value >= LONG_WINDOW:
-            total = Call("rolling_sum_of_totals", (Call("running_total", node.args[:1]), w))
+            at = (node.args[0], Call("row_position", node.args[:1]), w)
+            total = Call("sum_of_blocks", (Call("block_head", at), Call("block_tail", at), *at[1:]))
             return Binary("/", total, w) if node.name == "sma" else total
     return node
 

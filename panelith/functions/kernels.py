@@ -19,6 +19,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
+import numpy as np
 from pyspark.sql import Column, Window
 from pyspark.sql import functions as F
 
@@ -30,15 +31,26 @@ class Axis:
     asset: str = "asset"
     time: str = "time"
     warmup: str = "backfill"
+    within: tuple[str, ...] = ()  # further keys, each of whose values is a panel of its own
+
+    @property
+    def assets(self) -> tuple[str, ...]:
+        """The keys of one asset's rows."""
+        return (*self.within, self.asset)
+
+    @property
+    def times(self) -> tuple[str, ...]:
+        """The keys of one cross-section."""
+        return (*self.within, self.time)
 
     def rows(self, *more: Column):
-        return Window.partitionBy(self.asset, *more).orderBy(self.time)
+        return Window.partitionBy(*self.assets, *more).orderBy(self.time)
 
     def trailing(self, w: int):
         return self.rows().rowsBetween(1 - w, 0)
 
-    def slice(self):
-        return Window.partitionBy(self.time)
+    def slice(self, *more: Column):
+        return Window.partitionBy(*self.times, *more)
 
 
 @dataclass(frozen=True)
@@ -177,16 +189,33 @@ def _rolling_sum(axis, x, w):
     return _rolled(axis, F.sum(_zero(x)).over(axis.trailing(w)), w)
 
 
-@register("running_total", "time", 1, "rolling")
-def _running_total(axis, x):
-    """The sum of all rows so far, missing ones as 0."""
-    return F.sum(_zero(x)).over(axis.rows().rowsBetween(Window.unboundedPreceding, 0))
+@register("row_position", "time", 1, "rolling")
+def _row_position(axis, x):
+    """The number of the asset's rows before."""
+    return (F.row_number().over(axis.rows()) - 1).cast("double")
+
+
+def _block(axis: Axis, position: Column, w: int):
+    return Window.partitionBy(*axis.assets, F.floor(position / w))
+
 
+@register("block_head", "time", 2, "rolling", (20,))
+def _block_head(axis, x, position, w):
+    """The sum from the start of the row's block of w rows to the row."""
+    return F.sum(_zero(x)).over(_block(axis, position, w).orderBy(axis.time).rowsBetween(Window.unboundedPreceding, 0))
 
-@register("rolling_sum_of_totals", "time", 1, "rolling", (20,))
-def _rolling_sum_of_totals(axis, x, w):
-    """The rolling sum from running totals: two rows are read whatever the window."""
-    return _rolled(axis, x - F.coalesce(F.lag(x, w).over(axis.rows()), F.lit(0.0)), w)
+
+@register("block_tail", "time", 2, "rolling", (20,))
+def _block_tail(axis, x, position, w):
+    """The sum from the row to the end of its block."""
+    return F.sum(_zero(x)).over(_block(axis, position, w).orderBy(F.desc(axis.time)).rowsBetween(Window.unboundedPreceding, 0))
+
+
+@register("sum_of_blocks", "time", 3, "rolling", (20,))
+def _sum_of_blocks(axis, head, tail, position, w):
+    """The rolling sum: the end of the block before and the start of the row's own block."""
+    whole = position % w == w - 1
+    return _rolled(axis, F.when(whole, head).otherwise(head + F.lag(tail, w - 1).over(axis.rows())), w)
 
 
 @register("rolling_std", "time", 1, "rolling", (20,))
@@ -258,7 +287,7 @@ def _month_coord(axis, x):
 
 
 #: Functions whose first w - 1 outputs repeat the first full one.
-WARM = ("sma", "rolling_sum", "rolling_sum_of_totals", "rolling_std", "moving_median", "moving_mode", "wma", "gain", "loss", "ema", "rma")
+WARM = ("sma", "rolling_sum", "sum_of_blocks", "rolling_std", "moving_median", "moving_mode", "wma", "gain", "loss", "ema", "rma")
 
 
 def backfilled(axis: Axis, value: Column, w: int) -> Column:
@@ -273,7 +302,7 @@ def backfilled(axis: Axis, value: Column, w: int) -> Column:
 @register("cs_rank", "cross", 1, "cross-section")
 def _cs_rank(axis, x):
     """Place among the values of the time, from 0 to 1; ties by asset; missing for a lone value."""
-    order = Window.partitionBy(axis.time, x.isNull()).orderBy(x, axis.asset)
+    order = axis.slice(x.isNull()).orderBy(x, axis.asset)
     n = F.count(x).over(axis.slice())
     return F.when(x.isNotNull() & (n > 1), (F.row_number().over(order) - 1) / (n - 1))
 
@@ -304,15 +333,15 @@ AGGREGATES = {
 def _aggregate(name: str, build):
     def over(partition):
         def f(axis, x):
-            spec = Window.partitionBy(*([getattr(axis, partition)] if partition else [F.lit(1)]))
+            spec = Window.partitionBy(*getattr(axis, partition))
             if name == "sum":
                 return F.coalesce(F.sum(x).over(spec), F.lit(0.0))
             return build(x).over(spec)
 
         return f
 
-    register(f"ts_{name}", "time", 1, "aggregate")(over("asset"))
-    register(f"cs_{name}", "cross", 1, "aggregate")(over("time"))
+    register(f"ts_{name}", "time", 1, "aggregate")(over("assets"))
+    register(f"cs_{name}", "cross", 1, "aggregate")(over("times"))
 
 
 for _name, _build in AGGREGATES.items():
@@ -325,7 +354,8 @@ for _name, _build in AGGREGATES.items():
 class Kernel:
     """A recurrence: start() at an asset's first row, then step(*values) for each row.
 
-    ``window``: rows that the first output needs; step gives None before.
+    ``window``: rows that the first output needs; step gives None before.  Kernels of one's own
+    need no more; the built-in ones work on whole columns (``LinearKernel``).
     """
 
     window = 1
@@ -336,26 +366,56 @@ class Kernel:
         raise NotImplementedError
 
 
-class Smoothed(Kernel):
+def affine_scan(a: np.ndarray, b: np.ndarray, before: float) -> np.ndarray:
+    """y[t] = a[t] * y[t - 1] + b[t] from y[-1] = before, by doubling: in round k every row takes in
+    the 2^k rows before it.  A row with a = 0 begins anew."""
+    a, b = a.copy(), b.copy()
+    if len(a):
+        b[0] += a[0] * before
+        a[0] = 0.0
+    step = 1
+    while step < len(a) and a.any():
+        b[step:] += a[step:] * b[:-step]
+        a[step:] = a[step:] * a[:-step]
+        step *= 2
+    return b
+
+
+class LinearKernel(Kernel):
+    """A recurrence that is linear in its last output, for many rows at once.
+
+    fresh: rows that begin an asset; columns: values, NaN where missing.  Gives the outputs (NaN:
+    none); what the next rows need stays in the kernel.
+    """
+
+    def run(self, fresh: np.ndarray, *columns: np.ndarray) -> np.ndarray:
+        raise NotImplementedError
+
+
+def counted(fresh: np.ndarray, before: int) -> np.ndarray:
+    """The number of each row in its asset, from 1; ``before`` rows of the first one came earlier."""
+    row = np.arange(len(fresh))
+    start = np.maximum.accumulate(np.where(fresh, row, -before))
+    return row - start + 1
+
+
+class Smoothed(LinearKernel):
     """alpha * x + (1 - alpha) * before, from ``seed`` times the sum of the first window."""
 
     def __init__(self, window: int, alpha: float, seed: float):
         self.window, self.alpha, self.seed = window, alpha, seed
-
-    def start(self):
         self.n, self.value = 0, 0.0
 
-    def step(self, x):
-        x = 0.0 if x is None else x
-        self.n += 1
-        if self.n <= self.window:
-            self.value += x
-            if self.n < self.window:
-                return None
-            self.value *= self.seed
-        else:
-            self.value = self.alpha * x + (1 - self.alpha) * self.value
-        return self.value
+    def run(self, fresh, x):
+        x, w = np.nan_to_num(x), self.window
+        n = counted(fresh, self.n)
+        a = np.where(n < w, 1.0, np.where(n == w, self.seed, 1 - self.alpha))
+        b = x * np.where(n < w, 1.0, np.where(n == w, self.seed, self.alpha))
+        a[n == 1] = 0.0
+        y = affine_scan(a, b, self.value)
+        if len(n):
+            self.n, self.value = int(n[-1]), float(y[-1])
+        return np.where(n >= w, y, np.nan)
 
 
 @register("ema", "scan", 1, "rolling", (20,))
@@ -370,28 +430,39 @@ def _rma(w):
     return Smoothed(w, 1 / w, 1 / w)
 
 
-class HoltWinters(Kernel):
-    """Level, trend and acceleration, each smoothed; gives level + trend + acceleration / 2."""
+class HoltWinters(LinearKernel):
+    """Level, trend and acceleration, each smoothed; gives level + trend + acceleration / 2.
+
+    The state (level, trend, acceleration) is M times the one before plus v times x.
+    """
 
     def __init__(self, alpha: float, beta: float, gamma: float):
         if not all(0 < v < 1 for v in (alpha, beta, gamma)):
             raise ValueError("smoothing parameters lie between 0 and 1")
-        self.parameters = (alpha, beta, gamma)
-
-    def start(self):
-        self.state = None
-
-    def step(self, x):
-        x = 0.0 if x is None else x
-        a, b, c = self.parameters
-        if self.state is None:
-            self.state = (x, 0.0, 0.0)
-        level, trend, accel = self.state
-        new = (1 - a) * (level + trend + 0.5 * accel) + a * x
-        slope = (1 - b) * (trend + accel) + b * (new - level)
-        accel = (1 - c) * accel + c * (slope - trend)
-        self.state = (new, slope, accel)
-        return new + slope + 0.5 * accel
+        level = (1 - alpha) * np.array([1.0, 1.0, 0.5])
+        trend = (1 - beta) * np.array([0.0, 1.0, 1.0]) + beta * (level - [1.0, 0.0, 0.0])
+        accel = (1 - gamma) * np.array([0.0, 0.0, 1.0]) + gamma * (trend - [0.0, 1.0, 0.0])
+        self.m = np.array([level, trend, accel])
+        self.v = alpha * np.array([1.0, beta, beta * gamma])
+        self.n, self.state = 0, np.zeros(3)
+
+    def run(self, fresh, x):
+        x = np.nan_to_num(x)
+        n = counted(fresh, self.n)
+        s = x[:, None] * self.v
+        first = n == 1  # the state before it is (x, 0, 0)
+        s[first] += x[first, None] * self.m[:, 0]
+        if len(n) and not first[0]:
+            s[0] += self.m @ self.state
+        step, power, row = 1, self.m, np.arange(len(n))
+        reach = np.minimum(n - 1, row)  # rows before in the same asset and batch
+        while step < len(n) and (reach >= step).any():
+            at = np.flatnonzero(reach >= step)
+            s[at] += s[at - step] @ power.T
+            step, power = 2 * step, power @ power
+        if len(n):
+            self.n, self.state = int(n[-1]), s[-1].copy()
+        return s[:, 0] + s[:, 1] + 0.5 * s[:, 2]
 
 
 @register("triple_exponential_smoothing", "scan", 1, "rolling", (0.2, 0.1, 0.1))
@@ -399,17 +470,25 @@ def _triple(alpha=0.2, beta=0.1, gamma=0.1):
     return HoltWinters(alpha, beta, gamma)
 
 
-class Adaptive(Kernel):
+class Adaptive(LinearKernel):
     """s * x + (1 - s) * before, with s from the second column; a missing side keeps the value,
     the first row with both gives 0."""
 
-    def start(self):
-        self.value = None
-
-    def step(self, x, s):
-        if x is not None and s is not None:
-            self.value = 0.0 if self.value is None else s * x + (1 - s) * self.value
-        return self.value
+    def __init__(self):
+        self.seen, self.value = 0, 0.0
+
+    def run(self, fresh, x, s):
+        both = ~(np.isnan(x) | np.isnan(s))
+        total = np.cumsum(both)
+        at_start = np.maximum.accumulate(np.where(fresh, total - both, -self.seen))
+        seen = total - at_start  # rows with both sides in the asset so far
+        begins = fresh | (both & (seen == 1))
+        go_on = both & (seen > 1)
+        a = np.where(begins, 0.0, np.where(go_on, 1 - np.nan_to_num(s), 1.0))
+        y = affine_scan(a, np.where(go_on, np.nan_to_num(s) * np.nan_to_num(x), 0.0), self.value)
+        if len(y):
+            self.seen, self.value = int(seen[-1]), float(y[-1])
+        return np.where(seen > 0, y, np.nan)
 
 
 @register("adaptive_ema", "scan", 2, "rolling")

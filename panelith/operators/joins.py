@@ -103,13 +103,19 @@ class MergeSpec:
 
 
 def same_key(left: DataFrame, right: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
-    """Keys of unequal type become numbers where both read as such, else hashes of their text."""
+    """Keys of unequal type become whole numbers where they read as such (``7``, ``7.0``), else
+    hashes of their text; fractions stay apart from whole numbers."""
     a, b = dict(left.dtypes)[name], dict(right.dtypes)[name]
     if a == b:
         return left, right
-    if {a, b} <= {"tinyint", "smallint", "int", "bigint", "float", "double"}:
+    if {a, b} <= {"tinyint", "smallint", "int", "bigint"}:
         return left.withColumn(name, F.col(name).cast("bigint")), right.withColumn(name, F.col(name).cast("bigint"))
-    key = lambda c: F.coalesce(F.expr(f"try_cast(try_cast(`{c}` as double) as bigint)"), F.xxhash64(F.col(c).cast("string")))
+
+    def key(c: str):
+        text, number = F.col(c).cast("string"), F.expr(f"try_cast(`{c}` as double)")
+        whole = F.when(number == F.floor(number), F.expr(f"coalesce(try_cast(`{c}` as bigint), try_cast(try_cast(`{c}` as double) as bigint))"))
+        return F.when(text.isNotNull(), F.coalesce(whole, F.xxhash64(F.when(number.isNotNull(), number.cast("string")).otherwise(text))))
+
     return left.withColumn(name, key(name)), right.withColumn(name, key(name))
 
 

@@ -47,17 +47,24 @@ def without_nan(c: Column) -> Column:
 
 @dataclass(frozen=True)
 class Panel:
+    """``within``: further keys, each of whose values is a panel of its own (such as a segment)."""
+
     df: DataFrame
     asset: str = "asset"
     time: str = "time"
+    within: tuple[str, ...] = ()
 
     @property
     def axis(self) -> Axis:
-        return Axis(self.asset, self.time)
+        return Axis(self.asset, self.time, within=self.within)
+
+    @property
+    def keys(self) -> list[str]:
+        return [*self.within, self.asset, self.time]
 
     @property
     def features(self) -> list[str]:
-        return [c for c in self.df.columns if c not in (self.asset, self.time)]
+        return [c for c in self.df.columns if c not in self.keys]
 
     @property
     def numeric(self) -> list[str]:
@@ -114,7 +121,7 @@ class Panel:
         """Each column becomes one value an asset: its largest."""
         from pyspark.sql import Window
 
-        return self.on(self.df.withColumns({c: F.max(c).over(Window.partitionBy(self.asset)) for c in columns}))
+        return self.on(self.df.withColumns({c: F.max(c).over(Window.partitionBy(*self.axis.assets)) for c in columns}))
 
 
 @dataclass(frozen=True)

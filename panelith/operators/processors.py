@@ -62,15 +62,15 @@ class AssetZScore(Processor):
         p = view.panel
         columns = self.vars or p.numeric
         stats = [f for c in columns for f in (F.avg(c).alias(f"__mu_{c}"), F.coalesce(F.stddev_pop(c), F.lit(0.0)).alias(f"__sd_{c}"))]
-        return p.df.groupBy(p.asset).agg(*stats)
+        return p.df.groupBy(*p.axis.assets).agg(*stats)
 
     def transform(self, view: View, state: DataFrame | None = None) -> View:
         p = view.panel
         state = self.fit(view) if state is None else state
         columns = self.vars or p.numeric
-        joined = p.df.join(state, p.asset, "left")
+        joined = p.df.join(state, list(p.axis.assets), "left")
         made = {f"{c}{self.out_suffix}": (F.col(c) - F.col(f"__mu_{c}")) / (F.col(f"__sd_{c}") + 1e-8) for c in columns}
-        return view.on(joined.withColumns(made).drop(*[c for c in state.columns if c != p.asset]))
+        return view.on(joined.withColumns(made).drop(*[c for c in state.columns if c not in p.keys]))
 
 
 @dataclass
@@ -104,7 +104,7 @@ class FormulaEval(Processor):
         df = compute(p.df, p.axis, {prefix + k: v for k, v in trees.items()})
         for name, text in self.expressions.items():
             df = with_formula(df, text, name, p.axis, dict(self.static_context), m)
-        return view.on(df if self.assign_in_place else df.select(p.asset, p.time, *[prefix + k for k in trees], *self.expressions))
+        return view.on(df if self.assign_in_place else df.select(*p.keys, *[prefix + k for k in trees], *self.expressions))
 
 
 # ---- sorts and portfolios ----------------------------------------------------------------------
@@ -133,7 +133,7 @@ class CrossSectionalSort(Processor):
             raise ValueError(f"{self.n_bins} bins need {self.n_bins - 1} rising quantiles")
         x = F.col(self.signal).cast("double")
         inside = F.when(F.coalesce(F.col(self.scope).cast("boolean"), F.lit(False)), x) if self.scope else x
-        points = F.percentile(inside, F.array(*[F.lit(float(q)) for q in cuts])).over(Window.partitionBy(p.time))
+        points = F.percentile(inside, F.array(*[F.lit(float(q)) for q in cuts])).over(p.axis.slice())
         near = (lambda c: F.round(c, self.bp_digits)) if self.bp_digits is not None else (lambda c: c)
         bucket = sum(((near(x) >= near(F.col("__bp")[i])).cast("int") for i in range(len(cuts))), F.lit(0)).cast("double")
         made = p.df.withColumn("__bp", points).withColumn(f"{self.signal}_port", F.when(x.isNotNull() & F.col("__bp").isNotNull(), bucket))
@@ -169,14 +169,14 @@ class PortfolioReturns(Processor):
         both = r.isNotNull() & w.isNotNull()
         rows = p.df.where(" and ".join(f"`{g}` is not null" for g in self.groups))
         keys = [F.col(g).alias(f"{g}_dim") for g in self.groups]
-        out = rows.groupBy(p.time, *keys).agg(F.try_divide(F.sum(F.when(both, r * w)), F.sum(F.when(both, w))).alias("value"))
+        out = rows.groupBy(*p.axis.times, *keys).agg(F.try_divide(F.sum(F.when(both, r * w)), F.sum(F.when(both, w))).alias("value"))
         if self.dense:
             # the grid has times x buckets rows, a table of the result's own grain
-            grid = p.df.select(p.time).distinct()
+            grid = p.df.select(*p.axis.times).distinct()
             tops = p.df.agg(*[F.max(g).alias(g) for g in self.groups]).first()
             for g in self.groups:
                 grid = grid.withColumn(f"{g}_dim", F.explode(F.array(*[F.lit(float(i)) for i in range(int(tops[g] if tops[g] is not None else -1) + 1)])))
-            out = grid.join(out, [p.time, *[f"{g}_dim" for g in self.groups]], "left")
+            out = grid.join(out, [*p.axis.times, *[f"{g}_dim" for g in self.groups]], "left")
         return view.plus(self.frame, out)
 
 
@@ -202,7 +202,7 @@ class FactorSpread(Processor):
             return F.avg(F.when(hit, F.col("value")))
 
         made = [(leg(f["long"]) - leg(f["short"])).alias(k) for k, f in self.factors.items()]
-        return view.plus(self.name, view.frames[self.source].groupBy(view.panel.time).agg(*made))
+        return view.plus(self.name, view.frames[self.source].groupBy(*view.panel.axis.times).agg(*made))
 
 
 # ---- source transforms -------------------------------------------------------------------------
@@ -225,7 +225,7 @@ def fix_market_equity(panel: Panel) -> Panel:
     """me = |prc| * shrout; at each time, the largest share class of a company gets its total."""
     if "permco" not in panel.df.columns:
         raise ValueError("fix_market_equity needs permco")
-    firm = Window.partitionBy(panel.time, "permco")
+    firm = panel.axis.slice(F.col("permco"))
     me = F.abs(F.col("prc")) * F.col("shrout")
     df = panel.df.withColumn("__me", me)
     lead = F.col("permco").isNotNull() & (F.col("__me") == F.max("__me").over(firm))
@@ -336,16 +336,20 @@ class DataHandler:
         groups = {"feature": self.config.feature_cols, "features": self.config.feature_cols, "label": self.config.label_cols, "labels": self.config.label_cols}
         chosen = groups.get(columns) if isinstance(columns, str) else columns
         have = [c for c in chosen or [] if c in p.df.columns]
-        return p.df.select(p.asset, p.time, *have) if have else p.df
+        return p.df.select(*p.keys, *have) if have else p.df
 
     def slice_time(self, panel: Panel, start, end) -> Panel:
         return panel.slice_time(start, end)
 
-    def to_arrays(self, panel: Panel, features: list[str], label: str | None = None, drop_missing: bool = True):
-        """Driver-side arrays of a small panel: keys, features and label."""
+    def to_arrays(self, panel: Panel, features: list[str], label: str | None = None, drop_missing: bool = True, max_rows: int = 1_000_000):
+        """Driver-side arrays of a small panel: keys, features and label.  A panel of more than
+        ``max_rows`` rows is an error: learn from it where it lies (``ModelRunner``)."""
         wanted = [*features, *([label] if label else [])]
         df = panel.df.select(panel.asset, panel.time, *wanted)
-        got = (df.dropna(how="all", subset=features) if drop_missing else df).orderBy(panel.time, panel.asset).toPandas()
+        df = df.dropna(how="all", subset=features) if drop_missing else df
+        if df.limit(max_rows + 1).count() > max_rows:
+            raise ValueError(f"more than {max_rows} rows for arrays on the driver")
+        got = df.orderBy(panel.time, panel.asset).toPandas()
         return got[[panel.asset, panel.time]], got[features].to_numpy(float), got[label].to_numpy(float) if label else None
 
     def fit_learn(self, view: View) -> tuple[View, list]:

@@ -281,10 +281,15 @@ def cs_all(spark, d):
     return shown(pa(spark, d).cross_section("cs_demean", columns=["me", "vol"]).df, "me", "vol", digits=3)
 
 
-@query("long_window", f"{_PB} SELECT asset, {_T}, {_r('CASE WHEN n >= 25 THEN CASE WHEN rn >= 25 THEN sum(x) OVER (PARTITION BY asset ORDER BY time ROWS 24 PRECEDING) ELSE f END END', digits=4)} FROM (SELECT *, sum(CASE WHEN rn <= 25 THEN x END) OVER (PARTITION BY asset) AS f FROM pb)")
+_LONG = """WITH b AS (SELECT event_type AS asset, date_trunc('hour', ts) AS time, arg_max(value, (ts, event_id)) + 1e9::DOUBLE AS x FROM events GROUP BY 1, 2), n AS (
+  SELECT *, row_number() OVER (PARTITION BY asset ORDER BY time) AS rn, avg(x - 1e9::DOUBLE) OVER (PARTITION BY asset ORDER BY time ROWS 199 PRECEDING) + 1e9::DOUBLE AS v FROM b)"""
+
+
+@query("long_window", f"{_LONG} SELECT asset, {_T}, {_r('CASE WHEN rn >= 200 THEN v ELSE max(CASE WHEN rn = 200 THEN v END) OVER (PARTITION BY asset) END', digits=3)} FROM n")
 def long_window(spark, d):
-    p = pb(spark, d)
-    return shown(with_formula(p.df, "rolling_sum_of_totals(running_total($x), 25)", "value", p.axis), "value", digits=4)
+    """Values far from 0: sums must not lose their digits."""
+    p = pc(spark, d)
+    return shown(with_formula(p.df.withColumn("x", F.col("close") + 1e9), "sma($x, 200)", "value", p.axis), "value", digits=3)
 
 
 @query("fn_dates", """SELECT o_orderkey AS k, CAST(DATE '1960-01-01' + CAST(o_orderkey % 20000 AS INTEGER) AS VARCHAR) AS sas, CAST(last_day(make_date(year(o_orderdate), 12, 31) + INTERVAL 6 MONTH) AS VARCHAR) AS published,

@@ -134,22 +134,22 @@ def windows(panel: Panel, plan: SegmentPlan, part: str, closed: str = "both") ->
     """Panel rows by segment; a row is in every window that holds its time.  ``closed`` "left"
     leaves a training window's last time out.
 
-    Time is cut into slots of a quarter of the longest window; a row meets only the windows that
-    touch its slot, in an equi join, and the bounds are checked on those.
+    Time is cut into slots of a quarter of the longest window (a second at least); a row meets only
+    the windows that touch its slot, in an equi join, and the bounds are checked on those.
     """
     t, bounds = F.col(panel.time), [(getattr(s, f"{part}_start"), getattr(s, f"{part}_end")) for s in plan]
     half_open = closed == "left" and part == "train"
     if not bounds:
         return panel.df.withColumn("segment", F.lit(None).cast("int")).limit(0)
-    # a plan has a row a segment: it is small by construction, whatever the panel
-    width = max(TICK, max(z - a for a, z in bounds) / 4)
+    second = timedelta(seconds=1)
+    width = max(1, int(max(z - a for a, z in bounds) / 4 / second))
     origin = min(a for a, _ in bounds)
-    slot = lambda x: (x - origin) // width
-    shifts = timedelta(days=1)  # a session's time zone may move a row's slot by some hours
-    rows = [(n, i, a, z) for i, (a, z) in enumerate(bounds) for n in range(slot(a - shifts), slot(z + shifts) + 1)]
-    table = F.broadcast(panel.df.sparkSession.createDataFrame(rows, "__slot long, segment int, __a timestamp_ntz, __z timestamp_ntz"))
-    micros = lambda c: F.unix_micros(c.cast("timestamp"))
-    mine = F.floor((micros(t) - micros(F.lit(origin).cast("timestamp_ntz"))) / F.lit(width // TICK)).cast("long")
+    slot = lambda x: (x - origin) // second // width
+    # five slots a segment at most
+    rows = [(n, i, a, z) for i, (a, z) in enumerate(bounds) for n in range(slot(a), slot(z) + 1)]
+    table = panel.df.sparkSession.createDataFrame(rows, "__slot long, segment int, __a timestamp_ntz, __z timestamp_ntz")
+    # times without a zone: the difference does not depend on the session's
+    mine = F.floor((t.cast("timestamp_ntz") - F.lit(origin.isoformat()).cast("timestamp_ntz")).cast("bigint") / F.lit(width)).cast("long")
     inside = (t >= F.col("__a")) & ((t < F.col("__z")) if half_open else (t <= F.col("__z")))
     return panel.df.withColumn("__slot", mine).join(table, "__slot").where(inside).drop("__slot", "__a", "__z")
 
@@ -180,16 +180,15 @@ class WalkForwardRunner:
     """Shared processors once; in each segment the learn processors are fitted on the training
     window and applied to the inference window, then the infer processors.
 
-    Processors work by asset within a segment: the segment goes into the asset key, so all
-    segments are one job.  Columns that learning adds stay in the result.
+    Every segment is a panel of its own (``Panel.within``), so all segments are one job.  Columns
+    that learning adds stay in the result.
     """
 
     def __init__(self, handler: DataHandler, plan: SegmentPlan, overlap_policy: str = "last", closed: str = "both"):
         self.handler, self.plan, self.policy, self.closed = handler, plan, overlap_policy, closed
 
     def _keyed(self, panel: Panel, part: str) -> Panel:
-        rows = windows(panel, self.plan, part, self.closed).withColumn("__key", F.struct("segment", F.col(panel.asset)))
-        return Panel(rows.drop(panel.asset).withColumn("__slot", F.struct("segment", F.col(panel.time))), "__key", "__slot")
+        return Panel(windows(panel, self.plan, part, self.closed), panel.asset, panel.time, ("segment",))
 
     def run(self) -> Panel:
         shared = self.handler.shared_view().panel
@@ -200,9 +199,7 @@ class WalkForwardRunner:
             fitted, state = p.fit_transform(fitted)
             view = p.transform(view, state)
         view = self.handler.apply_infer(view)
-        df = view.panel.df.withColumn(shared.asset, F.col(f"__key.{shared.asset}"))
-        values = [c for c in df.columns if c not in ("__key", "__slot", "segment", shared.asset, shared.time)]
-        return shared.on(resolve(df, [shared.asset, shared.time], values, self.policy))
+        return shared.on(resolve(view.panel.df, [shared.asset, shared.time], view.panel.features, self.policy))
 
     def run_segment(self, i: int) -> Panel:
         return WalkForwardRunner(self.handler, SegmentPlan([self.plan[i]]), self.policy, self.closed).run()

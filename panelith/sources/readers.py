@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 from pathlib import Path
 
 import yaml
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -104,19 +106,51 @@ def file_table(spark: SparkSession, config: SourceConfig, default: str = "parque
     return reader.option("header", True).csv(config.path) if kind == "csv" else reader.format(kind).load(config.path)
 
 
+def headers(spark: SparkSession, folder: str) -> list[tuple[str, str]]:
+    """(path, first line) of the CSV files in a folder, on any file system Spark knows."""
+    jvm = spark._jvm
+    at = jvm.org.apache.hadoop.fs.Path(folder)
+    fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    paths = sorted(s.getPath().toString() for s in fs.globStatus(jvm.org.apache.hadoop.fs.Path(at, "*.csv")) or [])
+
+    def first(path: str) -> str:
+        try:
+            reader = jvm.java.io.BufferedReader(jvm.java.io.InputStreamReader(fs.open(jvm.org.apache.hadoop.fs.Path(path)), "UTF-8"))
+        except Py4JJavaError:
+            return ""
+        try:
+            return reader.readLine() or ""
+        finally:
+            reader.close()
+
+    with ThreadPoolExecutor(16) as pool:
+        return list(zip(paths, pool.map(first, paths)))
+
+
 def market_csv(spark: SparkSession, config: SourceConfig) -> DataFrame:
-    """A folder of CSV files, one a symbol (the file's name); rows that do not fit the header are
-    missing values, files that cannot be read are skipped."""
-    reader = spark.read.option("header", True).option("mode", "PERMISSIVE").option("ignoreCorruptFiles", True).option("pathGlobFilter", "*.csv")
-    df = reader.csv(config.path)
-    df = lowered(df).withColumn("identifier", F.regexp_extract(F.input_file_name(), r"([^/]+)\.csv$", 1))
-    df = df.withColumnRenamed("datetime", "date") if "date" not in df.columns and "datetime" in df.columns else df
-    if config.symbols:
-        df = df.where(F.col("identifier").isin(list(config.symbols)))
+    """A folder of CSV files, one a symbol (the file's name), each read by its own header; columns
+    that a file lacks and values that are no numbers are missing.
+
+    The headers (first lines) are read first, on the driver, some bytes a file; files of one header
+    are one scan, and the scans are put together by name.  Files that cannot be read or have no
+    header are skipped.
+    """
+    by_header: dict[str, list[str]] = {}
+    for path, header in headers(spark, config.path):
+        if header.strip() and (not config.symbols or path.rsplit("/", 1)[-1].removesuffix(".csv") in config.symbols):
+            by_header.setdefault(header, []).append(path)
+    out = None
+    for _, files in sorted(by_header.items()):
+        df = lowered(spark.read.options(header=True, mode="PERMISSIVE", ignoreCorruptFiles=True, enforceSchema=False).csv(files))
+        df = df.withColumn("identifier", F.regexp_extract(F.col("_metadata.file_name"), r"(.+)\.csv$", 1))
+        df = df.withColumnRenamed("datetime", "date") if "date" not in df.columns and "datetime" in df.columns else df
+        out = df if out is None else out.unionByName(df, allowMissingColumns=True)
+    if out is None:
+        return spark.createDataFrame([], "date timestamp_ntz, identifier string")
     if config.columns:
-        df = df.select("date", "identifier", *[c.lower() for c in config.columns if c.lower() not in ("date", "identifier")])
-    df = df.withColumn("date", F.expr("try_cast(date as timestamp_ntz)"))
-    return numbers(df, ["date", "identifier"])
+        out = out.select("date", "identifier", *[c.lower() for c in config.columns if c.lower() not in ("date", "identifier")])
+    out = out.withColumn("date", F.expr("try_cast(date as timestamp_ntz)"))
+    return numbers(out, ["date", "identifier"])
 
 
 def generic_table(spark: SparkSession, config: SourceConfig) -> DataFrame:

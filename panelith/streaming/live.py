@@ -1,6 +1,6 @@
 """Streams: the same features over rows as they come (an addition to the batch panel).
 
-``rolling_mean`` keeps a short list of values an asset in the state store; ``bars`` aggregates
+``ema`` keeps one mean an asset in the state store; ``bars`` aggregates
 events into time windows behind a watermark.
 """
 
