@@ -1,19 +1,26 @@
 """Language-model scores from a log-frequency Bloom filter.
 
 Training.  Each task hashes its words and word pairs and counts them before anything is shuffled;
-what moves is a sorted block of hashes for each bucket of the hash space.  A bucket is merged in
-one task and gives a segment: a table of exact word counts, and a Bloom filter that holds, for
-every n-gram (words and pairs), one entry for each level up to 1 + floor(log_BASE(count)).
+what moves is a block for each occupied bucket of the hash space: words with counts, and for pairs
+the histories (first words), each with its followers.  A bucket is merged in one task and gives a
+segment: a table of exact word counts, and a Bloom filter that holds, for every pair (h w) seen
+twice or more, one entry for each level up to 1 + floor(log_BASE(c(h w) - 1)).
 
-Scoring.  Segments are broadcast to the workers in groups of at most ``max_broadcast_mb``, as
-many groups as there are (one, as a rule; more passes over the texts where the corpus is larger:
-an exact way on, not a cap).  A count is read off by probing level after level until a probe
-fails.  With c' such a count, l the share of pair tokens that are no singletons (from the whole
-training corpus), and P1 the smoothed word distribution,
+Model.  Absolute discounting by one, so that pairs seen once need no entry and lose nothing:
+
+    P(w | h) = (q(h w) + (c(h) - R(h)) * P1(w)) / c(h),      P(w | h) = P1(w) for an unseen h,
 
-    P(w | h) = l * min(1, c'(h w) / c'(h)) + (1 - l) * P1(w).
+with q the least count less one that has the level read off the filter (0: no entry), c(h) the
+exact count of the history, R(h) the sum of q(h w) over all w, kept with the words, and P1 the
+smoothed word distribution.  q is never above the true count less one, so R(h) < c(h) and the rows
+sum to 1, quantised as they are, but for false positives.  Without quantisation, c(h) - R(h) is
+the number of different followers.
 
-The first history is the end token, which also closes each text.
+Scoring.  Segments are broadcast to the workers in groups of at most ``max_broadcast_mb``, as
+many groups as there are (one, as a rule; more passes where the corpus is larger: an exact way on,
+not a cap).  A level is read off by probing one after the other until a probe fails.  Between
+passes, texts go as hashes of their tokens.  The first history is the end token, which also closes
+each text.
 
 Nulls and empty texts: a null text is empty: one token, the end.  A null id counts as a training
 document.  Very long texts: memory follows the longest text.  Repeated rows count as often as they
@@ -36,7 +43,7 @@ from .bpe import WordCache
 from .tables import arrow_map, batch, crc_mod5, slices, stored, texts_of
 
 #: Quantisation base; bits of the filter an entry; probes a lookup; tokens counted at a time.
-BASE, BITS, PROBES, FLUSH = 1.5, 10, 4, 1_500_000
+BASE, BITS, PROBES, FLUSH = 1.5, 10, 4, 1_000_000
 END = xxhash.xxh3_64_intdigest(b"")
 _MIX = (np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15))
 _S = [np.uint64(x) for x in (30, 27, 31, 32, 6, 63)]
@@ -81,39 +88,51 @@ def histories(tokens: np.ndarray) -> np.ndarray:
     return h
 
 
-def _blocks(kind: int, hashes: np.ndarray, bits: int):
-    """Sorted distinct hashes with counts, cut into buckets; singletons go without a count."""
-    keys, counts = np.unique(hashes, return_counts=True)
-    edges = np.searchsorted(keys, (np.arange(1, 1 << bits, dtype=np.uint64) << np.uint64(64 - bits)) if bits else np.empty(0, np.uint64))
-    edges = [0, *edges.tolist(), len(keys)]
-    for b in range(1 << bits):
-        k, c = keys[edges[b] : edges[b + 1]], counts[edges[b] : edges[b + 1]]
-        if len(k):
-            one = c == 1
-            yield kind, b, _narrow(k[one], kind), _narrow(k[~one], kind), c[~one].astype("<u4").tobytes()
+def occupied(keys: np.ndarray, bits: int):
+    """(bucket, from, to) of the runs of sorted keys that share a bucket."""
+    if len(keys):
+        bucket = (keys >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(keys), np.int64)
+        edges = [0, *(np.flatnonzero(np.diff(bucket)) + 1).tolist(), len(keys)]
+        for a, z in zip(edges, edges[1:]):
+            yield int(bucket[a]), a, z
+
+
+def _word_blocks(tokens: np.ndarray, bits: int):
+    keys, counts = np.unique(tokens, return_counts=True)
+    for b, a, z in occupied(keys, bits):
+        yield 1, b, keys[a:z].astype("<u8").tobytes(), b"", b"", *_small(counts[a:z])
+
 
+def _pair_blocks(history: np.ndarray, tokens: np.ndarray, bits: int):
+    """Of each bucket the histories, how many followers each has, the followers' low 32 bits."""
+    keys, at, counts = np.unique(pair_hash(history, tokens), return_index=True, return_counts=True)
+    h, w = history[at], tokens[at].astype(np.uint32)
+    for b, a, z in occupied(keys, bits):
+        order = np.argsort(h[a:z], kind="stable")
+        mine = h[a:z][order]
+        first = np.flatnonzero(np.concatenate([[True], mine[1:] != mine[:-1]]))
+        runs = np.diff(np.append(first, z - a))
+        yield 2, b, mine[first].astype("<u8").tobytes(), runs.astype("<u4").tobytes(), w[a:z][order].astype("<u4").tobytes(), *_small(counts[a:z][order])
 
-def _narrow(k: np.ndarray, kind: int) -> bytes:
-    """Words keep 64 bits, so that counts are exact; for pairs the bucket and 40 more bits do."""
-    if kind == 1:
-        return k.astype("<u8").tobytes()
-    return (k >> np.uint64(8)).astype("<u4").tobytes() + (k >> np.uint64(40)).astype(np.uint8).tobytes()
 
+def _small(counts: np.ndarray) -> tuple[bytes, bytes]:
+    """A byte a count; 255 stands for the next of the large ones."""
+    large = counts >= 255
+    return np.where(large, 255, counts).astype(np.uint8).tobytes(), counts[large].astype("<u4").tobytes()
 
-def _wide(raw: bytes, kind: int) -> np.ndarray:
-    if kind == 1:
-        return np.frombuffer(raw, "<u8")
-    n = len(raw) // 5
-    low, high = np.frombuffer(raw, "<u4", n), np.frombuffer(raw, np.uint8, n, 4 * n)
-    return (high.astype(np.uint64) << np.uint64(32)) | low
+
+def _counts(small: bytes, large: bytes) -> np.ndarray:
+    out = np.frombuffer(small, np.uint8).astype(np.int64)
+    out[out == 255] = np.frombuffer(large, "<u4")
+    return out
 
 
 def levels_of(counts: np.ndarray) -> np.ndarray:
     return 1 + np.floor(np.log(counts) / math.log(BASE) + 1e-9).astype(np.int64)
 
 
-#: The middle of the counts that have a level; level 0: none.
-VALUE = np.array([0.0] + [max(1.0, (math.ceil(BASE ** (j - 1) - 1e-9) + max(math.ceil(BASE ** (j - 1) - 1e-9), math.ceil(BASE**j - 1e-9) - 1)) / 2) for j in range(1, 110)])
+#: The least count of each level; level 0: none.
+VALUE = np.array([0.0] + [float(math.ceil(BASE ** (j - 1) - 1e-9)) for j in range(1, 110)])
 
 
 def place(keys: np.ndarray, level: int | np.ndarray, words: np.ndarray | int) -> tuple[np.ndarray, np.ndarray]:
@@ -128,115 +147,157 @@ def place(keys: np.ndarray, level: int | np.ndarray, words: np.ndarray | int) ->
     return at.astype(np.int64), mask
 
 
-def tag(keys: np.ndarray, bits: int, kind: int) -> np.ndarray:
-    """What the filter knows of a hash: the 40 bits below the bucket's 8 lowest are dropped, and
-    words and pairs are told apart."""
-    low = (keys >> np.uint64(8)) & np.uint64((1 << 40) - 1)
-    return low | np.uint64(kind << 40)
-
-
-def _segment(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Merges the blocks of one bucket: exact word counts, and its part of the filter."""
-    entries, stats, exact = [], {}, (b"", b"")
-    for kind in (1, 2):
-        part = pdf[pdf["kind"] == kind]
-        one = [_wide(x, kind) for x in part["one"]]
-        more = [_wide(x, kind) for x in part["more"]]
-        n = [np.frombuffer(x, "<u4") for x in part["counts"]]
-        keys = np.concatenate([*one, *more, np.empty(0, np.uint64)])
-        weight = np.concatenate([np.ones(sum(map(len, one)), np.int64), *[x.astype(np.int64) for x in n]])
-        order = np.argsort(keys)
-        keys, weight = keys[order], weight[order]
-        first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.empty(0, np.int64)
-        keys, counts = keys[first], np.add.reduceat(weight, first) if len(first) else weight
-        stats[kind] = (len(keys), int(counts.sum()), int((counts == 1).sum()))
-        if kind == 1:
-            exact = (keys.astype("<u8").tobytes(), counts.astype("<i8").tobytes())
-            keys = tag(keys, 0, 1)
-        else:
-            keys = keys | np.uint64(2 << 40)
-        entries.append((keys, levels_of(counts)))
-    total = sum(int(lv.sum()) for _, lv in entries)
-    words = max(1, -(-total * BITS // 64))
-    bits = np.zeros(words, np.uint64)
-    for keys, lv in entries:
-        level = 1
-        while len(keys):
-            at, mask = place(keys, level, words)
-            np.bitwise_or.at(bits, at, mask)
-            keep = lv > level
-            keys, lv, level = keys[keep], lv[keep], level + 1
-    row = {"bucket": pdf["bucket"].iloc[0], "filter": bits.astype("<u8").tobytes(), "words": exact[0], "counts": exact[1], "bytes": 8 * words + len(exact[0]) + len(exact[1])}
-    row |= {"distinct1": stats[1][0], "tokens": stats[1][1], "distinct2": stats[2][0], "single2": stats[2][2]}
+def entry_key(history: np.ndarray, word: np.ndarray) -> np.ndarray:
+    """What the filter knows of a pair: the history and 32 bits of the word."""
+    return pair_hash(history, word & np.uint64(0xFFFFFFFF))
+
+
+def summed(keys: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys, sorted, with the sums of their weights."""
+    order = np.argsort(keys)
+    keys, weight = keys[order], weight[order]
+    first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.empty(0, np.int64)
+    return keys[first], np.add.reduceat(weight, first) if len(first) else weight
+
+
+def build_filter(keys: np.ndarray, levels: np.ndarray, entry_bits: int = BITS) -> np.ndarray:
+    words = max(1, -(-int(levels.sum()) * entry_bits // 64))
+    bits, level = np.zeros(words, np.uint64), 1
+    while len(keys):
+        at, mask = place(keys, level, words)
+        np.bitwise_or.at(bits, at, mask)
+        keep = levels > level
+        keys, levels, level = keys[keep], levels[keep], level + 1
+    return bits
+
+
+def _merge(pdf: pd.DataFrame, entry_bits: int = BITS) -> pd.DataFrame:
+    """Merges the blocks of one bucket: exact word counts, the pairs' filter, and what the pairs
+    give to their histories (R, in part)."""
+    some = pdf[pdf["kind"] == 1]
+    keys = np.concatenate([*(np.frombuffer(x, "<u8") for x in some["heads"]), np.empty(0, np.uint64)])
+    words, counts = summed(keys, np.concatenate([*map(_counts, some["small"], some["large"]), np.empty(0, np.int64)]))
+    some = pdf[pdf["kind"] == 2]
+    heads = np.concatenate([*(np.frombuffer(x, "<u8") for x in some["heads"]), np.empty(0, np.uint64)])
+    runs = np.concatenate([*(np.frombuffer(x, "<u4") for x in some["runs"]), np.empty(0, np.uint32)])
+    tails = np.concatenate([*(np.frombuffer(x, "<u4") for x in some["tails"]), np.empty(0, np.uint32)])
+    known, back = np.unique(heads, return_inverse=True)
+    pair = np.repeat(back.astype(np.uint64) << np.uint64(32), runs) | tails
+    pair, n = summed(pair, np.concatenate([*map(_counts, some["small"], some["large"]), np.empty(0, np.int64)]))
+    pair, n = pair[n > 1], n[n > 1]
+    head, levels = (pair >> np.uint64(32)).astype(np.int64), levels_of(n - 1)
+    bits = build_filter(entry_key(known[head], pair & np.uint64(0xFFFFFFFF)), levels, entry_bits)
+    given = np.bincount(head, VALUE[levels], len(known)).astype(np.int64)
+    mine = np.flatnonzero(given)
+    row = {"bucket": pdf["bucket"].iloc[0], "filter": bits.astype("<u8").tobytes(), "words": words.astype("<u8").tobytes(), "counts": counts.astype("<i8").tobytes()}
+    row |= {"heads": known[mine].astype("<u8").tobytes(), "given": given[mine].astype("<i8").tobytes()}
     return pd.DataFrame([row])
 
 
-_SEGMENT = "bucket int, filter binary, words binary, counts binary, bytes long, distinct1 long, tokens long, distinct2 long, single2 long"
+_MERGED = "bucket int, filter binary, words binary, counts binary, heads binary, given binary"
+_SEGMENT = "bucket int, filter binary, once binary, words binary, counts binary, repeats binary, bytes long, distinct long, tokens long"
+
+
+def _bucket(key: str, bits: int):
+    return F.shiftrightunsigned(key, 64 - bits).cast("int") if bits else F.lit(0)
+
+
+def _finish(bits: int):
+    def finish(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        """Puts R beside the words of a bucket; words seen once have none and need no count."""
+        if not len(left):
+            return pd.DataFrame(columns=[c.split()[0] for c in _SEGMENT.split(", ")])
+        r = left.iloc[0]
+        words, counts = np.frombuffer(r["words"], "<u8"), np.frombuffer(r["counts"], "<i8")
+        repeats = np.zeros(len(words), np.int64)
+        if len(right):
+            repeats[np.searchsorted(words, right["head"].to_numpy(np.int64).view(np.uint64))] = right["given"].to_numpy(np.int64)
+        more = counts > 1
+        out = {"bucket": r["bucket"], "filter": r["filter"], "once": words[~more].tobytes(), "words": words[more].tobytes(), "counts": counts[more].tobytes(), "repeats": repeats[more].tobytes()}
+        return pd.DataFrame([out | {"bytes": sum(len(v) for v in out.values() if isinstance(v, bytes)), "distinct": len(words), "tokens": int(counts.sum())}])
 
+    return finish
 
-def train(docs: DataFrame, bits: int) -> DataFrame:
-    """Segments (one row a bucket) of the model of all texts of docs (column ``text``)."""
+
+def train(docs: DataFrame, bits: int, entry_bits: int = BITS) -> DataFrame:
+    """Segments (one row a bucket), stored, of the model of all texts of docs (column ``text``)."""
 
     def run(batches):
         tokens, held, size = Tokens(), [], 0
 
         def flush():
-            words = np.concatenate([a for a, _ in held])
-            pairs = np.concatenate([b for _, b in held])
-            rows = [*_blocks(1, words, bits), *_blocks(2, pairs, bits)]
-            kinds = (pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary())
+            t = np.concatenate(held)
+            rows = [*_word_blocks(t, bits), *_pair_blocks(histories(t), t, bits)]
+            kinds = (pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.binary(), pa.binary())
             for a in range(0, len(rows), 4096):
-                yield batch({k: ([r[i] for r in rows[a : a + 4096]], kinds[i]) for i, k in enumerate(("kind", "bucket", "one", "more", "counts"))})
+                yield batch({k: ([r[i] for r in rows[a : a + 4096]], kinds[i]) for i, k in enumerate(("kind", "bucket", "heads", "runs", "tails", "small", "large"))})
 
         for b in batches:
             texts = texts_of(b)
             for a, z in slices(texts):
-                t, _ = tokens(texts[a:z])
-                held.append((t, pair_hash(histories(t), t)))
-                size += len(t)
+                held.append(tokens(texts[a:z])[0])
+                size += len(held[-1])
                 if size >= FLUSH:
                     yield from flush()
                     held, size = [], 0
         if held:
             yield from flush()
 
-    blocks = docs.select("text").mapInArrow(run, "kind int, bucket int, one binary, more binary, counts binary")
-    return blocks.groupBy("bucket").applyInPandas(_segment, _SEGMENT)
+    def unpacked():
+        def run(b: pa.RecordBatch) -> pa.RecordBatch:
+            heads, given = (np.frombuffer(b"".join(b.column(k).to_pylist()), "<i8") for k in range(2))
+            return batch({"head": (heads, pa.int64()), "given": (given, pa.int64())})
+
+        return run
+
+    blocks = docs.select("text").mapInArrow(run, "kind int, bucket int, heads binary, runs binary, tails binary, small binary, large binary")
+    merged = stored(blocks.groupBy("bucket").applyInPandas(lambda pdf: _merge(pdf, entry_bits), _MERGED), "lm-merged")
+    given = arrow_map(merged.select("heads", "given"), unpacked, "head long, given long", rows=1).groupBy("head").agg(F.sum("given").alias("given"))
+    given = given.withColumn("bucket", _bucket("head", bits))
+    slim = merged.select("bucket", "filter", "words", "counts")
+    return stored(slim.groupBy("bucket").cogroup(given.groupBy("bucket")).applyInPandas(_finish(bits), _SEGMENT), "lm-segments")
 
 
 class Group:
     """The segments of some buckets, laid end to end for lookups."""
 
-    def __init__(self, rows, sizes: list[tuple[int, int, int]], bits: int):
-        """sizes: (bucket, words of its filter, words it counts), by bucket; rows in any order."""
-        n = 1 << bits
-        self.bits, self.size, self.at, first = bits, np.zeros(n, np.int64), np.zeros(n, np.int64), {}
-        at = counted = 0
-        for b, filter_words, words in sizes:
-            self.at[b], self.size[b], first[b] = at, filter_words, counted
-            at, counted = at + filter_words, counted + words
-        self.filter = np.empty(at, np.uint64)
-        self.words, self.counts = np.empty(counted, np.uint64), np.empty(counted, np.int64)
+    def __init__(self, rows, sizes: list[tuple[int, int, int, int]], bits: int):
+        """sizes: (bucket, words of its filter, words seen once, other words), by bucket; rows in
+        any order."""
+        n, ends = 1 << bits, np.cumsum([[0, 0, 0], *(s[1:] for s in sizes)], axis=0)
+        self.bits, self.size, self.at = bits, np.zeros(n, np.int64), np.zeros(n, np.int64)
+        first = {s[0]: e.tolist() for s, e in zip(sizes, ends)}
+        for b, filter_words, *_ in sizes:
+            self.at[b], self.size[b] = first[b][0], filter_words
+        a, b, c = ends[-1].tolist()
+        self.filter, self.once = np.empty(a, np.uint64), np.empty(b, np.uint64)
+        self.words, self.counts, self.repeats = np.empty(c, np.uint64), np.empty(c, np.int64), np.empty(c, np.int64)
         for r in rows:  # one at a time: the driver holds the group once
-            b = r["bucket"]
-            self.filter[self.at[b] : self.at[b] + self.size[b]] = np.frombuffer(r["filter"], "<u8")
-            a, k = first[b], len(r["words"]) // 8
-            self.words[a : a + k] = np.frombuffer(r["words"], "<u8")
-            self.counts[a : a + k] = np.frombuffer(r["counts"], "<i8")
-
-    def exact(self, keys: np.ndarray) -> np.ndarray:
-        if not len(self.words):
-            return np.zeros(len(keys), np.int64)
-        at = np.minimum(np.searchsorted(self.words, keys), len(self.words) - 1)
-        return np.where(self.words[at] == keys, self.counts[at], 0)
-
-    def level(self, keys: np.ndarray, kind: int) -> np.ndarray:
-        """Levels by repeated membership probes; 0 for buckets of other groups."""
-        out = np.zeros(len(keys), np.uint8)
-        bucket = (keys >> np.uint64(64 - self.bits)).astype(np.int64) if self.bits else np.zeros(len(keys), np.int64)
+            for at, names in zip(first[r["bucket"]], (("filter",), ("once",), ("words", "counts", "repeats"))):
+                for name in names:
+                    part = np.frombuffer(r[name], "<u8")
+                    getattr(self, name)[at : at + len(part)] = part.view(getattr(self, name).dtype)
+
+    def exact(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """c and R of words; 0 for words that are not known."""
+        c, r = np.zeros(len(keys), np.int64), np.zeros(len(keys), np.int64)
+        if len(self.once):
+            at = np.minimum(np.searchsorted(self.once, keys), len(self.once) - 1)
+            c[self.once[at] == keys] = 1
+        if len(self.words):
+            at = np.minimum(np.searchsorted(self.words, keys), len(self.words) - 1)
+            hit = self.words[at] == keys
+            c[hit], r[hit] = self.counts[at[hit]], self.repeats[at[hit]]
+        return c, r
+
+    def level(self, history: np.ndarray, word: np.ndarray) -> np.ndarray:
+        """Levels of pairs by repeated membership probes; 0 for buckets of other groups."""
+        out = np.zeros(len(word), np.uint8)
+        whole = pair_hash(history, word)
+        bucket = (whole >> np.uint64(64 - self.bits)).astype(np.int64) if self.bits else np.zeros(len(whole), np.int64)
         size = self.size[bucket]
         left = np.flatnonzero(size)
-        base, size, keys = self.at[bucket[left]], size[left], tag(keys[left], self.bits, kind)
+        base, size, keys = self.at[bucket[left]], size[left], entry_key(history[left], word[left])
         level = 1
         while len(left):
             at, mask = place(keys, level, size)
@@ -249,12 +310,41 @@ class Group:
         return out
 
 
+#: What is known of a token between passes.
+_STATE = np.dtype([("token", "<u8"), ("c", "<i8"), ("r", "<i8"), ("level", "u1")])
+
+
+def look_up(model: Group, token: np.ndarray, state: np.ndarray | None = None) -> np.ndarray:
+    """The state of tokens after this group."""
+    out = np.zeros(len(token), _STATE) if state is None else state.copy()
+    words, back = np.unique(token, return_inverse=True)
+    c, r = model.exact(words)
+    out["token"] = token
+    out["c"] += c[back]
+    out["r"] += r[back]
+    out["level"] = np.maximum(out["level"], model.level(histories(token), token))
+    return out
+
+
+def log_probability(state: np.ndarray, end: tuple[int, int], base: np.ndarray) -> np.ndarray:
+    """log10 P of each token; base: log10 P1.  end: c and R of the end token."""
+    c, r = np.empty(len(state)), np.empty(len(state))
+    c[1:], r[1:] = state["c"][:-1], state["r"][:-1]
+    c[:1], r[:1] = end
+    q = VALUE[state["level"]]
+    # a false positive could take the sum of a row above 1, but never a probability
+    with np.errstate(divide="ignore", invalid="ignore"):
+        p = np.minimum(1.0, (q + (c - r) * 10.0**base) / c)
+    return np.where(c > 0, np.log10(p, where=c > 0, out=np.zeros(len(p))), base)
+
+
 def score(docs: DataFrame, segments: DataFrame, bits: int, max_broadcast_mb: int = 160) -> DataFrame:
     """Scores docs (id, held_out, text) by the model in ``segments`` (a stored table)."""
     spark = docs.sparkSession
-    sizes = segments.select("bucket", "bytes", "distinct1", "tokens", "distinct2", "single2").orderBy("bucket").toPandas()
-    n, v = int(sizes["tokens"].sum()), int(sizes["distinct1"].sum())
-    known_pairs = 1 - int(sizes["single2"].sum()) / n if n else 0.0
+    lengths = [F.octet_length(c).alias(c) for c in ("filter", "once", "words")]
+    sizes = segments.select("bucket", "bytes", "distinct", "tokens", *lengths).orderBy("bucket").toPandas()
+    n, v = int(sizes["tokens"].sum()), int(sizes["distinct"].sum())
+    end = _end_of(segments, bits)
     groups, room = [[]], max_broadcast_mb << 20
     for bucket, size in zip(sizes["bucket"], sizes["bytes"]):
         if groups[-1] and room < size:
@@ -267,8 +357,8 @@ def score(docs: DataFrame, segments: DataFrame, bits: int, max_broadcast_mb: int
     for g, buckets in enumerate(groups):
         low, high = (buckets[0], buckets[-1]) if buckets else (0, -1)
         own = sizes[sizes["bucket"].between(low, high)]
-        shape = [(int(b), int(x - 16 * w) // 8, int(w)) for b, x, w in zip(own["bucket"], own["bytes"], own["distinct1"])]
-        rows = segments.where(F.col("bucket").between(low, high)).select("bucket", "filter", "words", "counts").toLocalIterator()
+        shape = [(int(r.bucket), r.filter // 8, r.once // 8, r.words // 8) for r in own.itertuples()]
+        rows = segments.where(F.col("bucket").between(low, high)).select("bucket", "filter", "once", "words", "counts", "repeats").toLocalIterator()
         shared = spark.sparkContext.broadcast(Group(rows, shape, bits))
         first, last = g == 0, g == len(groups) - 1
 
@@ -276,56 +366,56 @@ def score(docs: DataFrame, segments: DataFrame, bits: int, max_broadcast_mb: int
             tokens = Tokens()
             log_base = math.log10(n + 0.5 * (v + 1))
 
+            def hashes(b: pa.RecordBatch, texts):
+                """Runs of rows: (tokens, lengths, state before)."""
+                if first:
+                    for a, z in slices(texts):
+                        yield *tokens(texts[a:z]), None
+                else:
+                    for a in range(0, len(texts), 256):
+                        before = np.frombuffer(b"".join(texts[a : a + 256]), _STATE)
+                        yield before["token"], np.array([len(x) // _STATE.itemsize for x in texts[a : a + 256]]), before
+
             def run(b: pa.RecordBatch) -> pa.RecordBatch:
                 model = shared.value
-                texts, before = texts_of(b), None if first else b.column(3).to_pylist()
                 cols: dict[str, list] = {k: [] for k in ("n_tokens", "n_known", "base_score", "score", "state")}
-                for a, z in slices(texts):
-                    t, lengths = tokens(texts[a:z])
-                    c, hl, pl = _look_up(model, t)
-                    if not first:
-                        old = np.frombuffer(b"".join(before[a:z]), np.uint8).reshape(-1, 10)
-                        c = c + np.ascontiguousarray(old[:, :8]).view("<i8").ravel()
-                        hl, pl = np.maximum(hl, old[:, 8]), np.maximum(pl, old[:, 9])
+                for t, lengths, before in hashes(b, texts_of(b) if first else b.column(2).to_pylist()):
+                    known = look_up(model, t, before)
                     ends = np.cumsum(lengths)
+                    starts = ends - lengths
                     if not last:
-                        packed = np.empty((len(t), 10), np.uint8)
-                        packed[:, :8] = np.ascontiguousarray(c.astype("<i8")).view(np.uint8).reshape(-1, 8)
-                        packed[:, 8], packed[:, 9] = hl, pl
-                        cols["state"] += [packed[e - k : e].tobytes() for e, k in zip(ends.tolist(), lengths.tolist())]
+                        cols["state"] += [known[a:z].tobytes() for a, z in zip(starts.tolist(), ends.tolist())]
                         continue
-                    starts = ends - lengths
-                    base = np.log10(c + 0.5) - log_base
-                    seen, history = VALUE[pl], np.maximum(VALUE[hl], 1.0)
-                    p = known_pairs * np.minimum(1.0, seen / history) + (1 - known_pairs) * 10.0**base
+                    base = np.log10(known["c"] + 0.5) - log_base
                     cols["n_tokens"] += lengths.tolist()
-                    cols["n_known"] += np.add.reduceat((c > 0).astype(np.int64), starts).tolist()
+                    cols["n_known"] += np.add.reduceat((known["c"] > 0).astype(np.int64), starts).tolist()
                     cols["base_score"] += np.add.reduceat(base, starts).tolist()
-                    cols["score"] += np.add.reduceat(np.log10(p), starts).tolist()
+                    cols["score"] += np.add.reduceat(log_probability(known, end, base), starts).tolist()
                 out = {"id": (b.column(0), None), "held_out": (b.column(1), None)}
                 if not last:
-                    return batch(out | {"text": (b.column(2), None), "state": (cols["state"], pa.binary())})
+                    return batch(out | {"state": (cols["state"], pa.binary())})
                 ints = {k: (cols[k], pa.int64()) for k in ("n_tokens", "n_known")}
-                return batch(out | ints | {"train_tokens": ([n] * len(texts), pa.int64())} | {k: (cols[k], pa.float64()) for k in ("base_score", "score")})
+                return batch(out | ints | {"train_tokens": ([n] * b.num_rows, pa.int64())} | {k: (cols[k], pa.float64()) for k in ("base_score", "score")})
 
             return run
 
-        schema = f"id {kind}, held_out boolean, " + ("n_tokens long, n_known long, train_tokens long, base_score double, score double" if last else "text string, state binary")
+        schema = f"id {kind}, held_out boolean, " + ("n_tokens long, n_known long, train_tokens long, base_score double, score double" if last else "state binary")
         state = arrow_map(state, make, schema)
         if not last:
             state = stored(state, "lm-state")
     return state
 
 
-def _look_up(model: Group, t: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Exact count of each token, level of its history, level of the pair."""
-    words, at = np.unique(t, return_inverse=True)
-    c, lv = model.exact(words)[at], model.level(words, 1)[at]
-    hl = np.empty_like(lv)
-    hl[1:] = lv[:-1]
-    if len(t):
-        hl[0] = model.level(np.array([END], np.uint64), 1)[0]
-    return c.astype(np.int64), hl, model.level(pair_hash(histories(t), t), 2)
+def _end_of(segments: DataFrame, bits: int) -> tuple[int, int]:
+    """c and R of the end token, the history of all first words."""
+    bucket = END >> (64 - bits) if bits else 0
+    for r in segments.where(F.col("bucket") == bucket).select("once", "words", "counts", "repeats").collect():
+        if END in np.frombuffer(r["once"], "<u8"):
+            return 1, 0
+        at = np.flatnonzero(np.frombuffer(r["words"], "<u8") == np.uint64(END))
+        if len(at):
+            return tuple(int(np.frombuffer(r[k], "<i8")[at[0]]) for k in ("counts", "repeats"))
+    return 0, 0
 
 
 def bucket_bits(total_bytes: int, bucket_bytes: int = 8 << 20) -> int:
@@ -333,10 +423,10 @@ def bucket_bits(total_bytes: int, bucket_bytes: int = 8 << 20) -> int:
     return max(4, math.ceil(math.log2(max(1, total_bytes / bucket_bytes))))
 
 
-def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_broadcast_mb: int = 160) -> DataFrame:
+def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_broadcast_mb: int = 160, entry_bits: int = BITS) -> DataFrame:
     """Trains on documents whose crc32(id) mod 5 is not 1 and scores all of them."""
     slim = docs.select(F.col(id_col).alias("id"), F.coalesce(crc_mod5(id_col) == 1, F.lit(False)).alias("held_out"), F.col(text_col).cast("string").alias("text"))
     total = slim.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     bits = bucket_bits(total)
-    segments = stored(train(slim.where(~F.col("held_out")), bits), "lm-segments")
+    segments = train(slim.where(~F.col("held_out")), bits, entry_bits)
     return score(slim, segments, bits, max_broadcast_mb).withColumnRenamed("id", id_col)
