@@ -21,7 +21,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .vector_search import PRIMING, TopLists, best, build_segments, finite_vectors, grouped, matrix, query_chunks, rounds
+from .vector_search import PRIMING, TopLists, best, build_segments, finite_vectors, grouped, lists_of, matrix, query_chunks, rounds
 
 BLOCK = 128
 _LOWEST = np.iinfo(np.int64).min + 1  # its negative is still a number
@@ -44,16 +44,21 @@ def search_segment(ids: np.ndarray, x: np.ndarray, query_ids: np.ndarray, q: np.
     most, least = np.maximum.reduceat(x, edges), np.minimum.reduceat(x, edges)
     bounds = products(np.maximum(q, 0), most) + products(np.maximum(-q, 0), -least)
     scored = 0
-    for block, bound in rounds(bounds, ascending=False):
-        open_ = np.flatnonzero(bound >= top.floor)
-        if not len(open_):
-            break
-        for b, rows in grouped(open_, block[open_]):
+    rows, blocks = np.nonzero(bounds >= top.floor[:, None])
+    # bounds are integers of any size: their places in falling order stand for them
+    falling = np.unique(-bounds[rows, blocks], return_inverse=True)[1]
+    for rows, block, place in rounds(rows, blocks, falling):
+        open_ = bounds[rows, block] >= top.floor[rows]
+        if not open_.any():
+            continue
+        for b, mine in grouped(rows[open_], block[open_]):
             part = slice(b * BLOCK, (b + 1) * BLOCK)
-            s = products(q[rows], x[part])
-            s[query_ids[rows][:, None] == ids[part][None, :]] = _LOWEST
-            top.add(rows, s, ids[part])
-            scored += len(rows)
+            for at in range(0, len(mine), 4096):
+                some = mine[at : at + 4096]
+                s = products(q[some], x[part])
+                s[query_ids[some][:, None] == ids[part][None, :]] = _LOWEST
+                top.add(some, s, ids[part])
+                scored += len(some)
     return scored
 
 
@@ -71,30 +76,23 @@ def top_k(vectors: DataFrame, k: int = 20, scale: int = 64, every: int = 20, id_
     prime_ids = prime.column("id").to_numpy().astype(np.int64)
     prime_x = matrix(prime.column("v").combine_chunks(), width, np.int64) if len(prime_ids) else np.zeros((0, width), np.int64)
 
-    out = None
-    for query_ids, q in query_chunks(whole.where(F.col("id") % every == 0), width, "int64"):
-        floor = np.full(len(q), _LOWEST)
-        if len(prime_ids) > k:
-            for a in range(0, len(q), 1024):
-                s = products(q[a : a + 1024], prime_x)
-                s[query_ids[a : a + 1024][:, None] == prime_ids[None, :]] = _LOWEST
-                floor[a : a + 1024] = np.partition(s, -k, axis=1)[:, -k]
-        shared = spark.sparkContext.broadcast((query_ids, q, floor))
-
-        def run(batches, shared=shared):
-            import pyarrow as pa
-
-            query_ids, q, floor = shared.value
-            top = TopLists(len(q), k, floor, np.int64, _LOWEST)
-            for b in batches:
-                for ids, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                    search_segment(np.frombuffer(ids, np.int64), np.frombuffer(x, np.int64).reshape(-1, width), query_ids, q, top)
-            rows = top.rows(query_ids, pa.int64())
-            if rows is not None:
-                yield rows
-
-        part = segments.mapInArrow(run, "query_id long, ids array<long>, scores array<long>")
-        out = part if out is None else out.unionByName(part)
-    if out is None:
-        out = spark.createDataFrame([], "query_id long, ids array<long>, scores array<long>")
-    return best(out, k, "long")
+    def chunks():
+        for query_ids, q in query_chunks(whole.where(F.col("id") % every == 0), width, "int64"):
+            floor = np.full(len(q), _LOWEST)
+            if len(prime_ids) > k:
+                for a in range(0, len(q), 1024):
+                    s = products(q[a : a + 1024], prime_x)
+                    s[query_ids[a : a + 1024][:, None] == prime_ids[None, :]] = _LOWEST
+                    floor[a : a + 1024] = np.partition(s, -k, axis=1)[:, -k]
+            yield query_ids, q, floor
+
+    def search(chunk):
+        query_ids, q, floor = chunk
+        top = TopLists(len(q), k, floor, np.int64, _LOWEST)
+
+        def take(ids, x):
+            search_segment(np.frombuffer(ids, np.int64), np.frombuffer(x, np.int64).reshape(-1, width), query_ids, q, top)
+
+        return take, top
+
+    return best(lists_of(segments, chunks(), "long", search), k, "long")

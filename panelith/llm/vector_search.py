@@ -2,10 +2,10 @@
 
 Rows are dealt out by ranges, so that like rows meet and copies of one vector still spread, and
 packed into segments of at most ``SEGMENT`` rows, which are written once to the shared folder.
-Queries are broadcast in chunks of at most ``CHUNK_BYTES`` (a chunk is all that the driver ever
-holds; there are as many passes over the segments as chunks).  A task keeps one top-k list a query
-for all its segments and emits only what may still be among the k best, so nothing is shuffled
-but short lists.
+Queries are broadcast in chunks of at most ``CHUNK_BYTES``, one after the other: a chunk is all that
+the driver ever holds, and its lists are written before the next one is made (as many passes over
+the segments as chunks).  A task keeps one top-k list a query for all its segments and emits only
+what may still be among the k best, so nothing is shuffled but short lists.
 """
 
 from __future__ import annotations
@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .tables import batch, stored
+from .tables import batch, shared_folder, stored
 
 SEGMENT, CHUNK_BYTES, PRIMING = 8192, 32 << 20, 1024
 
@@ -115,12 +115,17 @@ class TopLists:
         return pa.RecordBatch.from_arrays([pa.array(query_ids[some], pa.int64()), *lists], names=["query_id", "ids", "scores"])
 
 
-def rounds(bounds: np.ndarray, ascending: bool):
-    """For each place in the queries' own orders: the block at that place, for all queries."""
-    order = np.argsort(bounds if ascending else -bounds, axis=1, kind="stable")
-    ordered = np.take_along_axis(bounds, order, 1)
-    for r in range(bounds.shape[1]):
-        yield order[:, r], ordered[:, r]
+def rounds(rows: np.ndarray, block: np.ndarray, bound: np.ndarray):
+    """(rows, blocks, bounds) of the first of each row's blocks, then of the second and so on, in
+    order of rising bounds."""
+    order = np.lexsort((bound, rows))
+    rows, block, bound = rows[order], block[order], bound[order]
+    first = np.flatnonzero(np.concatenate([[True], rows[1:] != rows[:-1]])) if len(rows) else np.empty(0, np.int64)
+    place = np.arange(len(rows)) - np.repeat(first, np.diff(np.append(first, len(rows))))
+    by = np.argsort(place, kind="stable")
+    edges = np.flatnonzero(np.diff(place[by])) + 1
+    for part in np.split(by, edges) if len(by) else ():
+        yield rows[part], block[part], bound[part]
 
 
 def grouped(rows: np.ndarray, block: np.ndarray):
@@ -132,6 +137,31 @@ def grouped(rows: np.ndarray, block: np.ndarray):
             yield int(block[part[0]]), rows[part]
 
 
+def lists_of(segments: DataFrame, chunks, kind: str, search: Callable) -> DataFrame:
+    """query_id, ids, scores: the lists of all tasks, for all chunks.
+
+    chunks yields (query_ids, *more); search(chunk) gives a function from the tuples of a segment's
+    columns to the chunk's TopLists, which it fills.
+    """
+    spark, folder = segments.sparkSession, shared_folder(segments.sparkSession, "lists")
+    schema, arrow = f"query_id long, ids array<long>, scores array<{kind}>", {"long": pa.int64(), "double": pa.float64()}[kind]
+    spark.createDataFrame([], schema).write.parquet(folder)
+    for chunk in chunks:
+        shared = spark.sparkContext.broadcast(chunk)
+
+        def run(batches, shared=shared):
+            take, top = search(shared.value)
+            for b in batches:
+                for segment in zip(*(c.to_pylist() for c in b.columns)):
+                    take(*segment)
+            if (rows := top.rows(shared.value[0], arrow)) is not None:
+                yield rows
+
+        segments.mapInArrow(run, schema).write.mode("append").parquet(folder)
+        shared.destroy()
+    return spark.read.schema(schema).parquet(folder)
+
+
 def best(lists: DataFrame, k: int, kind: str) -> DataFrame:
     """Merges the tasks' lists: query_id, rank, vec_id, score."""
     each = lists.select("query_id", F.explode(F.arrays_zip("ids", "scores")).alias("x")).select("query_id", F.col("x.ids").alias("vec_id"), F.col("x.scores").cast(kind).alias("score"))
