@@ -56,6 +56,7 @@ class MergeTable:
         for rank, pair in enumerate(model["merges"], 1):
             a, b = pair.split(" ") if isinstance(pair, str) else pair
             self.merges.setdefault(self.vocab[a] << 20 | self.vocab[b], rank << 20 | self.vocab[a + b])
+        model["merges"] = ()  # what is kept is the table above
         self.special = {t["content"]: t["id"] for t in spec.get("added_tokens", [])}
         if any(t["normalized"] or t["lstrip"] or t["rstrip"] or t["single_word"] for t in spec.get("added_tokens", [])):
             raise ValueError(f"{path}: added tokens that strip or need normal text are not supported")

@@ -301,5 +301,5 @@ def near_duplicates(docs: DataFrame, reach: int = 3, id_col: str = "doc_id", tex
     lows = roots.join(classes, roots["node"] == classes["fp"]).groupBy("root").agg(F.min("low").alias("low")).checkpoint()
     linked = roots.join(lows, "root").selectExpr("node as fp", "low as component_id")
     every = classes.join(linked, "fp", "left").select("fp", F.coalesce("component_id", "low").alias("component_id"), "c").checkpoint()
-    done = join_hot(marked, every, ["fp"], "c", marked.count())
+    done = join_hot(marked, every, ["fp"], "c")
     return done.select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")

@@ -80,18 +80,28 @@ def arrow_map(df: DataFrame, make, schema: str, rows: int = 1024) -> DataFrame:
 HOT = 1000
 
 
-def join_hot(rows: DataFrame, keyed: DataFrame, keys: list[str], count: str, total: int) -> DataFrame:
-    """Inner join of ``rows`` with ``keyed`` (one row a key, with the number of rows that have it in
-    column ``count``, which is dropped), where some keys may hold a large share of all rows.
+def join_hot(rows: DataFrame, keyed: DataFrame, keys: list[str], count: str) -> DataFrame:
+    """Inner join of ``rows`` with ``keyed`` (stored; one row a key, with the number of rows that
+    have it in column ``count``), where some keys may hold a large share of all rows.
 
-    Hot keys are fewer than ``HOT``, so they are broadcast and their rows stay where they are; the
-    others are shuffled as usual.
+    Hot keys are fewer than ``HOT``, so they are broadcast; their rows are spread by a hash of the
+    whole row and meet nothing in the shuffle that joins the others.
     """
-    is_hot = F.col(count) * HOT > total
-    hot = keyed.where(is_hot).limit(HOT)  # the limit never cuts: it states the bound
-    few = F.broadcast(hot.drop(count))
-    rest = rows.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(keyed.where(~is_hot).drop(count), keys)
-    return rows.join(few, keys).unionByName(rest)
+    total, most = keyed.agg(F.sum(count), F.max(count)).first()
+    if not total or most * HOT <= total:
+        return rows.join(keyed, keys)
+    is_hot, values = F.col(count) * HOT > total, F.struct(*[c for c in keyed.columns if c not in keys])
+    few, rest, salt, other, *names = free_names(rows, "few", "rest", "salt", "other", *(f"key{i}" for i in range(len(keys))))
+    hot = keyed.where(is_hot).limit(HOT).select(*keys, values.alias(few))  # the limit never cuts: it states the bound
+    others = keyed.where(~is_hot).select(*[F.col(k).alias(n) for k, n in zip(keys, names)], values.alias(rest))
+    marked = rows.join(F.broadcast(hot), keys, "left").withColumn(salt, F.when(F.col(few).isNotNull(), F.xxhash64(*rows.columns)).otherwise(F.lit(0).cast("long")))
+    # 0, but nothing that could be folded: the salt has to be a key of the shuffle
+    others = others.withColumn(other, F.pmod(F.xxhash64(*names), F.lit(1).cast("long")))
+    same = F.col(salt) == F.col(other)
+    for k, n in zip(keys, names):
+        same = same & (F.col(k) == F.col(n))
+    found = marked.join(others, same, "left")
+    return found.withColumn(rest, F.coalesce(few, rest)).where(F.col(rest).isNotNull()).select(*[F.col(c) for c in rows.columns], f"{rest}.*")
 
 
 def free_names(df: DataFrame, *stems: str) -> list[str]:

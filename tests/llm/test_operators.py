@@ -65,6 +65,44 @@ def test_quality_odd_rows(spark, docs):
     assert quality_gam.score(docs.limit(0), model).count() == 0
 
 
+def plain_features(text):
+    """The features, counted character by character and word by word."""
+    raw = (text or "").encode()
+    if not raw:
+        return [0.0] * len(quality_gam.FEATURES)
+    n, chars = len(raw), [chr(b) for b in raw]
+    share = lambda f: sum(map(f, chars)) / n
+    low = lambda c: ord(c) < 128
+    words = [w.decode("latin-1") for w in raw.lower().split()]
+    d, pairs = max(1, len(words)), list(zip(words, words[1:]))
+    marks, ends = "#$%&*|@^~_=<>{}\\/+`[]!", ".?!"
+    return [
+        math.log1p(n), math.log1p(len(words)), share(lambda c: low(c) and c.isupper()), share(lambda c: c in ".,;:'\"()-"),
+        share(lambda c: low(c) and c.isprintable() and not c.isalnum() and c not in " .,;:'\"()-!?"), share(lambda c: low(c) and c.isdigit()), share(lambda c: c in " \t\r\x0b\x0c"),
+        share(lambda c: c == "\n"), share(lambda c: not low(c)), share(lambda c: c in "!?"), len({c for c in chars if "a" <= c <= "z"}) / 26,
+        sum(c not in " \t\n\x0b\x0c\r" for c in chars) / d, len(set(words)) / d, sum(x == y for x, y in pairs) / max(1, len(pairs)), len(set(pairs)) / max(1, len(pairs)),
+        sum(w[-1] in marks for w in words) / d, sum(w[-1] in ends for w in words) / d, sum(w in marks for w in words if len(w) == 1) / d,
+    ]
+
+
+def test_scores_are_sums_of_table_entries(spark, docs):
+    """Every score again, by looking up one bin after the other."""
+    labels = spark.createDataFrame([(i, int(i % 3 > 0)) for i in range(70)], "doc_id long, quality int")
+    model = quality_gam.fit(docs, labels)
+    assert any(t.any() for t in model.tables)
+
+    def plain(text):
+        x = plain_features(text)
+        assert quality_gam.features(text or "") == pytest.approx(x)
+        bins = [sum(v >= e for e in edges.tolist()) for v, edges in zip(quality_gam.features(text or ""), model.edges)]
+        z = model.intercept + sum(float(t[b]) for t, b in zip(model.tables, bins)) + sum(float(t[bins[i], bins[j]]) for i, j, t in model.pairs)
+        return 1 / (1 + math.exp(-z))
+
+    want = sorted((str(i), round(plain(t), 9)) for i, t in some_docs())
+    got = quality_gam.score(docs, model).collect()
+    assert sorted((str(r.doc_id), round(r.score, 9)) for r in got) == want and all(r.predicted == (r.score >= 0.3) for r in got)
+
+
 def test_interactions_are_learnt():
     r = np.random.default_rng(0)
     x = r.uniform(-1, 1, (4000, 3))
@@ -162,33 +200,72 @@ def test_chi_square_quantile():
 # ---- 5 language model --------------------------------------------------------------------------
 
 
-def exact_model(rows):
+def exact_model(rows, quantised):
+    """Base figures, and the log-probability of each text, by plain counting."""
     docs = [(i, (t or "").encode().lower().split() + [b""]) for i, t in rows]
     train = [w for i, w in docs if i is None or zlib.crc32(str(i).encode()) % 5 != 1]
-    c, b = collections.Counter(), collections.Counter()
+    c, pairs = collections.Counter(), collections.Counter()
     for w in train:
         c.update(w)
-        b.update(zip([b"", *w], w))
+        pairs.update(zip([b"", *w], w))
     n, v = sum(c.values()), len(c)
-    share = 1 - sum(x == 1 for x in b.values()) / n
+    value = (lambda k: float(bloom_lm.VALUE[bloom_lm.levels_of(np.array([k]))[0]])) if quantised else float
+    q = {x: value(k - 1) for x, k in pairs.items() if k > 1}
+    repeats = collections.Counter()
+    for (h, _), k in q.items():
+        repeats[h] += k
+    base = lambda x: (c[x] + 0.5) / (n + 0.5 * (v + 1))
+    p = lambda x, h: (q.get((h, x), 0) + (c[h] - repeats[h]) * base(x)) / c[h] if c[h] else base(x)
 
     def score(w):
-        base = [math.log10((c[x] + 0.5) / (n + 0.5 * (v + 1))) for x in w]
-        full = [math.log10(share * (b[h, x] / c[h] if c[h] else 0) + (1 - share) * 10**p) for h, x, p in zip([b"", *w], w, base)]
-        return len(w), sum(c[x] > 0 for x in w), n, sum(base), sum(full)
+        return len(w), sum(c[x] > 0 for x in w), n, sum(math.log10(base(x)) for x in w), sum(math.log10(p(x, h)) for h, x in zip([b"", *w], w))
+
+    return docs, c, p, base, score
 
-    return collections.Counter((i, *(round(x, 6) for x in score(w)[:4])) for i, w in docs), sum(score(w)[4] for _, w in docs)
+
+@pytest.mark.parametrize("quantised", [False, True])
+def test_rows_of_the_model_sum_to_one(quantised):
+    """Over all words and the one word that is not known, for every history."""
+    rows = [(i, " ".join(random.Random(i).choice("abcde") for _ in range(40))) for i in range(30)] + some_docs()
+    _, c, p, base, _ = exact_model(rows, quantised)
+    unknown = b"never seen"
+    assert abs(sum(map(base, [*c, unknown])) - 1) < 1e-9
+    for h in [*c, unknown]:
+        row = [p(x, h) for x in [*c, unknown]]
+        assert abs(sum(row) - 1) < 1e-9 and max(row) <= 1
 
 
 @pytest.mark.parametrize("limit", [160, 0])
 def test_language_model(spark, docs, limit, monkeypatch):
     """``limit`` 0: every segment is a broadcast of its own, and the passes add up to the same."""
     monkeypatch.setattr(bloom_lm, "bucket_bits", lambda n: 3)
-    got = bloom_lm.score_documents(docs, max_broadcast_mb=limit).collect()
-    want, total = exact_model(some_docs())
-    assert collections.Counter((r.doc_id, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 6)) for r in got) == want
-    assert abs(sum(r.score for r in got) - total) < 0.03 * abs(total)  # quantised, few false positives
+    got = bloom_lm.score_documents(docs, max_broadcast_mb=limit, entry_bits=400).collect()  # hardly any false positives
+    texts, *_, score = exact_model(some_docs(), True)
+    want = collections.Counter((i, *(round(x, 5) for x in score(w))) for i, w in texts)
+    assert collections.Counter((r.doc_id, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 5), round(r.score, 5)) for r in got) == want
     assert {r.doc_id for r in got if r.held_out} == {i for i, _ in some_docs() if i is not None and zlib.crc32(str(i).encode()) % 5 == 1}
+    exact = exact_model(some_docs(), False)[-1]
+    # quantisation takes less than BASE from a count
+    assert all(abs(score(w)[4] - exact(w)[4]) <= len(w) * math.log10(2) for _, w in texts)
+
+
+def test_false_positives_are_few(spark, docs):
+    texts, *_, score = exact_model(some_docs(), True)
+    want = sum(score(w)[4] for _, w in texts)
+    assert abs(sum(r.score for r in bloom_lm.score_documents(docs).collect()) - want) < 0.03 * abs(want)
+
+
+def test_text_of_a_training_document_scores_higher(spark):
+    """A text that occurs twice is more probable than one like it that occurs once."""
+    r = random.Random(2)
+    words = ["w%d" % i for i in range(400)]
+    rows = [(i, " ".join(r.choice(words) for _ in range(60))) for i in range(300)]
+    rows += [(1000 + i, rows[i][1]) for i in range(60)]
+    got = {x.doc_id: x.score / x.n_tokens for x in bloom_lm.score_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    trained = lambda i: zlib.crc32(str(i).encode()) % 5 != 1
+    twice = [got[i] for i in range(60) if trained(i) and trained(1000 + i)]
+    once = [got[i] for i in range(60, 300)]
+    assert len(twice) > 20 and min(twice) > max(once)
 
 
 def test_language_model_without_training_rows(spark):
@@ -202,7 +279,7 @@ def test_levels_and_probes():
     counts = np.array([1, 2, 3, 5, 8, 100, 10**6])
     lv = bloom_lm.levels_of(counts)
     assert (np.diff(lv) >= 0).all() and lv[0] == 1
-    assert (np.abs(np.log(bloom_lm.VALUE[lv] / counts)) <= math.log(bloom_lm.BASE)).all()
+    assert (bloom_lm.VALUE[lv] <= counts).all() and (counts < np.maximum(bloom_lm.VALUE[lv] + 1, bloom_lm.VALUE[lv] * bloom_lm.BASE)).all()
 
 
 # ---- 6 lines -----------------------------------------------------------------------------------
@@ -244,6 +321,61 @@ def test_line_runs(spark, docs, least):
     assert all(x.lines_deleted == 0 or x.ranges_deleted for x in got)
 
 
+def test_suffix_array_and_common_prefixes(spark):
+    """Against plain sorting of all suffixes: long copies, periodic runs, runs that end early."""
+    r = random.Random(6)
+    texts = ["\n".join(r.choice("abc") for _ in range(n)) for n in (1, 5, 40, 40)] + ["\n".join("ab" * 30), "\n".join("a" * 50), "\n".join("ab" * 30), "once\na\nb\nnever\na\nb\na"]
+    texts += ["\n".join(str(k) for k in range(90))] * 2 + ["\n".join(str(k) for k in range(70))]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    at = line_runs.positions(df, "doc_id", "text")
+    rows = {x.p: x for x in at.collect()}
+    runs = collections.defaultdict(list)
+    for p in sorted(rows):
+        runs[rows[p].run].append(p)
+        assert runs[rows[p].run] == list(range(rows[p].run, p + 1))
+    suffix = {p: tuple(rows[q].head[0] for q in run[k:]) for run in runs.values() for k, p in enumerate(run)}
+    assert all(len(s) == rows[p].left and s[: line_runs.HEAD] == tuple(rows[p].head) for p, s in suffix.items())
+    paths = line_runs.suffix_paths(at)
+    array = stored(line_runs.suffix_array(paths), "test-array")
+    got = sorted(array.collect(), key=lambda x: x["at"])
+    want = sorted(set(suffix.values()))
+    assert [suffix[x.p] for x in got] == want
+    count = collections.Counter(suffix.values())
+    assert [x.n for x in got] == [count[s] for s in want] and [x.before for x in got] == [None, *(x.p for x in got[:-1])]
+    common = lambda a, b: next((k for k, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
+    lcp = {x.p: x.lcp for x in line_runs.common_prefixes(array, paths).collect()}
+    assert lcp == {x.p: common(suffix[x.p], suffix[x.before]) for x in got[1:]}
+
+
+@pytest.mark.parametrize("least", [3, 30])
+def test_long_and_periodic_runs(spark, least):
+    lines = ["a b", "c", "", "d e f"]
+    r = random.Random(least)
+    long = "\n".join(r.choice(lines) + str(k) for k in range(150))
+    rows = [(1, long), (2, "own\n" + long + "\nlines"), (3, "\n".join(["a b", "c"] * 40)), (4, "\n".join(["a b", "c"] * 25 + ["x y z"])), (5, long[:400]), (None, "c\na b\nc\na b\nc"), (6, "\n" * 80)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    want = brute_runs(rows, least)
+    assert sorted((str(x.doc_id), x.text) for x in line_runs.delete_runs(df, least).collect()) == sorted((str(i), want.get((i, t), t)) for i, t in rows)
+
+
+def test_line_runs_keep_columns_of_like_names(spark):
+    names = ["lines_before", "lines_deleted", "RANGES_DELETED", "run_id_0", "run_text_0", "id", "th", "ranges"]
+    rows = [(i, "one two three four\nfive six seven eight\nnine ten eleven", *"x" * len(names)) for i in range(3)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, " + ", ".join(f"{n} string" for n in names))
+    got = line_runs.delete_runs(df)
+    assert got.columns == [*df.columns, "lines_before_0", "lines_deleted_0", "ranges_deleted_0"]
+    assert sorted((x.doc_id, x.text != "", x.lines_deleted, x.lines_deleted_0) for x in got.collect()) == [(0, True, "x", 0), (1, False, "x", 3), (2, False, "x", 3)]
+
+
+def test_hot_line(spark):
+    """A third of all lines is one line."""
+    r = random.Random(1)
+    rows = [(i, "\n".join("hot line with words" if r.random() < 0.4 else f"{r.randrange(3000)} some words here" for _ in range(8))) for i in range(400)]
+    want = brute_runs(rows, 10)
+    got = line_runs.delete_runs(spark.createDataFrame(rows, "doc_id long, text string").repartition(6)).collect()
+    assert sorted((x.doc_id, x.text) for x in got) == sorted((i, want.get((i, t), t)) for i, t in rows)
+
+
 def test_line_runs_without_rows(spark, docs):
     assert line_runs.delete_runs(docs.limit(0)).count() == 0
     one = spark.createDataFrame([(1, None)], "doc_id long, text string")
@@ -278,7 +410,7 @@ def test_records_round_trip(spark, docs, tmp_path):
     row = index.where("id = 9").first()
     path = next(p for p in (tmp_path / "rec" / "records").iterdir() if p.name.startswith(f"part-{row['shard']:05d}"))
     data = path.read_bytes()[row["offset"] : row["offset"] + row["length"]]
-    assert struct.unpack_from("<Q", data)[0] == len(data) - 16 and next(records.Framer().read(data))[1][:8] == struct.pack("<q", 9)
+    assert struct.unpack_from("<Q", data)[0] == len(data) - 16 and records.unpack_payload(next(records.Framer().read(data))[1])[0] == 9
     broken = bytearray(path.read_bytes())
     broken[row["offset"] + 40] ^= 1
     with pytest.raises(ValueError, match="broken"):
@@ -317,12 +449,79 @@ def test_packing_keeps_everything(spark, docs):
     assert pack_bins.pack_documents(docs.limit(0), WORD).count() == 0
 
 
+def test_bins_do_not_depend_on_the_layout(spark, docs):
+    """The same bins for three sizes of batches and two layouts."""
+    found = set()
+    slim = docs.select("doc_id", "text")
+    for rows, parts in ((10_000, 1), (7, 3), (50, 9)):
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
+        try:
+            got = pack_bins.pack_documents(slim.repartition(parts), WORD, capacities=(64, 128, 512), block=40).collect()
+        finally:
+            spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+        found.add(tuple(sorted(tuple(str(v) for v in r) for r in got)))
+    assert len(found) == 1 and len({r[4] for r in next(iter(found))}) > 3
+
+
+def plain_best_fit(lengths, capacities, overhead):
+    """The rule in its plainest form."""
+    bins = []
+    order = sorted(range(len(lengths)), key=lambda i: -lengths[i])
+    for at, number in enumerate(order):
+        n = lengths[number]
+        fit = [b for b in bins if b[0] - sum(lengths[i] for i in b[1]) >= n]
+        if fit:
+            room = min(b[0] - sum(lengths[i] for i in b[1]) for b in fit)
+            next(b for b in bins if b in fit and b[0] - sum(lengths[i] for i in b[1]) == room)[1].append(number)
+            continue
+        costs = []
+        for c in sorted(capacities):
+            if c >= n:
+                held = n
+                for later in order[at + 1 :]:
+                    held += lengths[later] if held + lengths[later] <= c else 0
+                costs.append(((min(x for x in capacities if x >= held) + overhead) / held, -c))
+        bins.append([-min(costs)[1], [number]])
+    return [b[1] for b in bins], [min(c for c in capacities if c >= sum(lengths[i] for i in b[1])) for b in bins]
+
+
+def cheapest(lengths, capacities, overhead):
+    """The least cost of any packing."""
+    best = math.inf
+
+    def place(i, bins, used):
+        nonlocal best
+        cost = sum(min(c for c in capacities if c >= b) + overhead for b in bins)
+        if i == len(lengths):
+            best = min(best, cost)
+            return
+        for k in range(len(bins)):
+            if bins[k] + lengths[i] <= max(capacities):
+                place(i + 1, [*bins[:k], bins[k] + lengths[i], *bins[k + 1 :]], used)
+        place(i + 1, [*bins, lengths[i]], used)
+
+    place(0, [], 0)
+    return best
+
+
+def test_best_fit_against_brute_force():
+    r = random.Random(11)
+    for case in range(60):
+        capacities, overhead = ((8, 16), (5, 9, 20), (4, 8, 16, 32))[case % 3], case % 4
+        lengths = [r.randrange(1, max(capacities) + 1) for _ in range(r.randrange(0, 8))]
+        members, sizes = pack_bins.best_fit(lengths, capacities, overhead)
+        assert (members, sizes) == plain_best_fit(lengths, capacities, overhead)
+        if lengths:
+            assert cheapest(lengths, capacities, overhead) <= sum(sizes) + overhead * len(sizes) <= 1.6 * cheapest(lengths, capacities, overhead)
+
+
 def test_best_fit_is_tight():
     r = random.Random(4)
     lengths = [r.randrange(1, 900) for _ in range(3000)]
     members, sizes = pack_bins.best_fit(lengths, (256, 512, 1024), overhead=0)
     assert sorted(i for m in members for i in m) == list(range(3000))
     assert sum(lengths) <= sum(sizes) <= 1.03 * sum(lengths)
+    assert pack_bins.best_fit([]) == ([], [])
 
 
 # ---- 10 near duplicates ------------------------------------------------------------------------
@@ -352,10 +551,10 @@ def plain_components(keys):
     return out
 
 
-@pytest.mark.parametrize("leaf", [8, 10**6])
-def test_near_duplicates(spark, docs, leaf, monkeypatch):
+@pytest.mark.parametrize("leaf, tile", [(8, 10**6), (10**6, 10**6), (40, 7)])
+def test_near_duplicates(spark, docs, leaf, tile):
     rows = some_docs()
-    got = simhash_vp.near_duplicates(docs, leaf=leaf).collect()
+    got = simhash_vp.near_duplicates(docs, leaf=leaf, tile=tile).collect()
     known = {i: plain_fingerprint(t) for i, t in rows if i is not None}
     want = plain_components(known)
     for r in got:
@@ -364,9 +563,15 @@ def test_near_duplicates(spark, docs, leaf, monkeypatch):
     assert len(got) == len(rows)
     lost = {r.fingerprint: r.component_id for r in got if r.doc_id is None}
     assert lost["0" * 16] == 200 and None in lost.values()
-    kept = simhash_vp.keep_one(docs, leaf=leaf)
-    assert kept.columns == docs.columns
-    assert sorted(r.doc_id for r in kept.collect() if r.doc_id is not None) == sorted(set(want.values()))
+
+
+def test_hot_fingerprint(spark):
+    """Most rows share a fingerprint: they stay where they are."""
+    rows = [(i, "same words in every row" if i % 3 else f"text number {i} of many") for i in range(3000)]
+    got = {r.doc_id: r for r in simhash_vp.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(6)).collect()}
+    known = {i: plain_fingerprint(t) for i, t in rows}
+    want = plain_components(known)
+    assert len(got) == 3000 and all((int(r.fingerprint, 16), r.component_id) == (known[i], want[i]) for i, r in got.items())
 
 
 def test_links_in_a_cloud(spark):
@@ -378,7 +583,7 @@ def test_links_in_a_cloud(spark):
             fps.add(centre ^ sum(1 << b for b in r.sample(range(64), r.randrange(1, 4))))
     keys = {fp - (1 << 64) if fp >> 63 else fp: fp for fp in fps}
     classes = spark.createDataFrame([(k,) for k in keys], "fp long")
-    got = {x.node: x.root for x in simhash_vp.components(simhash_vp.links(classes, leaf=60, sample=500)).collect()}
+    got = {x.node: x.root for x in simhash_vp.components(simhash_vp.links(classes, leaf=60, sample=500, tile=50)).collect()}
     want = plain_components(keys)
     assert {k: v for k, v in want.items() if v != k}.items() <= got.items()
     assert all(want[k] == v for k, v in got.items())
@@ -392,7 +597,6 @@ def test_long_chain_of_links(spark):
 
 def test_near_duplicates_without_rows(spark, docs):
     assert simhash_vp.near_duplicates(docs.limit(0)).count() == 0
-    assert simhash_vp.keep_one(docs.limit(0)).count() == 0
 
 
 # ---- the pipeline ------------------------------------------------------------------------------
