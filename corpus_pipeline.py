@@ -25,10 +25,10 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     ``n_chars`` is counted anew where a text has changed.  A text that was null or empty before
     stays as it is.
     """
-    done = line_runs.delete_runs(docs)
-    done = done.where("lines_deleted = 0 or lines_deleted < lines_before")
+    before, deleted, _ = line_runs.info_columns(docs)
+    done = line_runs.delete_runs(docs).where((F.col(deleted) == 0) | (F.col(deleted) < F.col(before)))
     if "n_chars" in docs.columns:
-        done = done.withColumn("n_chars", F.when(F.col("lines_deleted") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
+        done = done.withColumn("n_chars", F.when(F.col(deleted) > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
     return done.select(*docs.columns)
 
 
@@ -36,11 +36,13 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near duplicates the document with the smallest id stays.
 
     Near duplicates share five-word shingles to a Jaccard similarity of 0.8 or more; candidates
-    come from the fingerprints and the tree of op10, with a reach of their own.
+    come from the fingerprints and the tree of op10, with a reach of their own.  Documents are
+    judged as they are here and as they were before lines went, so that no leftovers of a near copy
+    pass as a document.
     Of rows that share that id, the one with the smallest hash of the text (and of equal rows one)
     stays; of a group without any id, one row by the same rule.
     """
-    return near_copies.keep_one(docs)
+    return near_copies.keep_one(docs, others=table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -3,43 +3,56 @@
 Two texts are linked if their sets of 5-word shingles (words as in ``simhash_vp``; a text of fewer
 words is one shingle) have a Jaccard similarity of 0.8 or more; groups are components of links.
 
-Texts with equal sets are one node.  Candidates are nodes whose fingerprints (64 bits, of the set)
-differ in at most ``REACH`` bits: at a similarity of 0.8 about 10 bits differ, give or take 3.  The
-vantage-point tree of ``simhash_vp`` deals them to leaves.  A leaf drops pairs that cannot be
-similar: by the sizes of the sets, and by the counts of their hashes in 64 slots, whose summed
-differences never exceed the symmetric difference of the sets.  Every link is then checked on the
-sets themselves, so no pair below 0.8 is ever linked.
-
-Large groups: a leaf first gives a forest of its candidates, closest first.  The links that hold
+Texts with equal sets are one node.  A node has two fingerprints of 64 bits, made like those of
+``simhash_vp`` from two hashes of its shingles; at a similarity of 0.8 about 10 bits of 64 differ,
+give or take 3.  Candidates differ in at most ``REACH`` bits of the first and ``REACH_BOTH`` of
+both.  Sets whose sizes differ by more than the similarity allows never meet: nodes are parted by
+bands of size, in which only neighbours meet, and then by the vantage-point tree of ``simhash_vp``
+and its tiles of bounded size.  Every link is checked on the sets themselves, so no pair below 0.8
+is ever linked.
+
+Large groups: a tile first gives a forest of its candidates, closest first.  The links that hold
 make groups, and a second look gives all candidates that are not in one group yet, so n near
 copies cost about n rows.  Candidates below 0.8 stay pairs: a large family of texts that are all
 alike by 0.6 to 0.8 costs the square of its size.
 
-What can be missed: a pair more than ``REACH`` bits apart (see the README for figures).  At this
-radius the tree takes away next to nothing: work grows with the square of the distinct texts.
+Texts are never shuffled to be checked: the nodes that are asked for are marked in a bit table of
+bounded size (``TABLE_BITS``), which is broadcast; the rows that hit it give their sets.  Where the
+table fills up, more sets than needed are made, and none is lost.
+
+What can be missed: a pair further apart than the two reaches (see the README for figures).  At
+this radius the tree takes away next to nothing: work grows with the square of the texts in a band.
+
+A row may be judged by a further text too (``others``, by id): the pipeline gives the documents as
+they were before lines were removed, so that what is left of a near copy goes with it.  It counts
+only for an id that both tables have once, and if the row's lines are among that text's.
 
 Nulls and empty texts have no shingles and are alike.  Very long texts: memory follows the longest
-text.  Repeated rows and ties: see ``keep_one``.  Empty tables: an empty result.
+text.  Repeated rows and ties: see ``keep_one``.  Empty tables: an empty result.  Extra columns
+pass through untouched, whatever their names.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from .simhash_vp import LEAST_LEAF, MOST_LEAF, SAMPLE, Forest, build_tree, components, majority, route, shingle_hashes
-from .tables import arrow_map, batch, ensure_checkpoint_dir, stored, texts_of
+from .bloom_lm import mix
+from .simhash_vp import LEAST_LEAF, MOST_LEAF, SAMPLE, TILE, Forest, build_tree, components, majority, route, shingle_hashes, tiles
+from .tables import arrow_map, batch, ensure_checkpoint_dir, free_names, stored, texts_of
 
-#: Words of a shingle; bits that fingerprints of candidates may differ in; least similarity as a
-#: fraction; leaves there are at least.
-SHINGLE, REACH, SIMILAR, LEAVES = 5, 20, (4, 5), 16
-SLOTS = 64
-#: Candidates that a leaf holds before it thins them to a forest.
+#: Words of a shingle; bits that fingerprints of candidates may differ in, of 64 and of 128; least
+#: similarity as a fraction.
+SHINGLE, REACH, REACH_BOTH, SIMILAR = 5, 20, 37, (4, 5)
+#: Bits of the table of rows that are asked for, at most (16 MB).
+TABLE_BITS = 1 << 27
+#: Candidates that a tile holds before it thins them to a forest.
 HELD = 1 << 21
 
 
@@ -47,9 +60,18 @@ def shingle_set(text: str) -> np.ndarray:
     return np.unique(shingle_hashes(text, SHINGLE))
 
 
-def slot_counts(hashes: np.ndarray) -> bytes:
-    """Hashes in each slot; larger counts than 255 count as 255, which only lessens differences."""
-    return np.minimum(np.bincount((hashes >> np.uint64(58)).astype(np.int64), minlength=SLOTS), 255).astype(np.uint8).tobytes()
+def name_of(hashes: np.ndarray) -> int:
+    """The node: a hash of the set, as a signed number."""
+    return int(np.uint64(xxhash.xxh64_intdigest(hashes.tobytes())).astype(np.int64))
+
+
+def fingerprints_of(hashes: np.ndarray) -> tuple[int, int]:
+    return majority(hashes), majority(mix(hashes))
+
+
+def band(size: int) -> int:
+    """Sets that may be similar are in the same band or in neighbours: a band spans 4 to 5."""
+    return -1 if size == 0 else int(math.floor(math.log(size) / math.log(SIMILAR[1] / SIMILAR[0]) + 1e-9))
 
 
 def similar(a: np.ndarray, b: np.ndarray) -> bool:
@@ -75,89 +97,156 @@ def nearest_forest(n: int, i: np.ndarray, j: np.ndarray, d: np.ndarray) -> np.nd
     return np.array(kept, np.int64)
 
 
-def leaf_pairs(fp: np.ndarray, size: np.ndarray, slots: np.ndarray, root: np.ndarray, home: np.ndarray, reach: int, forest: bool) -> tuple[np.ndarray, np.ndarray]:
-    """Candidates (positions) with at least one resident and different roots: all, or a forest."""
+def tile_pairs(f1: np.ndarray, f2: np.ndarray, size: np.ndarray, root: np.ndarray, side: np.ndarray, reach: int, both: int, forest: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Candidates (positions) of different roots among rows of side 0, or between sides 0 and 1 if
+    there are any of side 1: all, or a forest."""
     by_size = np.argsort(size, kind="stable")
-    mine, guests = by_size[home[by_size]], by_size[~home[by_size]]
+    mine, guests = by_size[~side[by_size]], by_size[side[by_size]]
+    others, alone = (guests, False) if len(guests) else (mine, True)
+    sizes = size[others]
     found: list[tuple[np.ndarray, ...]] = []
     held = 0
 
     def thin():
         i, j, d = (np.concatenate(x) for x in zip(*found))
         if forest:
-            k = nearest_forest(len(fp), i, j, d)
+            k = nearest_forest(len(f1), i, j, d)
             i, j, d = i[k], j[k], d[k]
         found[:] = [(i, j, d)]
 
     for s in range(0, len(mine), 64):
         rows = mine[s : s + 64]
         low, high = int(size[rows[0]]), int(size[rows[-1]])
-        for others, first in ((mine, s), (guests, 0)):
-            sizes = size[others]
-            a = max(first, int(np.searchsorted(sizes, -(-low * SIMILAR[0] // SIMILAR[1]), "left")))
-            z = int(np.searchsorted(sizes, high * SIMILAR[1] // SIMILAR[0], "right"))
-            for at in range(a, z, 4096):
-                theirs = others[at : min(z, at + 4096)]
-                d = np.bitwise_count(fp[rows][:, None] ^ fp[theirs][None, :])
-                x, y = np.nonzero(d <= reach)
-                if others is mine:
-                    later = at + y > s + x
-                    x, y = x[later], y[later]
-                i, j, d = rows[x], theirs[y], d[x, y]
-                ok = root[i] != root[j]
-                ok &= SIMILAR[0] * np.maximum(size[i], size[j]) <= SIMILAR[1] * np.minimum(size[i], size[j])
-                i, j, d = i[ok], j[ok], d[ok]
-                # |A ^ B| <= (|A| + |B|) (1 - t) / (1 + t) where the similarity is t or more
-                apart = np.abs(slots[i].astype(np.int16) - slots[j]).sum(axis=1, dtype=np.int64)
-                ok = (SIMILAR[1] + SIMILAR[0]) * apart <= (SIMILAR[1] - SIMILAR[0]) * (size[i] + size[j])
-                if ok.any():
-                    found.append((i[ok], j[ok], d[ok]))
-                    held += int(ok.sum())
-                if forest and held > HELD:
-                    thin()
-                    held = len(found[0][0])
+        a = max(s if alone else 0, int(np.searchsorted(sizes, -(-low * SIMILAR[0] // SIMILAR[1]), "left")))
+        z = int(np.searchsorted(sizes, high * SIMILAR[1] // SIMILAR[0], "right"))
+        for at in range(a, z, 4096):
+            theirs = others[at : min(z, at + 4096)]
+            d = np.bitwise_count(f1[rows][:, None] ^ f1[theirs][None, :])
+            x, y = np.nonzero(d <= reach)
+            if alone:
+                later = at + y > s + x
+                x, y = x[later], y[later]
+            i, j = rows[x], theirs[y]
+            d = d[x, y].astype(np.int64) + np.bitwise_count(f2[i] ^ f2[j])
+            ok = (d <= both) & (root[i] != root[j])
+            ok &= SIMILAR[0] * np.maximum(size[i], size[j]) <= SIMILAR[1] * np.minimum(size[i], size[j])
+            if ok.any():
+                found.append((i[ok], j[ok], d[ok]))
+                held += int(ok.sum())
+            if forest and held > HELD:
+                thin()
+                held = len(found[0][0])
     if not found:
         return np.empty(0, np.int64), np.empty(0, np.int64)
     thin()
     return found[0][:2]
 
 
-def candidates(nodes: DataFrame, forest: bool, reach: int = REACH, leaf: int | None = None) -> DataFrame:
-    """(a, b) of nodes (node, fp, size, slots, root) that may be similar and have other roots."""
+def candidates(nodes: DataFrame, forest: bool, reach: int = REACH, both: int = REACH_BOTH, leaf: int | None = None, tile: int = TILE) -> DataFrame:
+    """(a, b) of nodes (node, f1, f2, size, root) that may be similar and have other roots."""
     n = nodes.count()
-    leaf = leaf or min(MOST_LEAF, max(LEAST_LEAF, n // LEAVES))
-    rows = nodes.orderBy(F.xxhash64("node", F.lit(11))).limit(SAMPLE).select("fp").toPandas()["fp"].to_numpy(np.int64).view(np.uint64)
-    tree = build_tree(rows, -(-n // leaf)) if n else 0
+    leaf = leaf or min(MOST_LEAF, max(LEAST_LEAF, n // 4))
+    rows = nodes.orderBy(F.xxhash64("node", F.lit(11))).limit(SAMPLE).select("f1").toPandas()["f1"].to_numpy(np.int64).view(np.uint64)
+    leaves = -(-n // leaf)
+    tree = build_tree(rows, leaves) if n else 0
+    most = max(1, leaves) * 2 + 16  # more than the tree has leaves
 
     def spread(batches):
         for b in batches:
-            row, at, home = route(tree, b.column(1).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64), reach)
-            for k in range(0, len(row), 1 << 16):
-                some = b.take(pa.array(row[k : k + (1 << 16)]))
-                extra = [pa.array(at[k : k + (1 << 16)].astype(np.int32)), pa.array(home[k : k + (1 << 16)].astype(bool))]
-                yield pa.RecordBatch.from_arrays([*some.columns, *extra], names=[*b.schema.names, "leaf", "home"])
+            for k in range(0, b.num_rows, 2048):
+                some = b.slice(k, 2048)
+                own = np.array([band(x) for x in some.column(3).to_pylist()], np.int64)
+                fps = some.column(1).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
+                # in the own band, and in the next one, where all are visitors
+                for up in (0, 1):
+                    row, at, home = route(tree, fps, reach, visit=bool(up))
+                    cols = [*some.take(pa.array(row)).columns, pa.array((own[row] + up) * most + at), pa.array(home.astype(bool))]
+                    yield pa.RecordBatch.from_arrays(cols, names=[*some.schema.names, "leaf", "home"])
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        node = pdf["node"].to_numpy(np.int64)
-        slots = np.frombuffer(b"".join(pdf["slots"]), np.uint8).reshape(-1, SLOTS)
-        fp = pdf["fp"].to_numpy(np.int64).view(np.uint64)
-        i, j = leaf_pairs(fp, pdf["size"].to_numpy(np.int64), slots, pdf["root"].to_numpy(np.int64), pdf["home"].to_numpy(bool), reach, forest)
-        return pd.DataFrame({"a": node[i], "b": node[j]})
+        cols = {k: pdf[k].to_numpy(np.int64) for k in ("node", "f1", "f2", "size", "root")}
+        i, j = tile_pairs(cols["f1"].view(np.uint64), cols["f2"].view(np.uint64), cols["size"], cols["root"], pdf["side"].to_numpy(bool), reach, both, forest)
+        return pd.DataFrame({"a": cols["node"][i], "b": cols["node"][j]})
+
+    slim = nodes.select("node", "f1", "f2", "size", "root")
+    out = slim.mapInArrow(spread, "node long, f1 long, f2 long, size int, root long, leaf long, home boolean")
+    return tiles(out, "node", tile).groupBy("leaf", "i", "j").applyInPandas(run, "a long, b long")
 
-    slim = nodes.select("node", "fp", "size", "slots", "root")
-    out = slim.mapInArrow(spread, "node long, fp long, size int, slots binary, root long, leaf int, home boolean")
-    return out.groupBy("leaf").applyInPandas(run, "a long, b long")
 
+# ---- texts ---------------------------------------------------------------------------------------
 
-def verified(pairs: DataFrame, texts: DataFrame, where: DataFrame) -> DataFrame:
-    """The pairs whose sets are similar.  texts: (row, text); where: (node, row) of one row each."""
 
-    def sets():
+def marks(texts: DataFrame, asked: DataFrame | None = None) -> DataFrame:
+    """key (columns but the text), node, f1, f2, size and lines (sorted hashes of its lines) of each
+    row of texts (key columns, text); with ``asked`` of the rows whose ``key`` is in it (and a few
+    more)."""
+    keys = [c for c in texts.columns if c != "text"]
+    wanted = Wanted(asked)
+
+    def make():
         def run(b: pa.RecordBatch) -> pa.RecordBatch:
-            return batch({"node": (b.column(0), None), "hashes": ([shingle_set(t).tobytes() for t in texts_of(b)], pa.binary())})
+            b = wanted(b)
+            node, one, two, size, lines = [], [], [], [], []
+            for t in texts_of(b):
+                h = shingle_set(t)
+                node.append(name_of(h))
+                f, g = fingerprints_of(h)
+                one.append(f)
+                two.append(g)
+                size.append(len(h))
+                lines.append(np.unique(np.array([xxhash.xxh32_intdigest(x) for x in t.encode().split(b"\n")], np.uint32)).tobytes())
+            bits = {k: (np.array(v, np.uint64).view(np.int64), pa.int64()) for k, v in (("f1", one), ("f2", two))}
+            return batch({k: (b.column(k), None) for k in keys} | {"node": (node, pa.int64())} | bits | {"size": (size, pa.int32()), "lines": (lines, pa.binary())})
 
         return run
 
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in texts.select(*keys).schema.fields)
+    return arrow_map(texts.select(*keys, "text"), make, f"{kinds}, node long, f1 long, f2 long, size int, lines binary")
+
+
+class BitTable:
+    """Which hashes of keys are asked for, in a table of at most ``TABLE_BITS`` bits."""
+
+    def __init__(self, asked: DataFrame, key: str):
+        n = asked.count()
+        self.bits = min(TABLE_BITS, 1 << max(10, (16 * n).bit_length()))
+        at = asked.select(F.pmod(F.col(key), F.lit(self.bits)).alias("p")).groupBy(F.expr("p div 64").alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(p % 64 as int))")).alias("b")).toArrow()
+        self.words = np.zeros(self.bits // 64, np.int64)
+        if at.num_rows:
+            self.words[at.column("w").to_numpy()] = at.column("b").to_numpy()
+
+    def has(self, keys: np.ndarray) -> np.ndarray:
+        p = keys % self.bits
+        return (self.words[p >> 6] >> (p & 63)) & 1 == 1
+
+
+class Wanted:
+    """Rows of a batch whose ``key`` is among ``asked`` (and a few more); all, if that is None."""
+
+    def __init__(self, asked: DataFrame | None):
+        self.shared = asked and asked.sparkSession.sparkContext.broadcast(BitTable(asked, "key"))
+
+    def __call__(self, b: pa.RecordBatch) -> pa.RecordBatch:
+        return b.filter(pa.array(self.shared.value.has(b.column("key").to_numpy(zero_copy_only=False)))) if self.shared else b
+
+
+def shingle_sets(texts: DataFrame, asked: DataFrame) -> DataFrame:
+    """node, hashes of the texts (key, text) that are asked for."""
+    wanted = Wanted(asked)
+
+    def make():
+        def run(b: pa.RecordBatch) -> pa.RecordBatch:
+            sets = [shingle_set(t) for t in texts_of(wanted(b))]
+            return batch({"node": ([name_of(h) for h in sets], pa.int64()), "hashes": ([h.tobytes() for h in sets], pa.binary())})
+
+        return run
+
+    return arrow_map(texts.select("key", "text"), make, "node long, hashes binary")
+
+
+def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose sets (node, hashes) are similar."""
+
     def check():
         def run(b: pa.RecordBatch) -> pa.RecordBatch:
             x, y = (([np.frombuffer(v.as_py(), np.uint64) for v in b.column(k)]) for k in (2, 3))
@@ -166,50 +255,79 @@ def verified(pairs: DataFrame, texts: DataFrame, where: DataFrame) -> DataFrame:
 
         return run
 
-    asked = pairs.selectExpr("a as node").unionByName(pairs.selectExpr("b as node")).distinct()
-    known = stored(arrow_map(asked.join(where, "node").join(texts, "row").select("node", "text"), sets, "node long, hashes binary"), "sets")
-    one, two = known.selectExpr("node as a", "hashes as x"), known.selectExpr("node as b", "hashes as y")
+    one, two = sets.selectExpr("node as a", "hashes as x"), sets.selectExpr("node as b", "hashes as y")
     return stored(arrow_map(pairs.join(one, "a").join(two, "b").select("a", "b", "x", "y"), check, "a long, b long"), "similar")
 
 
-def keep_one(docs: DataFrame, reach: int = REACH, id_col: str = "doc_id", text_col: str = "text", leaf: int | None = None) -> DataFrame:
+def earlier_texts(own: DataFrame, others: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Marks of other texts of the same id whose lines hold the row's: (id, th of the row, key of
+    the other text, node, f1, f2, size); and (key, text) of others.
+
+    Only texts that differ from the row's own are read closely.
+    """
+    theirs = others.select("id", F.xxhash64("id").alias("key"), F.xxhash64("text").alias("th"), "text").where("id is not null")
+    same = theirs.select("id", "th").distinct()
+    changed = own.where("id is not null").select("id", "th", "lines").join(same, ["id", "th"], "left_anti")
+    single = own.groupBy("id").agg(F.count(F.lit(1)).alias("c")).where("c = 1").select("id")
+    changed = stored(changed.join(single, "id").withColumn("key", F.xxhash64("id")), "changed")
+    marked = stored(marks(theirs.select("key", "id", "text"), changed).withColumnRenamed("lines", "all"), "earlier")
+    once = marked.groupBy("id").agg(F.count(F.lit(1)).alias("c")).where("c = 1").select("id")
+
+    def make():
+        def run(b: pa.RecordBatch) -> pa.RecordBatch:
+            x, y = ([np.frombuffer(v.as_py(), np.uint32) for v in b.column(k)] for k in ("lines", "all"))
+            return b.filter(pa.array([bool(np.isin(p, q).all()) for p, q in zip(x, y)], pa.bool_()))
+
+        return run
+
+    met = changed.drop("key").join(marked.join(once, "id"), "id")
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in met.schema.fields)
+    return stored(arrow_map(met, make, kinds).drop("lines", "all"), "derived"), theirs.select("key", "text")
+
+
+def keep_one(docs: DataFrame, reach: int = REACH, both: int = REACH_BOTH, id_col: str = "doc_id", text_col: str = "text", leaf: int | None = None, tile: int = TILE, others: DataFrame | None = None) -> DataFrame:
     """docs, with its columns, without all but one document of each group of near copies.
 
     The document with the smallest id stays; of rows with that id, or of a group without ids, the
-    one with the smallest hash of the text, and of rows equal in both the first as they lie.
+    one with the smallest hash of the text, and of rows equal in both any one.
     """
     ensure_checkpoint_dir(docs.sparkSession)
-
-    def run(batches):
-        for b in batches:
-            for at in range(0, b.num_rows, 1024):
-                part = b.slice(at, 1024)
-                node, fp, size, slots, th = [], [], [], [], []
-                for t in texts_of(part, text_col):
-                    h = shingle_set(t)
-                    node.append(xxhash.xxh64_intdigest(h.tobytes()))
-                    fp.append(majority(h))
-                    size.append(len(h))
-                    slots.append(slot_counts(h))
-                    th.append(xxhash.xxh3_64_intdigest(t.encode()) >> 1)
-                extra = {"__node": np.array(node, np.uint64).view(np.int64), "__fp": np.array(fp, np.uint64).view(np.int64), "__size": np.array(size, np.int32), "__slots": pa.array(slots, pa.binary()), "__th": np.array(th, np.int64)}
-                yield pa.RecordBatch.from_arrays([*part.columns, *map(pa.array, extra.values())], names=[*part.schema.names, *extra])
-
-    # the rows are written once with a number, which so stays the same for all that follows
-    numbered = docs.withColumn("__row", F.monotonically_increasing_id())
-    kinds = {"__node": T.LongType(), "__fp": T.LongType(), "__size": T.IntegerType(), "__slots": T.BinaryType(), "__th": T.LongType()}
-    marked = stored(numbered.mapInArrow(run, T.StructType([*numbered.schema.fields, *(T.StructField(k, v) for k, v in kinds.items())])), "marked")
-    first = F.struct(F.col(id_col).isNull().alias("a"), F.col(id_col).alias("id"), "__th", "__row", "__fp", "__size", "__slots")
-    leads = stored(marked.groupBy(F.col("__node").alias("node")).agg(F.min(first).alias("first")), "nodes")
-    nodes = leads.selectExpr("node", "first.__fp as fp", "first.__size as size", "first.__slots as slots")
-    texts, where = marked.selectExpr("__row as row", f"`{text_col}` as text"), leads.selectExpr("node", "first.__row as row")
-
-    links = verified(stored(candidates(nodes.withColumn("root", F.col("node")), True, reach, leaf), "closest"), texts, where)
-    groups = stored(nodes.join(components(links), "node", "left").withColumn("root", F.coalesce("root", "node")), "groups")
-    more = verified(stored(candidates(groups, False, reach, leaf), "others"), texts, where)
-    if not more.isEmpty():
-        roots = components(links.unionByName(more))
-        groups = stored(nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "groups")
-    order = F.struct("first.a", "first.id", "first.__th", "first.__row")
-    stay = leads.join(groups.select("node", "root"), "node").groupBy("root").agg(F.min(order).alias("first")).select(F.col("first.__row").alias("__row"))
-    return marked.join(stay, "__row", "left_semi").select(*docs.columns)
+    id_, th = F.col(id_col), F.xxhash64(F.col(text_col).cast("string"))
+    rows = docs.select(id_.alias("id"), th.alias("th"), F.col(text_col).cast("string").alias("text"))
+    own = stored(marks(rows).groupBy("id", "th").agg(*[F.min(c).alias(c) for c in ("node", "f1", "f2", "size", "lines")], F.count(F.lit(1)).alias("copies")), "marked")
+    every, asked_of, joints = own.withColumn("key", F.xxhash64("id", "th")), [rows.select(F.xxhash64("id", "th").alias("key"), "text")], None
+    slim = every.select("node", "f1", "f2", "size", F.struct(F.lit(0).alias("w"), "key").alias("at"))
+    if others is not None:
+        earlier, texts = earlier_texts(own, others.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")))
+        slim = slim.unionByName(earlier.select("node", "f1", "f2", "size", F.struct(F.lit(1).alias("w"), "key").alias("at")))
+        asked_of.append(texts)
+        mine = own.select("id", "th", F.col("node").alias("a"))
+        joints = earlier.select("id", "th", F.col("node").alias("b")).join(mine, ["id", "th"]).select("a", "b")
+    nodes = stored(slim.groupBy("node").agg(*[F.min(c).alias(c) for c in ("f1", "f2", "size", "at")]).withColumn("root", F.col("node")), "nodes")
+
+    first = stored(candidates(nodes, True, reach, both, leaf, tile), "closest")
+    asked = stored(first.selectExpr("a as node").unionByName(first.selectExpr("b as node")).distinct(), "asked")
+    # every node that has a candidate at all is in the forest, so nothing else is asked for later
+    near = stored(nodes.join(asked, "node"), "near")
+    found = [shingle_sets(t, near.where(F.col("at.w") == w).selectExpr("at.key as key")) for w, t in enumerate(asked_of)]
+    sets = found[0] if len(found) == 1 else found[0].unionByName(found[1])
+    sets = stored(sets.join(asked, "node", "left_semi").dropDuplicates(["node"]), "sets")
+    links = verified(first, sets)
+    roots = stored(components(links), "groups")
+    grouped = near.drop("root").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    links = links.unionByName(verified(stored(candidates(stored(grouped, "grouped"), False, reach, both, leaf, tile), "others"), sets))
+    if joints is not None:
+        links = links.unionByName(joints)
+    roots = stored(components(links), "groups")
+    order = F.struct(F.col("id").isNull().alias("a"), "id", "th")
+    leads = own.groupBy("node").agg(F.min(order).alias("first")).join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    stay = leads.groupBy("root").agg(F.min("first").alias("first")).select("first.id", "first.th")
+    stay = stored(stay.join(own.select(F.col("id").alias("i"), F.col("th").alias("t"), "copies"), F.col("id").eqNullSafe(F.col("i")) & (F.col("th") == F.col("t"))).select("i", "t", "copies"), "stay")
+
+    i, t, key, text = free_names(docs, "stay_id", "stay_text", "equal_id", "equal_text")
+    kept = lambda s: docs.join(s.select(F.col("i").alias(i), F.col("t").alias(t)), id_.eqNullSafe(F.col(i)) & (th == F.col(t)), "left_semi")
+    out = kept(stay.where("copies = 1"))
+    if not stay.where("copies > 1").isEmpty():  # equal rows: any one of them
+        again = kept(stay.where("copies > 1")).withColumns({key: id_, text: th}).dropDuplicates([key, text]).select(*docs.columns)
+        out = out.unionByName(again)
+    return out

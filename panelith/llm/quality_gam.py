@@ -246,7 +246,8 @@ def keep_good(docs: DataFrame, model: AdditiveModel, text_col: str = "text", thr
 
     def run(batches):
         for b in batches:
-            if b.num_rows:
-                yield b.filter(pa.array(shared.value.predict(_featured(texts_of(b, text_col))) >= threshold))
+            for at in range(0, b.num_rows, 512):
+                part = b.slice(at, 512)
+                yield part.filter(pa.array(shared.value.predict(_featured(texts_of(part, text_col))) >= threshold))
 
     return docs.mapInArrow(run, docs.schema)

@@ -52,23 +52,78 @@ def copies(seed=5):
 def test_stage_removes_what_brute_force_finds(spark):
     rows = copies()
     df = spark.createDataFrame([(i, t, len(t or "")) for i, t in rows], "doc_id long, text string, n_chars long").repartition(5)
-    got = corpus_pipeline.near_dedup(spark, df, "")
+    got = near_copies.keep_one(df)
     assert got.columns == df.columns
     assert {r.doc_id for r in got.collect()} == plain_stay(rows)
-    few = near_copies.keep_one(df, leaf=40)
+    few = near_copies.keep_one(df, leaf=40, tile=16)
     assert {r.doc_id for r in few.collect()} == plain_stay(rows)
     assert near_copies.keep_one(df.limit(0)).count() == 0
 
 
-def test_filters_lose_no_similar_pair():
-    """All pairs, with a reach of all 64 bits: only the bounds drop candidates, and none that is alike."""
+def test_leftovers_go_with_their_documents(spark, tmp_path):
+    """Near copies of which line removal has left a few lines: the texts before it tell."""
+    rows = [(i, t.replace(" a", "\na") if t else t) for i, t in copies(7)]
+    whole = spark.createDataFrame([(i, t) for i, t in rows], "doc_id long, text string").repartition(3)
+    whole.write.parquet(str(tmp_path / "documents.parquet"))
+    left = [(i, "\n".join(t.split("\n")[k % 3 :: 3]) if t and i >= 1000 and i % 2 else t) for k, (i, t) in enumerate(rows)]
+    got = {r.doc_id for r in corpus_pipeline.near_dedup(spark, spark.createDataFrame(left, "doc_id long, text string").repartition(4), str(tmp_path)).collect()}
+    before, after = {i: plain_set(t) for i, t in rows}, {i: plain_set(t) for i, t in left}
+    near = {i: {j for j in before if i != j and (alike(before[i], before[j]) or alike(after[i], after[j]) or alike(before[i], after[j]) or alike(after[i], before[j]))} for i in before}
+    want, seen = set(), set()
+    for i in sorted(near):
+        if i not in seen:
+            want.add(i)
+            todo = [i]
+            while todo:
+                x = todo.pop()
+                if x not in seen:
+                    seen.add(x)
+                    todo += near[x] - seen
+    assert got == want and len(got) < len(plain_stay(left))
+
+
+def test_other_texts_of_the_same_id_do_not_count(spark):
+    """Lines that are not in the other text, ids that repeat, null ids."""
+    rows = [(1, "a b c d e f"), (2, "g h i j k l"), (3, "m n o p q r"), (3, "s t u v w x"), (None, "y z a b c d"), (4, "k k k k k l")]
+    other = [(1, "one text"), (2, "one text"), (3, "one text"), (None, "one text"), (4, "one text\nk k k k k l"), (4, "k k k k k l\none text")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = near_copies.keep_one(docs, others=spark.createDataFrame(other, "doc_id long, text string")).collect()
+    assert sorted((str(r.doc_id), r.text) for r in got) == sorted((str(i), t) for i, t in rows)
+
+
+def test_equal_rows_and_clashing_names(spark):
+    names = ["stay_id_0", "equal_text_0", "node", "th", "id", "copies", "i", "t", "key"]
+    rows = [(1, "a b c", *"x" * 9), (1, "a b c", *"y" * 9), (None, None, *"x" * 9), (None, None, *"x" * 9), (None, "", *"z" * 9), (2, "other words here", *"x" * 9)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, " + ", ".join(f"{n} string" for n in names)).repartition(3)
+    got = near_copies.keep_one(docs)
+    assert got.columns == docs.columns
+    assert sorted(str(r.doc_id) for r in got.collect()) == ["1", "2", "None"]
+
+
+def test_tiles_lose_no_similar_pair():
+    """All pairs, with a reach of all bits: only sizes drop candidates, and none that is alike."""
     sets = [near_copies.shingle_set(t or "") for _, t in copies(6)]
-    fp = np.array([near_copies.majority(s) for s in sets], np.uint64)
-    slots = np.array([np.frombuffer(near_copies.slot_counts(s), np.uint8) for s in sets])
+    f1, f2 = (np.array(x, np.uint64) for x in zip(*map(near_copies.fingerprints_of, sets)))
     size, n = np.array([len(s) for s in sets], np.int64), len(sets)
-    home = np.arange(n) % 3 > 0
-    i, j = near_copies.leaf_pairs(fp, size, slots, np.arange(n), home, 64, False)
-    found = {frozenset(p) for p in zip(i.tolist(), j.tolist())}
-    assert len(found) == len(i)
-    want = {frozenset((a, b)) for a in range(n) for b in range(a) if (home[a] or home[b]) and len(sets[a]) and near_copies.similar(sets[a], sets[b])}
-    assert want and want <= found
+    for side in (np.zeros(n, bool), np.arange(n) % 3 == 0):
+        i, j = near_copies.tile_pairs(f1, f2, size, np.arange(n), side, 64, 128, False)
+        found = {frozenset(p) for p in zip(i.tolist(), j.tolist())}
+        assert len(found) == len(i)
+        want = {frozenset((a, b)) for a in range(n) for b in range(a) if (side[a] != side[b] or not side.any()) and len(sets[a]) and near_copies.similar(sets[a], sets[b])}
+        assert want and want <= found
+        assert all(abs(near_copies.band(int(size[a])) - near_copies.band(int(size[b]))) <= 1 for a, b in map(tuple, want))
+
+
+def test_no_task_grows_with_its_leaf(spark):
+    """Tiles hold a bounded number of rows, whatever the size of a leaf, and every pair meets."""
+    rows = [(leaf, k, home) for leaf in (1, 2) for k, home in [(k, k % 3 > 0) for k in range(300 * leaf)]]
+    from panelith.llm.simhash_vp import tiles
+
+    dealt = tiles(spark.createDataFrame(rows, "leaf long, k long, home boolean"), "k", 50).toPandas()
+    assert dealt.groupby(["leaf", "i", "j"]).size().max() <= 3 * 50
+    met = set()
+    for (leaf, _, _), g in dealt.groupby(["leaf", "i", "j"]):
+        a, b = g.loc[~g.side, "k"], g.loc[g.side, "k"]
+        pairs = [(x, y) for x in a for y in (b if len(b) else a) if x != y]
+        met |= {(leaf, min(p), max(p)) for p in pairs}
+    assert met == {(leaf, x, y) for leaf in (1, 2) for x in range(300 * leaf) for y in range(x + 1, 300 * leaf) if x % 3 or y % 3}
