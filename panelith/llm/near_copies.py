@@ -8,8 +8,9 @@ Texts with equal sets are one node.  A node has two fingerprints of 64 bits, mad
 give or take 3.  Candidates differ in at most ``REACH`` bits of the first and ``REACH_BOTH`` of
 both.  Sets whose sizes differ by more than the similarity allows never meet: nodes are parted by
 bands of size, in which only neighbours meet, and then by the vantage-point tree of ``simhash_vp``
-and its tiles of bounded size.  Every link is checked on the sets themselves, so no pair below 0.8
-is ever linked.
+and its tiles of bounded size.  Pairs are checked by sketches of their sets first (hashes counted in
+``SLOTS`` slots: the counts never differ by more than the sets do, so no pair is lost), and links on
+the sets themselves, so no pair below 0.8 is ever linked.
 
 Large groups: a tile first gives a forest of its candidates, closest first.  The links that hold
 make groups, and a second look gives all candidates that are not in one group yet, so n near
@@ -49,7 +50,9 @@ from .tables import arrow_map, batch, ensure_checkpoint_dir, free_names, stored,
 
 #: Words of a shingle; bits that fingerprints of candidates may differ in, of 64 and of 128; least
 #: similarity as a fraction.
-SHINGLE, REACH, REACH_BOTH, SIMILAR = 5, 20, 37, (4, 5)
+SHINGLE, REACH, REACH_BOTH, SIMILAR = 5, 20, 35, (4, 5)
+#: Slots of a set's sketch, of four bits each.
+SLOTS = 1024
 #: Bits of the table of rows that are asked for, at most (16 MB).
 TABLE_BITS = 1 << 27
 #: Candidates that a tile holds before it thins them to a forest.
@@ -74,6 +77,18 @@ def band(size: int) -> int:
     return -1 if size == 0 else int(math.floor(math.log(size) / math.log(SIMILAR[1] / SIMILAR[0]) + 1e-9))
 
 
+def sketch(hashes: np.ndarray) -> bytes:
+    """Hashes in each slot, 15 for all above, two slots a byte."""
+    n = np.minimum(np.bincount((hashes >> np.uint64(54)).astype(np.int64), minlength=SLOTS), 15).astype(np.uint8)
+    return (n[::2] | n[1::2] << 4).tobytes()
+
+
+def may_be_similar(a: np.ndarray, b: np.ndarray, m: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Rows of sketches and sizes: |A ^ B| <= (|A| + |B|) (1 - t) / (1 + t) at a similarity t or more."""
+    apart = np.abs((a & 15).astype(np.int16) - (b & 15)).sum(axis=1, dtype=np.int64) + np.abs((a >> 4).astype(np.int16) - (b >> 4)).sum(axis=1, dtype=np.int64)
+    return (SIMILAR[1] + SIMILAR[0]) * apart <= (SIMILAR[1] - SIMILAR[0]) * (m + n)
+
+
 def similar(a: np.ndarray, b: np.ndarray) -> bool:
     both = len(np.intersect1d(a, b, assume_unique=True))
     either = len(a) + len(b) - both
@@ -231,30 +246,41 @@ class Wanted:
 
 
 def shingle_sets(texts: DataFrame, asked: DataFrame) -> DataFrame:
-    """node, hashes of the texts (key, text) that are asked for."""
+    """node, size, sketch and hashes (32 bits of each) of the texts (key, text) that are asked for."""
     wanted = Wanted(asked)
 
     def make():
         def run(b: pa.RecordBatch) -> pa.RecordBatch:
             sets = [shingle_set(t) for t in texts_of(wanted(b))]
-            return batch({"node": ([name_of(h) for h in sets], pa.int64()), "hashes": ([h.tobytes() for h in sets], pa.binary())})
+            small = [np.unique((h >> np.uint64(16)).astype(np.uint32)).tobytes() for h in sets]
+            return batch({"node": ([name_of(h) for h in sets], pa.int64()), "size": ([len(h) for h in sets], pa.int32()), "sketch": ([sketch(h) for h in sets], pa.binary()), "hashes": (small, pa.binary())})
 
         return run
 
-    return arrow_map(texts.select("key", "text"), make, "node long, hashes binary")
+    return arrow_map(texts.select("key", "text"), make, "node long, size int, sketch binary, hashes binary")
 
 
 def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose sets (node, hashes) are similar."""
+    """The pairs (a, b) whose sets (node, size, sketch, hashes) are similar."""
+
+    def may():
+        def run(b: pa.RecordBatch) -> pa.RecordBatch:
+            x, y = (np.frombuffer(b"".join(b.column(k).to_pylist()), np.uint8).reshape(-1, SLOTS // 2) for k in ("x", "y"))
+            m, n = (b.column(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in ("m", "n"))
+            return b.select(["a", "b"]).filter(pa.array(may_be_similar(x, y, m, n), pa.bool_()))
+
+        return run
 
     def check():
         def run(b: pa.RecordBatch) -> pa.RecordBatch:
-            x, y = (([np.frombuffer(v.as_py(), np.uint64) for v in b.column(k)]) for k in (2, 3))
+            x, y = (([np.frombuffer(v.as_py(), np.uint32) for v in b.column(k)]) for k in (2, 3))
             ok = [similar(p, q) for p, q in zip(x, y)]
             return b.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
         return run
 
+    one, two = sets.selectExpr("node as a", "size as m", "sketch as x"), sets.selectExpr("node as b", "size as n", "sketch as y")
+    pairs = stored(arrow_map(pairs.join(one, "a").join(two, "b").select("a", "b", "m", "n", "x", "y"), may, "a long, b long"), "may-be")
     one, two = sets.selectExpr("node as a", "hashes as x"), sets.selectExpr("node as b", "hashes as y")
     return stored(arrow_map(pairs.join(one, "a").join(two, "b").select("a", "b", "x", "y"), check, "a long, b long"), "similar")
 

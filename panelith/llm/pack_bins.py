@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .tables import arrow_map, batch, stored, texts_of
-from .word_ids import width_of, word_encoder
+from .word_ids import WordEncoder, width_of
 
 CAPACITIES = (512, 1024, 2048, 4096)
 BLOCK = 32_768
@@ -89,7 +89,8 @@ def lengths_of(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str
     """id and n, the tokens of each text with its end token."""
 
     def make():
-        encoder = word_encoder(path, width_of(path))
+        # one a task: in a pipeline, the worker's memory is wanted by the stages after this one
+        encoder = WordEncoder(path, width_of(path))
         return lambda b: batch({"id": (b.column(0), None), "n": ([n + 1 for n in encoder.counts(texts_of(b))], pa.int64())})
 
     slim = docs.selectExpr(f"`{id_col}` as id", f"`{text_col}` as text")

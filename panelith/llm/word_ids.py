@@ -38,7 +38,7 @@ UNKNOWN = (
 @lru_cache(maxsize=1)
 def classes() -> np.ndarray:
     """The class of every character, as the file's pattern has it."""
-    every = "".join(map(chr, range(0xD800))) + "\0" * 0x800 + "".join(map(chr, range(0xE000, 0x110000)))
+    every = np.arange(0x110000, dtype="<u4").tobytes().decode("utf-32-le", "surrogatepass")
     out = np.full(len(every), OTHER, np.uint8)
     for kind, pattern in ((SPACE, r"\s+"), (LETTER, r"\p{L}+"), (NUMBER, r"\p{N}+")):
         for m in regex.finditer(pattern, every):
@@ -199,7 +199,7 @@ class WordEncoder:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         out = []
-        for a, z in slices(texts):
+        for a, z in slices(texts, chars=1 << 18):
             parts, owners = [], []
             for i in range(a, z):
                 for part, special in split_special(texts[i], self.special):

@@ -114,6 +114,16 @@ def test_tiles_lose_no_similar_pair():
         assert all(abs(near_copies.band(int(size[a])) - near_copies.band(int(size[b]))) <= 1 for a, b in map(tuple, want))
 
 
+def test_sketches_lose_no_similar_pair():
+    sets = [near_copies.shingle_set(t or "") for _, t in copies(8)] + [np.arange(30_000, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)]
+    sets.append(sets[-1][2000:])
+    rows, size = np.array([np.frombuffer(near_copies.sketch(s), np.uint8) for s in sets]), np.array([len(s) for s in sets])
+    i, j = np.triu_indices(len(sets), 1)
+    may = near_copies.may_be_similar(rows[i], rows[j], size[i], size[j])
+    real = np.array([near_copies.similar(sets[a], sets[b]) for a, b in zip(i, j)])
+    assert real.any() and not (real & ~may).any() and may.sum() < 3 * real.sum() + 60
+
+
 def test_no_task_grows_with_its_leaf(spark):
     """Tiles hold a bounded number of rows, whatever the size of a leaf, and every pair meets."""
     rows = [(leaf, k, home) for leaf in (1, 2) for k, home in [(k, k % 3 > 0) for k in range(300 * leaf)]]
