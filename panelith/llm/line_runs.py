@@ -41,7 +41,7 @@ from .tables import free_names, join_hot, stored
 MIN_WORDS = 10
 #: Lines that the first ranks are made of.
 HEAD = 32
-_WORD = r"[^\x20\x09-\x0D]+"
+_SPACE = r"[\x20\x09-\x0D]+"
 INFO = ("lines_before", "lines_deleted", "ranges_deleted")
 
 
@@ -55,7 +55,7 @@ def positions(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     left (lines of the run from here on), w (words), through (words of the run up to here), r."""
     lines = (
         docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("th"), F.posexplode(F.split(F.col(text_col), "\n", -1)).alias("i", "line"))
-        .select("id", "th", "i", F.xxhash64("line").alias("h1"), F.xxhash64("line", F.lit(7)).alias("h2"), F.regexp_count("line", F.lit(_WORD)).alias("w"))
+        .select("id", "th", "i", F.xxhash64("line").alias("h1"), F.xxhash64("line", F.lit(7)).alias("h2"), F.size(F.filter(F.split("line", _SPACE), lambda w: w != "")).alias("w"))
     )
     often = lines.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     often = _ranked(often, ["h1", "h2"], "r")
