@@ -60,5 +60,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     return STAGES[-1][1](spark, docs, sf_dir)
 
 
-#: Scores, fingerprints and token counts are beyond SQL: see tests/llm/test_pipeline.py.
+#: Scores, fingerprints and token counts are beyond SQL: see tests/llm/test_pipeline.py for a plain version.
 ORACLE_SQL: str | None = None

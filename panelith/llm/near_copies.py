@@ -13,9 +13,9 @@ and its tiles of bounded size.  Pairs are checked by sketches of their sets firs
 the sets themselves, so no pair below 0.8 is ever linked.
 
 Large groups: a tile first gives a forest of its candidates, closest first.  The links that hold
-make groups, and a second look gives all candidates that are not in one group yet, so n near
-copies cost about n rows.  Candidates below 0.8 stay pairs: a large family of texts that are all
-alike by 0.6 to 0.8 costs the square of its size.
+make groups, and a second look gives all candidates that are not in one group yet and that their
+sketches, which are dealt out with the nodes this time, do not rule out: so n near copies cost
+about n rows, and texts that are alike by less than about 0.77 are compared but give none.
 
 Texts are never shuffled to be checked: the nodes that are asked for are marked in a bit table of
 bounded size (``TABLE_BITS``), which is broadcast; the rows that hit it give their sets.  Where the
@@ -112,7 +112,7 @@ def nearest_forest(n: int, i: np.ndarray, j: np.ndarray, d: np.ndarray) -> np.nd
     return np.array(kept, np.int64)
 
 
-def tile_pairs(f1: np.ndarray, f2: np.ndarray, size: np.ndarray, root: np.ndarray, side: np.ndarray, reach: int, both: int, forest: bool) -> tuple[np.ndarray, np.ndarray]:
+def tile_pairs(f1: np.ndarray, f2: np.ndarray, size: np.ndarray, root: np.ndarray, side: np.ndarray, reach: int, both: int, forest: bool, sketches: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Candidates (positions) of different roots among rows of side 0, or between sides 0 and 1 if
     there are any of side 1: all, or a forest."""
     by_size = np.argsort(size, kind="stable")
@@ -145,9 +145,15 @@ def tile_pairs(f1: np.ndarray, f2: np.ndarray, size: np.ndarray, root: np.ndarra
             d = d[x, y].astype(np.int64) + np.bitwise_count(f2[i] ^ f2[j])
             ok = (d <= both) & (root[i] != root[j])
             ok &= SIMILAR[0] * np.maximum(size[i], size[j]) <= SIMILAR[1] * np.minimum(size[i], size[j])
-            if ok.any():
-                found.append((i[ok], j[ok], d[ok]))
-                held += int(ok.sum())
+            i, j, d = i[ok], j[ok], d[ok]
+            if sketches is not None:
+                cuts = range(0, len(i), 16_384)
+                may = [may_be_similar(sketches[i[k : k + 16_384]], sketches[j[k : k + 16_384]], size[i[k : k + 16_384]], size[j[k : k + 16_384]]) for k in cuts]
+                ok = np.concatenate([np.zeros(0, bool), *may])
+                i, j, d = i[ok], j[ok], d[ok]
+            if len(i):
+                found.append((i, j, d))
+                held += len(i)
             if forest and held > HELD:
                 thin()
                 held = len(found[0][0])
@@ -158,8 +164,9 @@ def tile_pairs(f1: np.ndarray, f2: np.ndarray, size: np.ndarray, root: np.ndarra
 
 
 def candidates(nodes: DataFrame, forest: bool, reach: int = REACH, both: int = REACH_BOTH, leaf: int | None = None, tile: int = TILE) -> DataFrame:
-    """(a, b) of nodes (node, f1, f2, size, root) that may be similar and have other roots."""
-    n = nodes.count()
+    """(a, b) of nodes (node, f1, f2, size, root and perhaps sketch) that may be similar and have
+    other roots."""
+    n, more = nodes.count(), ["sketch"] if "sketch" in nodes.columns else []
     leaf = leaf or min(MOST_LEAF, max(LEAST_LEAF, n // 4))
     rows = nodes.orderBy(F.xxhash64("node", F.lit(11))).limit(SAMPLE).select("f1").toPandas()["f1"].to_numpy(np.int64).view(np.uint64)
     leaves = -(-n // leaf)
@@ -180,11 +187,11 @@ def candidates(nodes: DataFrame, forest: bool, reach: int = REACH, both: int = R
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         cols = {k: pdf[k].to_numpy(np.int64) for k in ("node", "f1", "f2", "size", "root")}
-        i, j = tile_pairs(cols["f1"].view(np.uint64), cols["f2"].view(np.uint64), cols["size"], cols["root"], pdf["side"].to_numpy(bool), reach, both, forest)
+        i, j = tile_pairs(cols["f1"].view(np.uint64), cols["f2"].view(np.uint64), cols["size"], cols["root"], pdf["side"].to_numpy(bool), reach, both, forest, np.frombuffer(b"".join(pdf["sketch"]), np.uint8).reshape(-1, SLOTS // 2) if more else None)
         return pd.DataFrame({"a": cols["node"][i], "b": cols["node"][j]})
 
-    slim = nodes.select("node", "f1", "f2", "size", "root")
-    out = slim.mapInArrow(spread, "node long, f1 long, f2 long, size int, root long, leaf long, home boolean")
+    slim = nodes.select("node", "f1", "f2", "size", "root", *more)
+    out = slim.mapInArrow(spread, "node long, f1 long, f2 long, size int, root long, " + "sketch binary, " * len(more) + "leaf long, home boolean")
     return tiles(out, "node", tile).groupBy("leaf", "i", "j").applyInPandas(run, "a long, b long")
 
 
@@ -340,7 +347,7 @@ def keep_one(docs: DataFrame, reach: int = REACH, both: int = REACH_BOTH, id_col
     sets = stored(sets.join(asked, "node", "left_semi").dropDuplicates(["node"]), "sets")
     links = verified(first, sets)
     roots = stored(components(links), "groups")
-    grouped = near.drop("root").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    grouped = near.drop("root").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")).join(sets.select("node", "sketch"), "node")
     links = links.unionByName(verified(stored(candidates(stored(grouped, "grouped"), False, reach, both, leaf, tile), "others"), sets))
     if joints is not None:
         links = links.unionByName(joints)

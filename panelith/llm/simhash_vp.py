@@ -13,7 +13,8 @@ vantage points and only rings within the radius meet.  A tile emits a spanning f
 and never the pairs themselves, so a group of n near copies costs n rows.
 
 Components.  Forest edges are contracted by large-star / small-star rounds on DataFrames; each
-round is written to the shared folder.  Nothing but counts comes to the driver.
+round is written to the shared folder (a few edges, up to a fixed number, are solved in one task).
+Nothing but counts comes to the driver.
 
 The tree is exact, but random 64-bit codes lie close to 32 bits from everything, so a ball of
 radius 3 crosses more than half of all medians: work grows almost with the square of the distinct
@@ -266,14 +267,32 @@ def links(classes: DataFrame, reach: int = 3, sample: int = SAMPLE, leaf: int |
     return tiles(spread_out, "fp", tile).groupBy("leaf", "i", "j").applyInPandas(run, "a long, b long")
 
 
-def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
+def union_find(batches):
+    """From batches of edges to (node, root)."""
+    ends = [(b.column(0).to_numpy(zero_copy_only=False), b.column(1).to_numpy(zero_copy_only=False)) for b in batches if b.num_rows]
+    if ends:
+        a, b = (np.concatenate(x) for x in zip(*ends))
+        nodes, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+        forest = Forest(len(nodes))
+        forest.join(at[: len(a)], at[len(a) :])
+        yield batch({"node": (nodes, pa.int64()), "root": (nodes[forest.roots(np.arange(len(nodes)))], pa.int64())})
+
+
+#: Edges that one task solves at once (some 10 MB); more are contracted in rounds.
+FEW_EDGES = 200_000
+
+
+def components(edges: DataFrame, rounds: int = 60, few: int = FEW_EDGES) -> DataFrame:
     """(node, root) for all nodes of undirected edges (a, b); root is the component's smallest node.
 
-    Alternating large-star and small-star steps; every step keeps the components and lets each
-    node see a smaller neighbour, until all edges of a component point to one root.
+    Up to ``few`` edges go through union-find in one task.  More: alternating large-star and
+    small-star steps; every step keeps the components and lets each node see a smaller neighbour,
+    until all edges of a component point to one root.
     """
     ensure_checkpoint_dir(edges.sparkSession)
     edges = edges.where("a <> b").selectExpr("greatest(a, b) as a", "least(a, b) as b").distinct().checkpoint()
+    if edges.count() <= few:
+        return edges.coalesce(1).mapInArrow(union_find, "node long, root long")
     before = None
     for _ in range(rounds):
         # large star: every neighbour larger than u, and u itself, to u's smallest neighbour

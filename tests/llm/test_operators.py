@@ -9,14 +9,12 @@ import zlib
 import numpy as np
 import pytest
 import xxhash
-from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from panelith.llm import ann_projection, bloom_lm, line_runs, pack_bins, quality_gam, records, simhash_vp, topk_blocks
 from panelith.llm.tables import WORD_FILE, stored, tokenizer_path
 
 WORD = tokenizer_path(WORD_FILE)
-SF = "/root/testdata/sf0.001"
 
 
 def some_docs(n=60, seed=0):
@@ -589,9 +587,10 @@ def test_links_in_a_cloud(spark):
     assert all(want[k] == v for k, v in got.items())
 
 
-def test_long_chain_of_links(spark):
+@pytest.mark.parametrize("few", [0, 10**6])
+def test_long_chain_of_links(spark, few):
     chain = spark.createDataFrame([(i, i + 1) for i in range(400)] + [(1000, 1000), (2001, 2000)], "a long, b long").repartition(4)
-    got = {x.node: x.root for x in simhash_vp.components(chain).collect()}
+    got = {x.node: x.root for x in simhash_vp.components(chain, few=few).collect()}
     assert got == {**{i: 0 for i in range(401)}, 2000: 2000, 2001: 2000}
 
 
@@ -599,34 +598,75 @@ def test_near_duplicates_without_rows(spark, docs):
     assert simhash_vp.near_duplicates(docs.limit(0)).count() == 0
 
 
-# ---- the pipeline ------------------------------------------------------------------------------
-
-
-def test_pipeline_stages(spark):
-    import corpus_pipeline
-
-    docs = spark.read.parquet(f"{SF}/documents.parquet")
-    sizes, at = [docs.count()], docs
-    for name, stage in corpus_pipeline.STAGES[:-1]:
-        at = stored(stage(spark, at, SF), name)
-        assert at.columns == docs.columns
-        sizes.append(at.count())
-    assert sizes == sorted(sizes, reverse=True) and 0 < sizes[-1] < sizes[0]
-    labels = {r.doc_id: r.quality for r in spark.read.parquet(f"{SF}/labels.parquet").collect()}
-    first = {r.doc_id for r in corpus_pipeline.STAGES[0][1](spark, docs, SF).collect()}
-    good = [i for i, q in labels.items() if q == 1]
-    assert len(first & set(good)) > 0.95 * len(good)
-    kept = at.collect()
-    known = {r.doc_id: plain_fingerprint(r.text) for r in kept}
-    assert all(k == v for k, v in plain_components(known).items())  # no near duplicates left
-    out = corpus_pipeline.run(spark, SF)
-    assert {r.doc_id for r in out.select("doc_id").distinct().collect()} == set(known)
-
-
-def test_pipeline_on_odd_rows(spark, tmp_path):
-    import corpus_pipeline
-
-    rows = [(i, t, "en", "s", len(t or ""), "x") for i, t in some_docs()]
-    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, score string").write.parquet(str(tmp_path / "documents.parquet"))
-    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
-    assert corpus_pipeline.run(spark, str(tmp_path)).where(F.col("n_tokens") > 0).count() > 20
+# ---- odd rows ----------------------------------------------------------------------------------
+
+
+def test_very_long_texts(spark):
+    """A text of 60,000 words beside short ones, in every operator on documents."""
+    from panelith.llm import stream_bpe, token_counts
+    from panelith.llm.tables import BYTE_FILE
+
+    r = random.Random(12)
+    long = "\n".join(" ".join(r.choice(["alpha", "beta", "gamma,", "delta", "it's", "12", "é"]) for _ in range(12)) for _ in range(5000))
+    rows = [(1, long), (2, "x" * 200_000), (3, "short"), (4, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(2)
+    labels = spark.createDataFrame([(i, i % 2) for i, _ in rows], "doc_id long, quality int")
+    assert quality_gam.score(df, quality_gam.fit(df, labels)).count() == 4
+    lib, byte = Tokenizer.from_file(WORD), Tokenizer.from_file(tokenizer_path(BYTE_FILE))
+    ids = {i: lib.encode(t or "", add_special_tokens=False).ids for i, t in rows}
+    assert {x.doc_id: x.n_tokens for x in token_counts.count_tokens(df, WORD).collect()} == {i: len(v) for i, v in ids.items()}
+    got = {x.doc_id: (x.n_tokens, x.ids_crc32) for x in records.record_digest(df, WORD).collect()}
+    assert got == {i: (len(v) + 1, zlib.crc32(np.array([*v, 2], "<u4").tobytes())) for i, v in ids.items()}
+    assert {x.doc_id: x.n_tokens for x in stream_bpe.encode_documents(df, tokenizer_path(BYTE_FILE)).collect()} == {i: len(byte.encode(t or "", add_special_tokens=False).ids) for i, t in rows}
+    packed = collections.Counter()
+    for x in pack_bins.pack_documents(df, WORD).collect():
+        packed[x.doc_id] += x.n_tokens
+    assert packed == {i: len(v) + 1 for i, v in ids.items()}
+    scored = {x.doc_id: x.n_tokens for x in bloom_lm.score_documents(df).collect()}
+    assert scored == {1: 60_001, 2: 2, 3: 2, 4: 1}
+    want = {i: plain_fingerprint(t) for i, t in rows}
+    assert {x.doc_id: int(x.fingerprint, 16) for x in simhash_vp.near_duplicates(df).collect()} == want
+    twice = line_runs.delete_runs(df.unionAll(spark.createDataFrame([(5, long + "\nend")], "doc_id long, text string")))
+    assert {x.doc_id: x.text for x in twice.collect()} == {**dict(rows), 5: "end"}
+
+
+def test_records_are_read_in_splits(spark, tmp_path):
+    """Files of many blocks, cut anywhere by the reader."""
+    r = random.Random(13)
+    rows = [(i, " ".join("".join(r.choice("abcdefghijklmnop") for _ in range(7)) for _ in range(9000))) for i in range(90)]
+    df, folder = spark.createDataFrame(rows, "doc_id long, text string"), str(tmp_path / "rec")
+    index = records.write_records(df, folder, WORD, 2, file_bytes=3 << 20)
+    shards = {x["shard"] for x in index.collect()}
+    assert 1 < len(shards) < 20 and max(p.stat().st_size for p in (tmp_path / "rec" / "records").glob("part*")) > 2 * records.BLOCK_BYTES
+    spark.conf.set("spark.sql.files.maxPartitionBytes", 100_003)
+    try:
+        got = records.with_starts(records.read_records(spark, folder), index).orderBy("start").collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert [x["id"] for x in got] == list(range(90))
+    start = 0
+    for x in got:
+        assert x["start"] == start
+        start += x["n_tokens"]
+        path = next(p for p in (tmp_path / "rec" / "records").iterdir() if p.name.startswith(f"part-{x['shard']:05d}"))
+        data = path.read_bytes()[x["offset"] : x["offset"] + x["length"]]
+        doc, ids = records.unpack_payload(next(records.Framer().read(data))[1])
+        assert (doc, len(ids), zlib.crc32(ids.astype("<u4").tobytes())) == (x["id"], x["n_tokens"], x["ids_crc32"])
+
+
+def test_ids_that_look_like_a_closing_frame():
+    blocks = records.Blocks()
+    raw = b"\0" * 3 + records.closing() + b"\0" * 5
+    assert len(raw) % 2 == 0
+    frame = blocks.framer.frames([records.payload(7, 2, raw)])[0]
+    assert blocks.end in frame and blocks.add(7, 2, raw, frame) is None
+    block = blocks.cut()
+    assert blocks.end not in block
+    (_, opening), (_, record) = blocks.framer.read(block)
+    doc, ids = records.unpack_payload(record)
+    assert records.unpack_opening(opening) == (0, 0) and doc == 7 and ids.astype("<u2").tobytes() == raw
+
+
+def test_packing_with_clashing_columns(spark):
+    df = spark.createDataFrame([(1, "a b", 5, 6, 7), (None, None, 5, 6, 7)], "doc_id long, text string, n long, id long, block long")
+    assert sorted((str(x.doc_id), x.n_tokens) for x in pack_bins.pack_documents(df, WORD).collect()) == [("1", 3), ("None", 1)]
