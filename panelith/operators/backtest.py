@@ -153,8 +153,17 @@ def check_bars(panel: Panel) -> None:
         raise ValueError("assets have unequal numbers of bars")
 
 
-def run(panel: Panel, strategies: dict[str, Strategy], cash: float = 100_000.0, commissions: list[float] | float = 0.0, check: bool = False) -> DataFrame:
-    """One group a strategy and commission rate: run, commission, time, fill_time, cash, value, waiting."""
+#: Most bars (rows) of a run: its task holds them all, some 100 bytes each, five tables wide.
+MAX_BARS = 10_000_000
+
+
+def run(panel: Panel, strategies: dict[str, Strategy], cash: float = 100_000.0, commissions: list[float] | float = 0.0, check: bool = False, max_bars: int = MAX_BARS) -> DataFrame:
+    """One group a strategy and commission rate: run, commission, time, fill_time, cash, value, waiting.
+
+    A run steps through its bars in order, in one task; a panel of more than ``max_bars`` rows is an
+    error."""
+    if panel.df.limit(max_bars + 1).count() > max_bars:
+        raise ValueError(f"a backtest of more than {max_bars} bars")
     if check:
         check_bars(panel)
     rates = commissions if isinstance(commissions, list) else [commissions]

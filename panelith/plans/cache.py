@@ -30,6 +30,23 @@ class Stage(Enum):
         return self.value[1]
 
 
+def input_files(spark: SparkSession, paths: list[str | None]) -> list[list]:
+    """Name, size and time of change of every file below the paths: what a stored result was read
+    from.  A path that is not there gives nothing."""
+    out, jvm = [], spark._jvm
+    for path in paths:
+        if not path:
+            continue
+        at = jvm.org.apache.hadoop.fs.Path(path)
+        fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
+        if fs.exists(at):
+            files = fs.listFiles(at, True)
+            while files.hasNext():
+                s = files.next()
+                out.append([s.getPath().toString(), s.getLen(), s.getModificationTime()])
+    return sorted(out)
+
+
 def content_key(stage: Stage, config, parents: list[str] = ()) -> str:
     text = json.dumps([stage.label, config, sorted(parents)], sort_keys=True, default=str)
     return hashlib.sha256(text.encode()).hexdigest()[:16]

@@ -173,11 +173,114 @@ class Forest(Tree):
         return np.mean([self._walk(t, x) for t in self.nodes], axis=0)
 
 
+@dataclass
+class BoostedClasses(Tree):
+    """Boosted trees on the log-odds of classes 0 and 1; predicts the probability of 1."""
+
+    trees: int = 50
+    rate: float = 0.1
+
+    def fit(self, x, y, weight=None):
+        w = np.ones(len(x)) if weight is None else weight
+        p = float(np.clip(np.average(y, weights=w), 1e-6, 1 - 1e-6))
+        self.base, self.nodes = float(np.log(p / (1 - p))), []
+        z = np.full(len(x), self.base)
+        for _ in range(self.trees):
+            q = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+            h = np.maximum(q * (1 - q), 1e-9)
+            tree = self._grow(x, (y - q) / h, w * h, self.max_depth)  # Newton steps as leaf values
+            self.nodes.append(tree)
+            z = z + self.rate * self._walk(tree, x)
+
+    def predict(self, x):
+        z = self.base + sum(self.rate * self._walk(t, x) for t in self.nodes)
+        return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+
+
+@dataclass
+class Neighbors(ModelAdapter):
+    """The mean label of the k nearest training rows; of rows as far the earlier ones.  For classes
+    0 and 1 that is the share of class 1."""
+
+    k: int = 5
+
+    def fit(self, x, y, weight=None):
+        self.x, self.y = x, y
+        self.w = np.ones(len(x)) if weight is None else weight
+
+    def predict(self, x):
+        out = np.empty(len(x))
+        for a in range(0, len(x), 512):
+            gap = ((x[a : a + 512, None, :] - self.x[None, :, :]) ** 2).sum(axis=2)
+            near = np.argsort(gap, axis=1, kind="stable")[:, : self.k]
+            out[a : a + 512] = np.average(self.y[near], weights=self.w[near], axis=1)
+        return out
+
+
+@dataclass
+class Margin(ModelAdapter):
+    """A linear support vector machine with squared hinge loss (classes 0 and 1), or with squared
+    loss outside ``epsilon`` (regression), by Newton steps on the rows that count."""
+
+    c: float = 1.0
+    epsilon: float | None = None
+    rounds: int = 100
+
+    def fit(self, x, y, weight=None):
+        w = np.ones(len(x)) if weight is None else weight
+        z, self.coef = np.column_stack([np.ones(len(x)), x]), np.zeros(x.shape[1] + 1)
+        ridge = np.eye(z.shape[1]) / (2 * self.c)
+        ridge[0, 0] = 1e-9
+        sign = np.where(y > 0.5, 1.0, -1.0)
+        for _ in range(self.rounds):
+            f = z @ self.coef
+            if self.epsilon is None:
+                on, goal = sign * f < 1, sign
+            else:
+                on, goal = np.abs(y - f) > self.epsilon, y - np.sign(y - f) * self.epsilon
+            new = np.linalg.solve((z[on] * w[on, None]).T @ z[on] + ridge, (z[on] * w[on, None]).T @ goal[on])
+            done = np.abs(new - self.coef).max() < 1e-9
+            self.coef = new
+            if done:
+                break
+
+    def predict(self, x):
+        f = x @ self.coef[1:] + self.coef[0]
+        return f if self.epsilon is not None else (f > 0).astype(float)
+
+
+class Foreign(ModelAdapter):
+    """Any object with fit and predict; with ``probability``, that column of predict_proba (counted
+    from 0, the last one for True).  ``make`` gives a fresh one for each segment."""
+
+    def __init__(self, make: Callable[[], object], probability: int | bool | None = None):
+        self.estimator, self.probability = make(), probability
+
+    def fit(self, x, y, weight=None):
+        if weight is None:
+            self.estimator.fit(x, y)
+        else:
+            self.estimator.fit(x, y, sample_weight=weight)
+
+    def predict(self, x):
+        if self.probability is None or self.probability is False:
+            return np.asarray(self.estimator.predict(x), float).ravel()
+        p = np.asarray(self.estimator.predict_proba(x), float)
+        column = p.shape[1] - 1 if self.probability is True else self.probability
+        if not 0 <= column < p.shape[1]:
+            raise ValueError(f"no column {column} among {p.shape[1]} probabilities")
+        return p[:, column]
+
+
 MODELS: dict[str, Callable[..., ModelAdapter]] = {
     "LinearRegression": lambda fit_intercept=True: Linear(0.0, fit_intercept), "Ridge": lambda alpha=1.0, fit_intercept=True: Linear(alpha, fit_intercept),
     "Lasso": Lasso, "ElasticNet": lambda alpha=1.0, l1_ratio=0.5: Lasso(alpha, l1_ratio), "LogisticRegression": lambda C=1.0: Logistic(C),
     "DecisionTreeRegressor": Tree, "RandomForestRegressor": lambda n_estimators=20, max_depth=6, random_state=0: Forest(max_depth, trees=n_estimators, seed=random_state),
     "GradientBoostingRegressor": lambda n_estimators=50, max_depth=3, learning_rate=0.1: Tree(max_depth, trees=n_estimators, rate=learning_rate),
+    "DecisionTreeClassifier": Tree, "RandomForestClassifier": lambda n_estimators=20, max_depth=6, random_state=0: Forest(max_depth, trees=n_estimators, seed=random_state),
+    "GradientBoostingClassifier": lambda n_estimators=50, max_depth=3, learning_rate=0.1: BoostedClasses(max_depth, trees=n_estimators, rate=learning_rate),
+    "KNeighborsRegressor": lambda n_neighbors=5: Neighbors(n_neighbors), "KNeighborsClassifier": lambda n_neighbors=5: Neighbors(n_neighbors),
+    "LinearSVC": lambda C=1.0: Margin(C), "LinearSVR": lambda C=1.0, epsilon=0.0: Margin(C, epsilon),
 }
 
 

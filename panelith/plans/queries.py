@@ -8,7 +8,7 @@ the last bits; break points are compared after rounding for the same reason.
 from __future__ import annotations
 
 from collections.abc import Callable
-from datetime import datetime, timedelta
+from datetime import timedelta
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,9 +18,11 @@ from ..functions.dsl import Call, Data, parse
 from ..functions.kernels import AGGREGATES, Axis
 from ..functions.manager import FormulaManager, with_formula
 from ..operators import backtest, filters, joins, processors
-from ..operators.panel import Panel, from_table, sas_date, truncated
+from ..operators.panel import Panel, from_table, sas_date, simulated, truncated
 from .models import ModelRunner, information_coefficient
-from .walkforward import SegmentConfig, WalkForwardRunner, make_plan, optimize_plan, window_counts
+from ..sources import readers
+from ..sources.readers import DataManager, SourceConfig
+from .walkforward import SegmentConfig, SegmentPlan, WalkForwardRunner, expand_plan, make_plan, optimize_plan, window_counts
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -657,26 +659,46 @@ _formula_pb("lib_ts_combined", {"ts_combined": {}}, "ts_combined", f"{_RSI} SELE
 
 # ---- walk-forward and models -------------------------------------------------------------------
 
-CONFIG = SegmentConfig(datetime(1996, 1, 1), datetime(2000, 6, 30), timedelta(days=365), timedelta(days=120), timedelta(days=90), timedelta(days=10))
-_SEG = """sg AS (SELECT CAST(i AS INT) AS segment, TIMESTAMP '1996-01-01' + i * INTERVAL 90 DAY AS a, TIMESTAMP '1996-01-01' + i * INTERVAL 90 DAY + INTERVAL 365 DAY AS b,
-  TIMESTAMP '1996-01-01' + i * INTERVAL 90 DAY + INTERVAL 375 DAY AS c, TIMESTAMP '1996-01-01' + i * INTERVAL 90 DAY + INTERVAL 495 DAY - INTERVAL 1 MICROSECOND AS e
-  FROM range(100) r(i) WHERE TIMESTAMP '1996-01-01' + i * INTERVAL 90 DAY + INTERVAL 375 DAY <= TIMESTAMP '2000-06-30')"""
+def plan_of(panel: Panel):
+    """Windows over all times of the panel."""
+    low, high = panel.bounds()
+    return make_plan(SegmentConfig(low, high, timedelta(days=365), timedelta(days=120), timedelta(days=90), timedelta(days=10)))
 
 
-@query("wf_plan", f"WITH {_SEG} SELECT segment, CAST(a AS VARCHAR) AS train_start, CAST(b AS VARCHAR) AS train_end, CAST(c AS VARCHAR) AS infer_start, CAST(e AS VARCHAR) AS infer_end FROM sg")
-def wf_plan(spark, d):
-    t = make_plan(CONFIG).table(spark)
+_SEG = """bd AS (SELECT min(time) AS lo, max(time) AS hi FROM pa), sg AS (SELECT CAST(i AS INT) AS segment, lo + i * INTERVAL 90 DAY AS a, lo + i * INTERVAL 90 DAY + INTERVAL 365 DAY AS b,
+  lo + i * INTERVAL 90 DAY + INTERVAL 375 DAY AS c, lo + i * INTERVAL 90 DAY + INTERVAL 495 DAY - INTERVAL 1 MICROSECOND AS e
+  FROM bd, range(1000) r(i) WHERE lo + i * INTERVAL 90 DAY + INTERVAL 375 DAY <= hi)"""
+_SEGMENTS = "SELECT segment, CAST(a AS VARCHAR) AS train_start, CAST(b AS VARCHAR) AS train_end, CAST(c AS VARCHAR) AS infer_start, CAST(e AS VARCHAR) AS infer_end FROM sg"
+
+
+def _shown_plan(plan, spark) -> DataFrame:
+    t = plan.table(spark)
     return t.select("segment", *[F.col(c).cast("string").alias(c) for c in t.columns if c != "segment"])
 
 
+query("wf_plan", f"{_PA}, {_SEG} {_SEGMENTS}")(lambda spark, d: _shown_plan(plan_of(pa(spark, d)), spark))
+
+
+@query("wf_expand", f"{_PA}, {_SEG} {_SEGMENTS}")
+def wf_expand(spark, d):
+    """One segment in the middle, expanded to both ends."""
+    p = pa(spark, d)
+    low, high = p.bounds()
+    config = SegmentConfig(low, high, timedelta(days=365), timedelta(days=120), timedelta(days=90), timedelta(days=10))
+    whole = make_plan(config)
+    return _shown_plan(expand_plan(SegmentPlan([whole[len(whole) // 2]]), config, low, high), spark)
+
+
 @query("wf_counts", f"{_PA}, {_SEG}, t AS (SELECT DISTINCT time FROM pa) SELECT segment, count(CASE WHEN time BETWEEN a AND b THEN 1 END) AS n_train, count(CASE WHEN time BETWEEN c AND e THEN 1 END) AS n_infer FROM sg, t GROUP BY segment")
 def wf_counts(spark, d):
-    return window_counts(pa(spark, d), make_plan(CONFIG))
+    p = pa(spark, d)
+    return window_counts(p, plan_of(p))
 
 
 @query("wf_optimize", f"{_PA}, {_SEG}, t AS (SELECT DISTINCT time FROM pa), n AS (SELECT a, count(CASE WHEN time BETWEEN a AND b THEN 1 END) AS k, count(CASE WHEN time BETWEEN c AND e THEN 1 END) AS m FROM sg, t GROUP BY segment, a) SELECT CAST(a AS VARCHAR) AS train_start FROM n WHERE k >= 12 AND m >= 4")
 def wf_optimize(spark, d):
-    return optimize_plan(make_plan(CONFIG), pa(spark, d), 12, 4).table(spark).select(F.col("train_start").cast("string").alias("train_start"))
+    p = pa(spark, d)
+    return optimize_plan(plan_of(p), p, 12, 4).table(spark).select(F.col("train_start").cast("string").alias("train_start"))
 
 
 @query("wf_zscore", f"""{_PA}, {_SEG}, st AS (SELECT segment, asset, avg(ret) AS mu, coalesce(stddev_pop(ret), 0) AS sd FROM sg JOIN pa ON time BETWEEN a AND b GROUP BY 1, 2), z AS (
@@ -686,25 +708,64 @@ def wf_zscore(spark, d):
     # (training windows with a single month have no spread: the rounding is coarse for them)
     p = pa(spark, d)
     handler = processors.DataHandler(p.on(p.df.select("asset", "time", "ret")), processors.HandlerConfig(learn=[processors.AssetZScore(["ret"])]))
-    return shown(WalkForwardRunner(handler, make_plan(CONFIG)).run().df, "ret_csz", digits=3)
+    return shown(WalkForwardRunner(handler, plan_of(p)).run().df, "ret_csz", digits=3)
+
+
+def _predicted(panel: Panel, runner: ModelRunner) -> DataFrame:
+    return runner.run(panel, plan_of(panel))
+
+
+@query("wf_month", f"""{_PA}, {_SEG}, y AS (SELECT sg.segment, pa.asset, pa.time, month(time) * (ret - avg(ret) OVER (PARTITION BY sg.segment, pa.time)) AS v FROM sg JOIN pa ON time BETWEEN c AND e)
+  SELECT asset, {_T}, {_r('arg_max(v, segment)', 'm', 6)} FROM y GROUP BY asset, time""")
+def wf_month(spark, d):
+    """Calendar and cross-sectional functions within segments."""
+    p = pa(spark, d)
+    step = processors.FormulaEval(expressions={"m": "month_coord($ret) * cs_demean($ret)"}, manager=FormulaManager(builtin=False))
+    handler = processors.DataHandler(p.on(p.df.select("asset", "time", "ret")), processors.HandlerConfig(learn=[step]))
+    return shown(WalkForwardRunner(handler, plan_of(p)).run().df, "m", digits=6)
+
+
+@query("wf_segment", f"""{_PA}, {_SEG}, st AS (SELECT asset, avg(ret) AS mu, coalesce(stddev_pop(ret), 0) AS sd FROM sg JOIN pa ON time BETWEEN a AND b WHERE segment = 3 GROUP BY 1)
+  SELECT pa.asset, {_T.replace('time,', 'pa.time,', 1)}, {_r("(ret - mu) / (sd + 1e-8)", "ret_csz", 3)} FROM sg JOIN pa ON time BETWEEN c AND e LEFT JOIN st ON st.asset = pa.asset WHERE segment = 3""")
+def wf_segment(spark, d):
+    p = pa(spark, d)
+    handler = processors.DataHandler(p.on(p.df.select("asset", "time", "ret")), processors.HandlerConfig(learn=[processors.AssetZScore(["ret"])]))
+    return shown(WalkForwardRunner(handler, plan_of(p)).run_segment(3).df, "ret_csz", digits=3)
 
 
 _FIT = f"{_PA}, {_SEG}, m AS (SELECT segment, regr_slope(ret, bm) AS k, regr_intercept(ret, bm) AS i FROM sg JOIN pa ON time BETWEEN a AND b GROUP BY 1), y AS (SELECT sg.segment, pa.asset, pa.time, i + k * bm AS v FROM sg JOIN pa ON time BETWEEN c AND e JOIN m USING (segment))"
 for _policy, _pick in (("last", "arg_max"), ("first", "arg_min")):
     query(f"wf_ols_{_policy}", f"{_FIT} SELECT asset, {_T}, {_r(f'{_pick}(v, segment)', 'pred', 7)} FROM y GROUP BY asset, time")(
-        lambda spark, d, p=_policy: shown(ModelRunner("LinearRegression", ["bm"], "ret", overlap_policy=p).run(pa(spark, d), make_plan(CONFIG)), "pred", digits=7)
+        lambda spark, d, p=_policy: shown(_predicted(pa(spark, d), ModelRunner("LinearRegression", ["bm"], "ret", overlap_policy=p)), "pred", digits=7)
     )
 
 
 @query("wf_ridge", f"""{_PA}, {_SEG}, m AS (SELECT segment, regr_sxy(ret, bm) / (regr_sxx(ret, bm) + 0.5) AS k, avg(ret) AS y, avg(bm) AS x FROM sg JOIN pa ON time BETWEEN a AND b GROUP BY 1), y AS (
   SELECT sg.segment, pa.asset, pa.time, m.y + k * (bm - m.x) AS v FROM sg JOIN pa ON time BETWEEN c AND e JOIN m USING (segment)) SELECT asset, {_T}, {_r('arg_max(v, segment)', 'pred', 7)} FROM y GROUP BY asset, time""")
 def wf_ridge(spark, d):
-    return shown(ModelRunner("Ridge", ["bm"], "ret", {"alpha": 0.5}).run(pa(spark, d), make_plan(CONFIG)), "pred", digits=7)
-
-
-@query("wf_tree")
+    return shown(_predicted(pa(spark, d), ModelRunner("Ridge", ["bm"], "ret", {"alpha": 0.5})), "pred", digits=7)
+
+
+def _level(n: int, source: str) -> str:
+    """One level of a least-squares tree over bm and vol, with 5 rows a leaf at least: the best cut of
+    each node, and the rows with their new nodes."""
+    rows = f"SELECT segment, node, 0 AS f, bm AS v, y FROM {source} UNION ALL SELECT segment, node, 1 AS f, vol AS v, y FROM {source}"
+    w = "OVER (PARTITION BY segment, node, f ORDER BY v)"
+    side = lambda t: f"CASE WHEN k.f IS NULL THEN {t}.node WHEN CASE WHEN k.f = 0 THEN {t}.bm ELSE {t}.vol END <= k.cut THEN {t}.node || 'l' ELSE {t}.node || 'r' END AS node"
+    at = "segment = k.segment AND {t}.node = k.node"
+    return f"""c{n} AS (SELECT *, row_number() {w} AS rn, count(*) OVER (PARTITION BY segment, node, f) AS m, sum(y) OVER (PARTITION BY segment, node, f ORDER BY v ROWS UNBOUNDED PRECEDING) AS cy,
+    sum(y) OVER (PARTITION BY segment, node, f) AS ty, lead(v) {w} AS nv FROM ({rows})),
+  g{n} AS (SELECT *, cy * cy / rn + (ty - cy) * (ty - cy) / (m - rn) AS gain FROM c{n} WHERE rn >= 5 AND m - rn >= 5 AND v < nv{" AND node <> ''" if n > 1 else ""}),
+  k{n} AS (SELECT segment, node, f, cut FROM (SELECT *, (v + nv) / 2 AS cut, row_number() OVER (PARTITION BY segment, node ORDER BY gain DESC, f, rn) AS best FROM g{n}) WHERE best = 1 AND gain > ty * ty / m + 1e-12),
+  tr{n} AS (SELECT r.* EXCLUDE (node), {side("r")} FROM {source} r LEFT JOIN k{n} k ON r.{at.format(t="r")}),
+  yi{n} AS (SELECT i.* EXCLUDE (node), {side("i")} FROM {source.replace("tr", "yi")} i LEFT JOIN k{n} k ON i.{at.format(t="i")})"""
+
+
+@query("wf_tree", f"""{_PA}, {_SEG}, tr0 AS (SELECT segment, asset, time, bm, vol, ret AS y, '' AS node FROM sg JOIN pa ON time BETWEEN a AND b), yi0 AS (SELECT segment, asset, time, bm, vol, '' AS node FROM sg JOIN pa ON time BETWEEN c AND e),
+  {_level(1, "tr0")}, {_level(2, "tr1")}, lf AS (SELECT segment, node, avg(y) AS v FROM tr2 GROUP BY 1, 2), y AS (SELECT i.asset, i.time, i.segment, lf.v FROM yi2 i LEFT JOIN lf ON i.segment = lf.segment AND i.node = lf.node)
+  SELECT asset, {_T}, {_r("arg_max(v, segment) FILTER (WHERE v IS NOT NULL)", "pred", 7)} FROM y GROUP BY asset, time""")
 def wf_tree(spark, d):
-    return shown(ModelRunner("DecisionTreeRegressor", ["bm", "vol"], "ret", {"max_depth": 2}).run(pa(spark, d), make_plan(CONFIG)), "pred", digits=7)
+    return shown(_predicted(pa(spark, d), ModelRunner("DecisionTreeRegressor", ["bm", "vol"], "ret", {"max_depth": 2})), "pred", digits=7)
 
 
 @query("ic_by_time", f"{_PA} SELECT {_T}, {_r('corr(bm, ret)', 'ic')}, count(*) AS n FROM pa GROUP BY time HAVING count(*) > 2")
@@ -713,6 +774,87 @@ def ic_by_time(spark, d):
     return out.select(F.date_format("time", "yyyy-MM-dd HH:mm:ss").alias("time"), F.round("ic", 6).alias("ic"), "n")
 
 
+# ---- sources, projections, chains ---------------------------------------------------------------
+
+
+@query("src_manager", "SELECT user_id AS asset, strftime(date_trunc('day', ts), '%Y-%m-%d %H:%M:%S') AS time, round(arg_max(value, (ts, value)) + 1.7e-09::DOUBLE, 6) + 0.0::DOUBLE AS value FROM events WHERE ts BETWEEN TIMESTAMP '2024-01-03' AND TIMESTAMP '2024-01-20' AND event_type = 'click' AND value >= 10 GROUP BY 1, 2")
+def src_manager(spark, d):
+    """A configured source: projection, dates, filters, panel."""
+    raw = {"provider": "files", "dataset": "events", "path": f"{d}/events.parquet", "frequency": "daily", "columns_to_read": ["ts", "user_id", "event_type", "value"], "schema": {"time_var": "ts", "identifier_var": "user_id"}}
+    config = SourceConfig.of({**raw, "start_date": "2024-01-03", "end_date": "2024-01-20", "filters": {"event_type": "click", "value__gte": 10}})
+    table = DataManager(spark).table(config)
+    return shown(from_table(table, "ts", "user_id", ["value"], config.frequency, order=["ts", "value"]).df, "value")
+
+
+@query("src_columns", "SELECT s_suppkey AS k, round(s_acctbal + 1.7e-09::DOUBLE, 6) + 0.0::DOUBLE AS s_acctbal FROM supplier")
+def src_columns(spark, d):
+    config = SourceConfig("files", "supplier", f"{d}/supplier.parquet", columns=["S_SUPPKEY", "S_ACCTBAL"])
+    df = readers.get_provider("files").loader("supplier")(spark, config)
+    return shown(df.withColumnRenamed("s_suppkey", "k"), "s_acctbal", keys=("k",))
+
+
+@query("src_simulated", "SELECT a.range AS asset, CAST(DATE '2020-01-01' + CAST(t.range AS INTEGER) AS VARCHAR) AS day, true AS drawn FROM range(4) a, range(30) t")
+def src_simulated(spark, d):
+    number = F.regexp_extract("asset", r"(\d+)$", 1).cast("bigint")
+    return simulated(spark, 4, 30, 2, start="2020-01-01").df.select((number - 1).alias("asset"), F.to_date("time").cast("string").alias("day"), (F.col("var_1").isNotNull() & F.col("var_2").isNotNull()).alias("drawn"))
+
+
+@query("join_chain", f"""{_PA}, x AS (SELECT pa.*, s_name AS name FROM pa LEFT JOIN supplier ON s_suppkey = asset AND s_suppkey % 9 <> 0)
+  SELECT asset, {_T}, name, {_r('CASE WHEN asset % 3 = 0 AND month(time) = 6 THEN -ret * 2 ELSE ret END', 'ret')}, {_r('CASE WHEN month(time) % 2 = 0 THEN vol END', 'extra')} FROM x""")
+def join_chain(spark, d):
+    """Lookup, replacement and time series, one after the other."""
+    p = pa(spark, d).df
+    tables = {
+        "names": table(spark, d, "supplier").where("s_suppkey % 9 <> 0").select(F.col("s_suppkey").alias("asset"), F.col("s_name").alias("name")),
+        "exits": p.where("asset % 3 = 0 and month(time) = 6").select("asset", F.col("time").alias("dlstdt"), (-F.col("ret") * 2).alias("dlret")),
+        "more": p.where("month(time) % 2 = 0").select("asset", F.col("time").alias("at"), F.col("vol").alias("extra")),
+    }
+    chain = [
+        {"path": "names", "type": "lookup", "columns": ["name"]}, {"path": "exits", "type": "replace", "time_column": "dlstdt", "from_column": "dlret", "to_column": "ret"},
+        {"path": "more", "type": "timeseries", "time_column": "at", "columns": ["extra"]},
+    ]
+    return shown(joins.external_tables(p, chain, tables.__getitem__, "asset", "time"), "name", "ret", "extra")
+
+
+@query("merge_all", f"{_Q}, {_PD}, m AS (SELECT p.asset, p.time, p.me, q.q FROM pa p ASOF LEFT JOIN q ON p.asset = q.asset AND p.time >= q.time) SELECT m.asset, strftime(m.time, '%Y-%m-%d %H:%M:%S') AS time, round(m.me + 1.7e-09::DOUBLE, 6) + 0.0::DOUBLE AS me, round(m.q + 1.7e-09::DOUBLE, 6) + 0.0::DOUBLE AS q, round(y.seq + 1.7e-09::DOUBLE, 6) + 0.0::DOUBLE AS a_seq FROM m LEFT JOIN pd y ON m.asset = y.asset AND year(y.time) = year(m.time) - CAST(month(m.time) <= 6 AS INT)")
+def merge_all(spark, d):
+    left = pa(spark, d)
+    rules = [{"source": "quarters", "alignment": "as_of"}, {"source": "annual", "alignment": "exact", "offset": {"months": 6}, "variables": ["seq"], "grain": "year", "prefix": "a_"}]
+    return shown(joins.merge_all(left.on(left.df.select("asset", "time", "me")), {"quarters": _quarters(spark, d), "annual": pd_(spark, d)}, rules).df, "me", "q", "a_seq")
+
+
+@query("merge_mixed_keys", f"{_PA} SELECT asset, {_T}, round(me + 1.7e-09::DOUBLE, 6) + 0.0::DOUBLE AS me, CASE WHEN asset % 3 <> 2 THEN round(vol + 1.7e-09::DOUBLE, 6) + 0.0::DOUBLE END AS q FROM pa")
+def merge_mixed_keys(spark, d):
+    """Numbers on the left, text on the right: 7 and 7.0 are one key, 7.5 is another."""
+    left = pa(spark, d)
+    text = F.when(F.col("asset") % 3 == 0, F.col("asset").cast("string")).when(F.col("asset") % 3 == 1, F.concat(F.col("asset").cast("string"), F.lit(".0"))).otherwise(F.concat(F.col("asset").cast("string"), F.lit(".5")))
+    right = left.on(left.df.select(text.alias("asset"), "time", F.col("vol").alias("q")))
+    return shown(joins.merge(left.on(left.df.select("asset", "time", "me")), right, joins.MergeSpec("exact")).df, "me", "q")
+
+
+for _name, _args in {"exponential": (5, 0.3), "triangular": (5,), "custom": (5, [1, 0, 2, 0, 4])}.items():
+
+    def _weights_query(spark, d, n=_name, args=_args):
+        p = pa(spark, d)
+        return shown(with_formula(p.df, "wma($vol, 5, $w)", "value", p.axis, {"w": _weights_of(n, *args)}), "value", digits=5)
+
+    query(f"weights_{_name}", f"{_PA}, v AS (SELECT asset, time, rn, {_weighted('vol', _weights_of(_name, *_args), 5)} AS v FROM pa) SELECT asset, {_T}, {_r(_filled('v', 5), digits=5)} FROM v")(_weights_query)
+
+
+@query("view_fetch", f"{_PA} SELECT asset, {_T}, {_r('(ret - avg(ret) OVER (PARTITION BY asset)) / (coalesce(stddev_pop(ret) OVER (PARTITION BY asset), 0) + 1e-8)', 'ret_csz', 5)}, {_r('last_value(x IGNORE NULLS) OVER (PARTITION BY asset ORDER BY time ROWS UNBOUNDED PRECEDING)', 'x', 5)} FROM pa")
+def view_fetch(spark, d):
+    """Processors made by name, shared before learned ones, one column group of the view."""
+    steps = [processors.create_processor(raw, i) for i, raw in enumerate([{"type": "per_asset_ffill", "vars": ["x"]}, {"type": "cs_zscore", "vars": ["ret"]}])]
+    handler = processors.DataHandler(pa(spark, d), processors.HandlerConfig(shared=steps[:1], learn=steps[1:], feature_cols=["ret_csz", "x"]))
+    return shown(handler.fetch("learn", "features"), "ret_csz", "x", digits=5)
+
+
+@query("mask", f"{_PA} SELECT asset, {_T}, x IS NOT NULL AS known FROM pa")
+def mask(spark, d):
+    p = pa(spark, d)
+    return p.df.select("asset", F.date_format("time", "yyyy-MM-dd HH:mm:ss").alias("time"), p.mask("x").alias("known"))
+
+
 # ---- backtests ---------------------------------------------------------------------------------
 
 
@@ -725,19 +867,54 @@ _NO = f"{_BARS} SELECT {_T}, 100000.0::DOUBLE AS value FROM t"
 query("bt_no_trades", _NO)(lambda spark, d: shown(_run(spark, d, backtest.NoTrades()), "value", keys=("time",)))
 
 
-@query("bt_buy_hold")
+def _simulated(commissions: list[float], orders: str) -> str:
+    """The event loop as a recursion over bars: cash, positions and waiting orders (asset, quantity,
+    sign) as lists.  ``orders``: a list of new ones, from the row s (state) and the bars g (this one,
+    with closes of ``w`` bars before) and h (the next)."""
+    fill = """list_reduce(list_concat([{'cash': s.cash, 'pos': s.pos, 'rest': []::STRUCT(i BIGINT, n DOUBLE, sgn INTEGER)[], 'i': 0::BIGINT, 'n': 0::DOUBLE, 'sgn': 0, 'p': 0::DOUBLE}],
+      list_transform(list_concat(s.queue, s.fresh), lambda q: {'cash': 0::DOUBLE, 'pos': []::DOUBLE[], 'rest': []::STRUCT(i BIGINT, n DOUBLE, sgn INTEGER)[], 'i': q.i, 'n': q.n, 'sgn': q.sgn, 'p': s.opens[q.i]})),
+      lambda a, x: {'cash': CASE WHEN x.p > 0 AND (x.sgn < 0 OR least(x.n, a.cash / (x.p * (1 + s.rate))) >= 1e-6) THEN a.cash - (x.sgn + s.rate) * x.p * CASE WHEN x.sgn > 0 THEN least(x.n, a.cash / (x.p * (1 + s.rate))) ELSE x.n END ELSE a.cash END,
+        'pos': CASE WHEN x.p > 0 AND (x.sgn < 0 OR least(x.n, a.cash / (x.p * (1 + s.rate))) >= 1e-6) THEN list_transform(a.pos, lambda v, j: CASE WHEN j = x.i THEN coalesce(v, 0) + x.sgn * CASE WHEN x.sgn > 0 THEN least(x.n, a.cash / (x.p * (1 + s.rate))) ELSE x.n END ELSE v END) ELSE a.pos END,
+        'rest': CASE WHEN coalesce(x.p, 0) > 0 THEN a.rest ELSE list_append(a.rest, {'i': x.i, 'n': x.n, 'sgn': x.sgn}) END, 'i': 0::BIGINT, 'n': 0::DOUBLE, 'sgn': 0, 'p': 0::DOUBLE})"""
+    rates = ", ".join(f"{c!r}::DOUBLE" for c in commissions)
+    return f"""WITH RECURSIVE b AS (SELECT event_type AS asset, date_trunc('hour', ts) AS time, arg_min(value, (ts, event_id)) AS open, arg_max(value, (ts, event_id)) AS close FROM events GROUP BY 1, 2),
+  t AS (SELECT time, row_number() OVER (ORDER BY time) AS k, count(*) OVER () AS last FROM (SELECT DISTINCT time FROM b)), n AS (SELECT asset, row_number() OVER (ORDER BY asset) AS i FROM (SELECT DISTINCT asset FROM b)),
+  c AS (SELECT t.k, t.time, t.last, n.i, b.open, coalesce(last_value(b.close IGNORE NULLS) OVER (PARTITION BY n.i ORDER BY t.k ROWS UNBOUNDED PRECEDING), 0) AS close FROM t CROSS JOIN n LEFT JOIN b ON b.time = t.time AND b.asset = n.asset),
+  g AS (SELECT k, time, last, list(open ORDER BY i) AS opens, list(close ORDER BY i) AS closes FROM c GROUP BY 1, 2, 3),
+  bars AS (SELECT g.*, lead(opens) OVER (ORDER BY k) AS next_opens, lead(closes) OVER (ORDER BY k) AS next_closes, lag(closes, 5) OVER (ORDER BY k) AS old FROM g),
+  r AS (SELECT unnest([{rates}]) AS rate),
+  z AS (SELECT 0::BIGINT AS k, rate, 100000.0::DOUBLE AS cash, list_transform(closes, lambda v: NULL::DOUBLE) AS pos, []::STRUCT(i BIGINT, n DOUBLE, sgn INTEGER)[] AS queue, 100000.0::DOUBLE AS value FROM r, bars WHERE k = 1
+    UNION ALL SELECT k, rate, f.cash, f.pos, f.rest, f.cash + list_sum(list_transform(f.pos, lambda v, j: coalesce(v, 0) * closes[j])) FROM (
+      SELECT s.k, s.rate, s.closes, {fill} AS f FROM (
+        SELECT s.*, g.k AS at, g.next_opens AS opens, g.next_closes AS closes, {orders} AS fresh FROM (SELECT * EXCLUDE (k), k + 1 AS k FROM z) s JOIN bars g ON g.k = s.k WHERE g.k < g.last) s)),
+  path AS (SELECT g.time, z.rate, z.cash, z.value FROM z JOIN bars g ON z.k = g.k UNION ALL SELECT g.time, z.rate, z.cash, z.value FROM z JOIN bars g ON g.k = g.last AND z.k = g.last - 1)"""
+
+
+_NONE = "[]::STRUCT(i BIGINT, n DOUBLE, sgn INTEGER)[]"
+#: All cash, split evenly, while nothing is held.
+_HOLD = f"CASE WHEN len(list_filter(s.pos, lambda v: v IS NOT NULL)) > 0 THEN {_NONE} ELSE list_filter(list_transform(g.closes, lambda v, j: {{'i': j, 'n': CASE WHEN v > 0 THEN s.cash / len(g.closes) / v END, 'sgn': 1}}), lambda q: q.n IS NOT NULL) END"
+#: Sell all but the best of the last six bars, buy that for the whole value.
+_CHANGE = "list_transform(g.closes, lambda v, j: CASE WHEN g.old[j] > 0 THEN v / g.old[j] - 1 ELSE '-infinity'::DOUBLE END)"
+_TOP = f"list_position({_CHANGE}, list_max({_CHANGE}))"
+_HELD = "list_filter(list_transform(s.pos, lambda v, j: {'i': j, 'n': v, 'sgn': -1}), lambda q: q.n > 1e-9)"
+_BEST = f"""CASE WHEN g.old IS NULL OR (len({_HELD}) = 1 AND {_HELD}[1].i = {_TOP}) THEN {_NONE} ELSE list_concat(list_filter({_HELD}, lambda q: q.i <> {_TOP}),
+  CASE WHEN g.closes[{_TOP}] > 0 AND s.value > 0 THEN [{{'i': {_TOP}::BIGINT, 'n': s.value / g.closes[{_TOP}], 'sgn': 1}}] ELSE {_NONE} END) END"""
+
+
+@query("bt_buy_hold", f"""{_simulated([0.001], _HOLD)}, l AS (SELECT *, coalesce(ln(value / lag(value) OVER (ORDER BY time)), 0) AS g FROM path)
+  SELECT 's' AS run, {_T}, {_r('cash', 'cash', 4)}, {_r('value', 'value', 4)}, {_r('sum(g) OVER (ORDER BY time ROWS UNBOUNDED PRECEDING)', 'cumulative_log_return', 4)} FROM l""")
 def bt_buy_hold(spark, d):
-    return shown(backtest.log_returns(_run(spark, d, backtest.BuyAndHold(), commissions=0.001), ["run", "commission"]), "cash", "value", "cumulative_log_return", keys=("run", "time"))
+    return shown(backtest.log_returns(_run(spark, d, backtest.BuyAndHold(), commissions=0.001), ["run", "commission"]), "cash", "value", "cumulative_log_return", keys=("run", "time"), digits=4)
 
 
-@query("bt_momentum")
+@query("bt_momentum", f"{_simulated([0.001], _BEST)} SELECT 's' AS run, {_T}, {_r('cash', 'cash', 4)}, {_r('value', 'value', 4)} FROM path")
 def bt_momentum(spark, d):
-    return shown(_run(spark, d, backtest.Momentum(6), commissions=0.001), "cash", "value", keys=("run", "time"))
+    return shown(_run(spark, d, backtest.Momentum(6), commissions=0.001), "cash", "value", keys=("run", "time"), digits=4)
 
 
-@query("bt_commission_grid")
+@query("bt_commission_grid", f"{_simulated([0.0, 0.001, 0.01], _BEST)} SELECT 's' AS run, {_T}, {_r('rate', 'commission', 4)}, {_r('value', 'value', 4)} FROM path")
 def bt_commission_grid(spark, d):
-    return shown(_run(spark, d, backtest.Momentum(6), commissions=[0.0, 0.001, 0.01]), "commission", "value", keys=("run", "time"))
+    return shown(_run(spark, d, backtest.Momentum(6), commissions=[0.0, 0.001, 0.01]), "commission", "value", keys=("run", "time"), digits=4)
 
 
 def _path(spark, d) -> DataFrame:

@@ -143,7 +143,8 @@ def spans(walk: dict, low: datetime, high: datetime) -> SegmentConfig:
 
 
 class PipelineExecutor:
-    """Runs a specification stage by stage; with a cache, each stage's result is stored by content."""
+    """Runs a specification stage by stage; with a cache, each stage's result is stored by content:
+    its settings, the files read (names, sizes, times), the formulas' definitions, its parents."""
 
     def __init__(self, spark: SparkSession, manager: DataManager | None = None, cache: Cache | None = None, formulas: FormulaManager | None = None):
         self.spark, self.manager, self.cache = spark, manager or DataManager(spark), cache
@@ -163,13 +164,13 @@ class PipelineExecutor:
         result = ExecutionResult({}, None)
         for name, raw in spec.data.items():
             config = SourceConfig.of({"start_date": spec.start, "end_date": spec.end, **raw})
-            df = self._stage(result, f"data:{name}", Stage.L2_POSTPROCESSED, asdict(config), lambda c=config: self.manager.load(c).df, [])
+            df = self._stage(result, f"data:{name}", Stage.L2_POSTPROCESSED, [asdict(config), self.manager.inputs(config)], lambda c=config: self.manager.load(c).df, [])
             result.sources[name] = Panel(df)
         panel = self._merged(spec, result.sources)
         parents = [k for n, k in result.keys.items() if n.startswith("data:")]
         for op in spec.order():
             step = FormulaEval(op.formulas, expressions=op.expressions, manager=self.formulas)
-            df = self._stage(result, f"features:{op.name}", Stage.L3_FEATURES, [asdict(op), spec.merges], lambda p=panel, s=step: s.transform(View(p)).panel.df, parents + [result.keys[f"features:{d}"] for d in op.depends_on if f"features:{d}" in result.keys] + [k for n, k in list(result.keys.items())[-1:] if n.startswith("features:")])
+            df = self._stage(result, f"features:{op.name}", Stage.L3_FEATURES, [asdict(op), spec.merges, self.formulas.formulas], lambda p=panel, s=step: s.transform(View(p)).panel.df, parents + [result.keys[f"features:{d}"] for d in op.depends_on if f"features:{d}" in result.keys] + [k for n, k in list(result.keys.items())[-1:] if n.startswith("features:")])
             panel = panel.on(df)
         result.features = panel
         handler = DataHandler(panel, self._handler(spec.preprocessing))

@@ -16,6 +16,7 @@ from ..operators import filters
 from ..operators.joins import external_tables, link_range, publication_date
 from ..operators.panel import Panel, from_table, sas_date, simulated
 from ..operators.processors import apply_transforms
+from ..plans.cache import Cache, Stage, input_files
 
 Loader = Callable[[SparkSession, "SourceConfig"], DataFrame]
 
@@ -202,29 +203,49 @@ class DataManager:
     """Loads configured sources as panels.
 
     Order: read, times, date range, external tables, filters (which may use looked-up columns),
-    panel, transforms.  Loads are kept by configuration for the life of the manager.
+    panel, transforms.  Loads are kept by configuration and input files for the life of the manager.
+
+    With a cache, two levels are stored by content: the table as read within its dates (L1), and the
+    panel after everything else (L2).  Their keys hold the settings, dates included, and names,
+    sizes and times of the files read.
     """
 
-    def __init__(self, spark: SparkSession, cache=None):
+    def __init__(self, spark: SparkSession, cache: Cache | None = None):
         self.spark, self.cache, self._kept = spark, cache, {}
 
-    def table(self, config: SourceConfig) -> DataFrame:
+    def inputs(self, config: SourceConfig) -> list[list]:
+        return input_files(self.spark, [config.path, config.options.get("link"), *(t.get("path") for t in config.external_tables)])
+
+    def raw(self, config: SourceConfig) -> DataFrame:
+        """The table as its loader gives it, with times, within the dates."""
         df = get_provider(config.provider).loader(config.dataset)(self.spark, config)
         kind = dict(df.dtypes)[config.time]
         stamp = days_to_time(F.col(config.time)) if kind in ("double", "float", "int", "bigint") else F.col(config.time).cast("timestamp_ntz")
         df = df.withColumn(config.time, stamp)
-        df = filters.apply(df, [{"type": "date_range_filter", "date_column": config.time, "start_date": config.start, "end_date": config.end}])
+        return filters.apply(df, [{"type": "date_range_filter", "date_column": config.time, "start_date": config.start, "end_date": config.end}])
+
+    def table(self, config: SourceConfig, raw: DataFrame | None = None) -> DataFrame:
+        df = self.raw(config) if raw is None else raw
         df = external_tables(df, config.external_tables, lambda p: lowered(self.spark.read.parquet(p)), config.identifier, config.time)
         return filters.apply(df, config.filters)
 
     def load(self, config: SourceConfig | dict) -> Panel:
         config = config if isinstance(config, SourceConfig) else SourceConfig.of(config)
-        key = yaml.safe_dump(config.__dict__, sort_keys=True)
+        state = [config.__dict__, self.inputs(config)]
+        key = yaml.safe_dump(state, sort_keys=True)
         if key not in self._kept:
-            panel = from_table(self.table(config), config.time, config.identifier, frequency=config.frequency)
-            self._kept[key] = apply_transforms(panel, config.processors)
+            self._kept[key] = self._stored(config, state) if self.cache else self._made(config)
         return self._kept[key]
 
+    def _made(self, config: SourceConfig, raw: DataFrame | None = None) -> Panel:
+        return apply_transforms(from_table(self.table(config, raw), config.time, config.identifier, frequency=config.frequency), config.processors)
+
+    def _stored(self, config: SourceConfig, state: list) -> Panel:
+        early = {k: v for k, v in config.__dict__.items() if k not in ("filters", "external_tables", "processors")}
+        raw, first = self.cache.get_or_compute(Stage.L1_RAW, [early, input_files(self.spark, [config.path, config.options.get("link")])], lambda: self.raw(config))
+        df, _ = self.cache.get_or_compute(Stage.L2_POSTPROCESSED, state, lambda: self._made(config, raw).df, [first])
+        return Panel(df)
+
     def load_all(self, sources: dict[str, SourceConfig | dict]) -> dict[str, Panel]:
         return {k: self.load(v) for k, v in sources.items()}
 

@@ -182,10 +182,59 @@ def test_weights():
         weights.generator("os.system")
 
 
-def test_long_windows_use_running_totals(spark, monkeypatch):
+def test_long_windows_use_block_sums(spark, monkeypatch):
     from panelith.functions import compiler
 
-    df = series(spark, [i * 7 % 5 for i in range(30)])
+    df = series(spark, [i * 7 % 5 + 1e15 * (i == 3) for i in range(30)])
     want = out(with_formula(df, "sma($x, 8) + rolling_sum($x, 9)", "value"))
     monkeypatch.setattr(compiler, "LONG_WINDOW", 8)
-    assert out(with_formula(df, "sma($x, 8) + rolling_sum($x, 9)", "value")) == pytest.approx(want)
+    got = out(with_formula(df, "sma($x, 8) + rolling_sum($x, 9)", "value"))
+    assert got == pytest.approx(want)
+    # nothing is left of a large value once it is out of the window
+    assert got[15:] == want[15:]
+
+
+def test_recurrences_over_batches():
+    """Whole columns, cut into batches anywhere, against one step after the other."""
+    import numpy as np
+
+    from panelith.functions.kernels import Adaptive, HoltWinters, Smoothed
+
+    r = np.random.default_rng(4)
+    assets = np.repeat(np.arange(40), r.integers(1, 30, 40))
+    x, s = (np.where(r.uniform(size=len(assets)) < 0.2, np.nan, r.normal(size=len(assets)) * 100) for _ in range(2))
+    s = s / 300
+
+    def plain(kind):
+        out = []
+        for k in range(40):
+            mine, sk = x[assets == k], s[assets == k]
+            if kind == "smoothed":
+                y = 0.0
+                for n, v in enumerate(np.nan_to_num(mine), 1):
+                    y = y + v if n < 4 else 0.25 * (y + v) if n == 4 else 0.4 * v + 0.6 * y
+                    out.append(y if n >= 4 else None)
+            elif kind == "adaptive":
+                y = None
+                for v, w in zip(mine, sk):
+                    if not (np.isnan(v) or np.isnan(w)):
+                        y = 0.0 if y is None else w * v + (1 - w) * y
+                    out.append(y)
+            else:
+                state = None
+                for v in np.nan_to_num(mine):
+                    f, t, a = state or (v, 0.0, 0.0)
+                    f2 = 0.8 * (f + t + a / 2) + 0.2 * v
+                    t2 = 0.9 * (t + a) + 0.1 * (f2 - f)
+                    a2 = 0.7 * a + 0.3 * (t2 - t)
+                    state = (f2, t2, a2)
+                    out.append(f2 + t2 + a2 / 2)
+        return out
+
+    for kind, make, columns in (("smoothed", lambda: Smoothed(4, 0.4, 0.25), (x,)), ("adaptive", Adaptive, (x, s)), ("holt", lambda: HoltWinters(0.2, 0.1, 0.3), (x,))):
+        for cut in (1, 7, 100, len(x)):
+            kernel, got = make(), []
+            fresh = np.concatenate([[True], assets[1:] != assets[:-1]])
+            for a in range(0, len(x), cut):
+                got += kernel.run(fresh[a : a + cut], *(c[a : a + cut] for c in columns)).tolist()
+            assert [None if v != v else v for v in got] == pytest.approx(plain(kind)), (kind, cut)

@@ -152,7 +152,7 @@ def test_clip_and_optimize(spark):
 def test_models_learn(name):
     r = np.random.default_rng(0)
     x = r.normal(size=(400, 2))
-    y = (x[:, 0] > 0).astype(float) if name == "LogisticRegression" else 2 * x[:, 0] - x[:, 1] + 3
+    y = (x[:, 0] > 0).astype(float) if name == "LogisticRegression" or name.endswith(("Classifier", "SVC")) else 2 * x[:, 0] - x[:, 1] + 3
     model = create_model(name, {"alpha": 0.01} if name in ("Lasso", "ElasticNet", "Ridge") else None)
     model.fit(x, y)
     assert np.corrcoef(model.predict(x), y)[0, 1] > 0.75
@@ -337,3 +337,134 @@ def test_windows_do_not_depend_on_the_time_zone(spark):
     finally:
         spark.conf.set("spark.sql.session.timeZone", "UTC")
     assert windows(p, plan, "train", "left").where("segment = 0").count() == 480 and windows(p, plan, "train").where("segment = 0").count() == 481
+
+
+def test_slots_follow_short_windows(spark, monkeypatch):
+    """A segment meets a handful of slots however short its windows are."""
+    from panelith.plans import walkforward
+
+    p = simulated(spark, 1, 48, 1, "hour", start="2020-01-01")
+    plan = make_plan(SegmentConfig(datetime(2020, 1, 1), datetime(2020, 1, 2), timedelta(minutes=1), timedelta(minutes=1), timedelta(minutes=60)))
+    rows = []
+    monkeypatch.setattr(type(spark), "createDataFrame", lambda self, data, schema, f=type(spark).createDataFrame: rows.append(len(data)) or f(self, data, schema))
+    got = walkforward.windows(p, plan, "train")
+    assert rows[0] <= 6 * len(plan) and got.count() == len(plan)
+
+
+def test_calendar_functions_in_segments(spark):
+    p = simulated(spark, 2, 200, 1)
+    handler = processors.DataHandler(p, processors.HandlerConfig(learn=[processors.FormulaEval(expressions={"m": "month_coord($var_1)", "r": "cs_rank($var_1)", "e": "ema($var_1, 3)"})]))
+    plan = make_plan(SegmentConfig(datetime(2020, 1, 1), datetime(2020, 6, 1), timedelta(days=60), timedelta(days=20), timedelta(days=20)))
+    from panelith.plans.walkforward import WalkForwardRunner
+
+    out = WalkForwardRunner(handler, plan).run()
+    rows = out.df.collect()
+    assert rows and out.df.columns[:2] == ["asset", "time"] and all(r.m == r.time.month and r.r in (0.0, 1.0) and r.e is not None for r in rows)
+
+
+def test_csv_files_are_read_by_their_own_headers(spark, tmp_path):
+    (tmp_path / "A.csv").write_text("date,open,close\n2020-01-01,1,2\n")
+    (tmp_path / "B.csv").write_text("date,Close,Open,volume\n2020-01-01,20,10,5\n")
+    (tmp_path / "C 1.csv").write_text("datetime,open\n2020-01-01,100\n2020-01-02,no number\n")
+    (tmp_path / "D.csv").write_text("")
+    from panelith.sources.readers import SourceConfig, market_csv
+
+    config = SourceConfig("crypto", "x", str(tmp_path))
+    got = sorted((r.identifier, str(r.date)[:10], r.open, r.close, r.volume) for r in market_csv(spark, config).collect())
+    assert got == [("A", "2020-01-01", 1.0, 2.0, None), ("B", "2020-01-01", 10.0, 20.0, 5.0), ("C 1", "2020-01-01", 100.0, None, None), ("C 1", "2020-01-02", None, None, None)]
+    few = market_csv(spark, SourceConfig("crypto", "x", str(tmp_path), symbols=["B"], columns=["close"]))
+    assert few.columns == ["date", "identifier", "close"] and [r.close for r in few.collect()] == [20.0]
+
+
+def test_mixed_keys_keep_fractions_apart(spark):
+    left = spark.createDataFrame([(1,), (2,), (None,)], "k long")
+    right = spark.createDataFrame([("1",), ("1.0",), ("1.5",), ("x",), (None,)], "k string")
+    a, b = joins.same_key(left, right, "k")
+    keys = [r.k for r in b.collect()]
+    assert sorted(r.k for r in a.collect() if r.k is not None) == [1, 2]
+    assert keys[0] == keys[1] == 1 and len(set(keys)) == 4 and keys[4] is None
+
+
+def test_arrays_have_a_bound(spark):
+    handler = processors.DataHandler(simulated(spark, 2, 20, 1))
+    assert len(handler.to_arrays(handler.base, ["var_1"])[1]) == 40
+    with pytest.raises(ValueError, match="more than 30"):
+        handler.to_arrays(handler.base, ["var_1"], max_rows=30)
+
+
+def test_changed_inputs_and_formulas_are_no_hits(spark, spec, tmp_path):
+    from panelith.functions.manager import FormulaManager
+
+    cache = Cache(spark, str(tmp_path / "cache"))
+    first = PipelineExecutor(spark, cache=cache).execute(spec)
+    changed = FormulaManager()
+    changed.formulas["rsi"] = {**changed.formulas["rsi"], "formula": "rsi_of_another_kind($price)"[:0] + "gain($price, 1)"}
+    other = PipelineExecutor(spark, cache=cache, formulas=changed).execute(spec)
+    assert other.keys["data:prices"] == first.keys["data:prices"] and other.keys["features:first"] != first.keys["features:first"]
+    spark.createDataFrame([("AAA", datetime(2020, 5, 1).date(), 1.0, 1.0)], "sym string, date date, close double, volume double").write.mode("append").parquet(str(tmp_path / "bars.parquet"))
+    third = PipelineExecutor(spark, cache=cache).execute(spec)
+    assert third.keys["data:prices"] != first.keys["data:prices"] and third.sources["prices"].df.count() == first.sources["prices"].df.count() + 1
+
+
+def test_sources_are_stored_in_two_levels(spark, spec, tmp_path):
+    cache = Cache(spark, str(tmp_path / "levels"))
+    raw = {"provider": "files", "dataset": "bars", "frequency": "daily", "path": str(tmp_path / "bars.parquet"), "start_date": "2020-01-01", "end_date": "2020-02-01", "schema": {"time_var": "date", "identifier_var": "sym"}}
+    one = DataManager(spark, cache).load(raw).df
+    assert cache.stats() == {"hits": 0, "misses": 2, "entries": {"l1_raw": 1, "l2_postprocessed": 1}}
+    assert DataManager(spark, cache).load(raw).df.exceptAll(one).count() == 0 and cache.hits == 2
+    DataManager(spark, cache).load({**raw, "filters": {"sym__ne": "ZZZ"}})
+    assert cache.stats()["entries"] == {"l1_raw": 1, "l2_postprocessed": 2}
+    DataManager(spark, cache).load({**raw, "end_date": "2020-01-15"})
+    assert cache.stats()["entries"] == {"l1_raw": 2, "l2_postprocessed": 3}
+
+
+def test_classes_neighbours_and_margins():
+    r = np.random.default_rng(2)
+    x = r.normal(size=(400, 2))
+    y = (x[:, 0] + 0.5 * x[:, 1] > 0.2).astype(float)
+    for name in ("DecisionTreeClassifier", "RandomForestClassifier", "GradientBoostingClassifier", "KNeighborsClassifier", "LinearSVC", "LogisticRegression"):
+        model = create_model(name)
+        model.fit(x[:300], y[:300])
+        p = model.predict(x[300:])
+        assert p.min() >= -1e-9 and p.max() <= 1 + 1e-9 and ((p > 0.5) == y[300:]).mean() > 0.85, name
+    line = create_model("LinearSVR")
+    line.fit(x, 3 * x[:, 0] - x[:, 1] + 2)
+    assert line.predict(x) == pytest.approx(3 * x[:, 0] - x[:, 1] + 2, abs=0.1)
+    near = create_model("KNeighborsRegressor", {"n_neighbors": 2})
+    near.fit(np.array([[0.0], [1.0], [2.0], [10.0]]), np.array([0.0, 10.0, 20.0, 30.0]))
+    assert near.predict(np.array([[0.4], [1.5], [9.0]])).tolist() == [5.0, 15.0, 25.0]
+
+
+def test_foreign_estimators(spark):
+    from panelith.plans.models import Foreign
+
+    class Mean:
+        def fit(self, x, y, sample_weight=None):
+            self.m = np.average(y, weights=sample_weight)
+
+        def predict(self, x):
+            return np.full(len(x), self.m)
+
+        def predict_proba(self, x):
+            return np.column_stack([np.full(len(x), 1 - self.m), np.full(len(x), self.m)])
+
+    x, y = np.zeros((4, 1)), np.array([0.0, 0, 0, 1])
+    for probability, want in ((None, 0.25), (True, 0.25), (0, 0.75), (1, 0.25)):
+        model = Foreign(Mean, probability)
+        model.fit(x, y)
+        assert model.predict(x).tolist() == [want] * 4
+    model = Foreign(Mean, 2)
+    model.fit(x, y, np.array([0, 0, 1.0, 1]))
+    with pytest.raises(ValueError, match="no column 2"):
+        model.predict(x)
+    p = simulated(spark, 2, 60, 1)
+    plan = make_plan(SegmentConfig(datetime(2020, 1, 1), datetime(2020, 2, 20), timedelta(days=20), timedelta(days=10), timedelta(days=10)))
+    assert ModelRunner(lambda: Foreign(Mean), ["var_1"], "var_1").run(p, plan).where("pred is not null").count() > 20
+
+
+def test_backtests_have_a_bound(spark):
+    p = simulated(spark, 2, 20, 1)
+    bars = p.on(p.df.selectExpr("asset", "time", "1.0 as open", "1.0 as high", "1.0 as low", "1.0 as close", "1.0 as volume"))
+    assert backtest.run(bars, {"n": backtest.NoTrades()}).count() == 20
+    with pytest.raises(ValueError, match="more than 30"):
+        backtest.run(bars, {"n": backtest.NoTrades()}, max_bars=30)
