@@ -143,7 +143,7 @@ def market_csv(spark: SparkSession, config: SourceConfig) -> DataFrame:
     out = None
     for _, files in sorted(by_header.items()):
         df = lowered(spark.read.options(header=True, mode="PERMISSIVE", ignoreCorruptFiles=True, enforceSchema=False).csv(files))
-        df = df.withColumn("identifier", F.regexp_extract(F.col("_metadata.file_name"), r"(.+)\.csv$", 1))
+        df = df.withColumn("identifier", F.regexp_extract(F.url_decode(F.replace(F.col("_metadata.file_name"), F.lit("+"), F.lit("%2B"))), r"(.+)\.csv$", 1))
         df = df.withColumnRenamed("datetime", "date") if "date" not in df.columns and "datetime" in df.columns else df
         out = df if out is None else out.unionByName(df, allowMissingColumns=True)
     if out is None:

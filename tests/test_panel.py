@@ -365,13 +365,13 @@ def test_calendar_functions_in_segments(spark):
 def test_csv_files_are_read_by_their_own_headers(spark, tmp_path):
     (tmp_path / "A.csv").write_text("date,open,close\n2020-01-01,1,2\n")
     (tmp_path / "B.csv").write_text("date,Close,Open,volume\n2020-01-01,20,10,5\n")
-    (tmp_path / "C 1.csv").write_text("datetime,open\n2020-01-01,100\n2020-01-02,no number\n")
+    (tmp_path / "C+ 1.csv").write_text("datetime,open\n2020-01-01,100\n2020-01-02,no number\n")
     (tmp_path / "D.csv").write_text("")
     from panelith.sources.readers import SourceConfig, market_csv
 
     config = SourceConfig("crypto", "x", str(tmp_path))
     got = sorted((r.identifier, str(r.date)[:10], r.open, r.close, r.volume) for r in market_csv(spark, config).collect())
-    assert got == [("A", "2020-01-01", 1.0, 2.0, None), ("B", "2020-01-01", 10.0, 20.0, 5.0), ("C 1", "2020-01-01", 100.0, None, None), ("C 1", "2020-01-02", None, None, None)]
+    assert got == [("A", "2020-01-01", 1.0, 2.0, None), ("B", "2020-01-01", 10.0, 20.0, 5.0), ("C+ 1", "2020-01-01", 100.0, None, None), ("C+ 1", "2020-01-02", None, None, None)]
     few = market_csv(spark, SourceConfig("crypto", "x", str(tmp_path), symbols=["B"], columns=["close"]))
     assert few.columns == ["date", "identifier", "close"] and [r.close for r in few.collect()] == [20.0]
 
@@ -398,10 +398,11 @@ def test_changed_inputs_and_formulas_are_no_hits(spark, spec, tmp_path):
     cache = Cache(spark, str(tmp_path / "cache"))
     first = PipelineExecutor(spark, cache=cache).execute(spec)
     changed = FormulaManager()
-    changed.formulas["rsi"] = {**changed.formulas["rsi"], "formula": "rsi_of_another_kind($price)"[:0] + "gain($price, 1)"}
+    changed.formulas["rsi"] = {**changed.formulas["rsi"], "formula": "gain($price, 1)"}
     other = PipelineExecutor(spark, cache=cache, formulas=changed).execute(spec)
     assert other.keys["data:prices"] == first.keys["data:prices"] and other.keys["features:first"] != first.keys["features:first"]
-    spark.createDataFrame([("AAA", datetime(2020, 5, 1).date(), 1.0, 1.0)], "sym string, date date, close double, volume double").write.mode("append").parquet(str(tmp_path / "bars.parquet"))
+    one = spark.read.parquet(str(tmp_path / "bars.parquet")).where("sym = 'AAA'").limit(1).withColumn("date", F.lit(datetime(2020, 5, 1).date()))
+    spark.createDataFrame(one.collect(), one.schema).write.mode("append").parquet(str(tmp_path / "bars.parquet"))
     third = PipelineExecutor(spark, cache=cache).execute(spec)
     assert third.keys["data:prices"] != first.keys["data:prices"] and third.sources["prices"].df.count() == first.sources["prices"].df.count() + 1
 
