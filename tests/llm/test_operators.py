@@ -637,7 +637,7 @@ def test_records_are_read_in_splits(spark, tmp_path):
     df, folder = spark.createDataFrame(rows, "doc_id long, text string"), str(tmp_path / "rec")
     index = records.write_records(df, folder, WORD, 2, file_bytes=3 << 20)
     shards = {x["shard"] for x in index.collect()}
-    assert 1 < len(shards) < 20 and max(p.stat().st_size for p in (tmp_path / "rec" / "records").glob("part*")) > 2 * records.BLOCK_BYTES
+    assert 1 < len(shards) < 20 and max(p.stat().st_size for p in (tmp_path / "rec" / "records").glob("part*")) > 1.5 * records.BLOCK_BYTES
     spark.conf.set("spark.sql.files.maxPartitionBytes", 100_003)
     try:
         got = records.with_starts(records.read_records(spark, folder), index).orderBy("start").collect()
