@@ -13,9 +13,13 @@ and its tiles of bounded size.  Pairs are checked by sketches of their sets firs
 the sets themselves, so no pair below 0.8 is ever linked.
 
 Large groups: a tile first gives a forest of its candidates, closest first.  The links that hold
-make groups, and a second look gives all candidates that are not in one group yet and that their
-sketches, which are dealt out with the nodes this time, do not rule out: so n near copies cost
-about n rows, and texts that are alike by less than about 0.77 are compared but give none.
+make groups, and further looks give all candidates that are not in one group yet and that their
+sketches, which are dealt out with the nodes from then on, do not rule out: texts that are alike by
+less than about 0.77 are compared but give none.  A tile with more such candidates than rows gives
+a share of them, by a hash of the pair; the links that hold join groups before it is looked at again
+for the next share, 16 times as large, until all have been given.  A random share of the links
+leaves few of the others between groups, so n near copies cost some multiple of n rows.  Candidates
+that are not alike after all are each checked once, unless their groups meet first.
 
 Texts are never shuffled to be checked: the nodes that are asked for are marked in a bit table of
 bounded size (``TABLE_BITS``), which is broadcast; the rows that hit it give their sets.  Where the
@@ -55,8 +59,11 @@ SHINGLE, REACH, REACH_BOTH, SIMILAR = 5, 20, 35, (4, 5)
 SLOTS = 1024
 #: Bits of the table of rows that are asked for, at most (16 MB).
 TABLE_BITS = 1 << 27
-#: Candidates that a tile holds before it thins them to a forest.
+#: Candidates that a tile holds before it thins them to a forest, or to a smaller share.
 HELD = 1 << 21
+#: Shares of a tile's candidates are counted in 1 / PARTS; each look takes STEP times what was taken
+#: before; a tile of fewer than LEAST_GIVEN candidates gives all at once.
+PARTS, STEP, LEAST_GIVEN = 1 << 30, 16, 4096
 
 
 def shingle_set(text: str) -> np.ndarray:
@@ -112,9 +119,37 @@ def nearest_forest(n: int, i: np.ndarray, j: np.ndarray, d: np.ndarray) -> np.nd
     return np.array(kept, np.int64)
 
 
-def tile_pairs(f1: np.ndarray, f2: np.ndarray, size: np.ndarray, root: np.ndarray, side: np.ndarray, reach: int, both: int, forest: bool, sketches: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+def part_of(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Which of PARTS the pairs of nodes are in, whatever their order."""
+    return (mix((a ^ b).view(np.uint64)) >> np.uint64(34)).astype(np.int64)
+
+
+def tile_share(node: np.ndarray, low: int, given: int, *tile) -> tuple[np.ndarray, np.ndarray, int]:
+    """``tile_pairs`` without a forest, of the parts from ``low`` to below the returned number, which
+    is PARTS when nothing is left.  About ``given`` pairs, or STEP times what was given before; at
+    most HELD and some."""
+    high, floor = [PARTS], min(PARTS, max(1, STEP * low))
+
+    def inside(i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        p = part_of(node[i], node[j])
+        return (p >= low) & (p < high[0])
+
+    def fewer(held: int) -> bool:
+        if held > given and high[0] > floor:
+            high[0] = max(floor, low + (high[0] - low) // STEP)
+        elif held > HELD and high[0] > low + 1:
+            high[0] = low + (high[0] - low) // 2
+        else:
+            return False
+        return True
+
+    i, j = tile_pairs(*tile, share=(inside, fewer))
+    return i, j, high[0]
+
+
+def tile_pairs(f1: np.ndarray, f2: np.ndarray, size: np.ndarray, root: np.ndarray, side: np.ndarray, reach: int, both: int, forest: bool, sketches: np.ndarray | None = None, share: tuple | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Candidates (positions) of different roots among rows of side 0, or between sides 0 and 1 if
-    there are any of side 1: all, or a forest."""
+    there are any of side 1: all, a forest, or a share (see ``tile_share``)."""
     by_size = np.argsort(size, kind="stable")
     mine, guests = by_size[~side[by_size]], by_size[side[by_size]]
     others, alone = (guests, False) if len(guests) else (mine, True)
@@ -146,6 +181,9 @@ def tile_pairs(f1: np.ndarray, f2: np.ndarray, size: np.ndarray, root: np.ndarra
             ok = (d <= both) & (root[i] != root[j])
             ok &= SIMILAR[0] * np.maximum(size[i], size[j]) <= SIMILAR[1] * np.minimum(size[i], size[j])
             i, j, d = i[ok], j[ok], d[ok]
+            if share:
+                ok = share[0](i, j)
+                i, j, d = i[ok], j[ok], d[ok]
             if sketches is not None:
                 cuts = range(0, len(i), 16_384)
                 may = [may_be_similar(sketches[i[k : k + 16_384]], sketches[j[k : k + 16_384]], size[i[k : k + 16_384]], size[j[k : k + 16_384]]) for k in cuts]
@@ -157,15 +195,20 @@ def tile_pairs(f1: np.ndarray, f2: np.ndarray, size: np.ndarray, root: np.ndarra
             if forest and held > HELD:
                 thin()
                 held = len(found[0][0])
+            while share and share[1](held):
+                found[:] = [tuple(v[ok] for v in (x, y, z)) for x, y, z in found for ok in [share[0](x, y)]]
+                held = sum(len(x[0]) for x in found)
     if not found:
         return np.empty(0, np.int64), np.empty(0, np.int64)
     thin()
     return found[0][:2]
 
 
-def candidates(nodes: DataFrame, forest: bool, reach: int = REACH, both: int = REACH_BOTH, leaf: int | None = None, tile: int = TILE) -> DataFrame:
-    """(a, b) of nodes (node, f1, f2, size, root and perhaps sketch) that may be similar and have
-    other roots."""
+def candidates(nodes: DataFrame, forest: bool, reach: int = REACH, both: int = REACH_BOTH, leaf: int | None = None, tile: int = TILE, rest: DataFrame | None = None, least: int = LEAST_GIVEN) -> DataFrame:
+    """(a, b, upto = 0) of nodes (node, f1, f2, size, root and perhaps sketch) that may be similar
+    and have other roots.  Without a forest also a row (a, b, upto, leaf) for each tile (leaf, i = a,
+    j = b) that has given its parts below ``upto`` only: these rows, for the same nodes, are the next
+    call's ``rest``, which goes on with those tiles."""
     n, more = nodes.count(), ["sketch"] if "sketch" in nodes.columns else []
     leaf = leaf or min(MOST_LEAF, max(LEAST_LEAF, n // 4))
     rows = nodes.orderBy(F.xxhash64("node", F.lit(11))).limit(SAMPLE).select("f1").toPandas()["f1"].to_numpy(np.int64).view(np.uint64)
@@ -187,12 +230,26 @@ def candidates(nodes: DataFrame, forest: bool, reach: int = REACH, both: int = R
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         cols = {k: pdf[k].to_numpy(np.int64) for k in ("node", "f1", "f2", "size", "root")}
-        i, j = tile_pairs(cols["f1"].view(np.uint64), cols["f2"].view(np.uint64), cols["size"], cols["root"], pdf["side"].to_numpy(bool), reach, both, forest, np.frombuffer(b"".join(pdf["sketch"]), np.uint8).reshape(-1, SLOTS // 2) if more else None)
-        return pd.DataFrame({"a": cols["node"][i], "b": cols["node"][j]})
+        what = cols["f1"].view(np.uint64), cols["f2"].view(np.uint64), cols["size"], cols["root"], pdf["side"].to_numpy(bool), reach, both, forest, np.frombuffer(b"".join(pdf["sketch"]), np.uint8).reshape(-1, SLOTS // 2) if more else None
+        if forest:
+            i, j = tile_pairs(*what)
+            high = PARTS
+        else:
+            i, j, high = tile_share(cols["node"], int(pdf["low"].iloc[0]), max(least, len(pdf)), *what)
+        a, b, zero = cols["node"][i], cols["node"][j], np.zeros(len(i), np.int64)
+        out = pd.DataFrame({"a": a, "b": b, "upto": zero, "leaf": zero})
+        if high < PARTS:
+            out.loc[len(out)] = [int(pdf[k].iloc[0]) for k in ("i", "j")] + [high, int(pdf["leaf"].iloc[0])]
+        return out
 
     slim = nodes.select("node", "f1", "f2", "size", "root", *more)
     out = slim.mapInArrow(spread, "node long, f1 long, f2 long, size int, root long, " + "sketch binary, " * len(more) + "leaf long, home boolean")
-    return tiles(out, "node", tile).groupBy("leaf", "i", "j").applyInPandas(run, "a long, b long")
+    dealt = tiles(out, "node", tile)
+    if rest is None:
+        dealt = dealt.withColumn("low", F.lit(0).cast("long"))
+    else:
+        dealt = dealt.join(F.broadcast(rest.selectExpr("leaf", "cast(a as int) as i", "cast(b as int) as j", "upto as low")), ["leaf", "i", "j"])
+    return dealt.groupBy("leaf", "i", "j").applyInPandas(run, "a long, b long, upto long, leaf long")
 
 
 # ---- texts ---------------------------------------------------------------------------------------
@@ -267,8 +324,9 @@ def shingle_sets(texts: DataFrame, asked: DataFrame) -> DataFrame:
     return arrow_map(texts.select("key", "text"), make, "node long, size int, sketch binary, hashes binary")
 
 
-def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose sets (node, size, sketch, hashes) are similar."""
+def verified(pairs: DataFrame, sets: DataFrame, sketched: bool = False) -> DataFrame:
+    """The pairs (a, b) whose sets (node, size, sketch, hashes) are similar; ``sketched``: their
+    sketches have been compared already."""
 
     def may():
         def run(b: pa.RecordBatch) -> pa.RecordBatch:
@@ -286,8 +344,9 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
         return run
 
-    one, two = sets.selectExpr("node as a", "size as m", "sketch as x"), sets.selectExpr("node as b", "size as n", "sketch as y")
-    pairs = stored(arrow_map(pairs.join(one, "a").join(two, "b").select("a", "b", "m", "n", "x", "y"), may, "a long, b long"), "may-be")
+    if not sketched:
+        one, two = sets.selectExpr("node as a", "size as m", "sketch as x"), sets.selectExpr("node as b", "size as n", "sketch as y")
+        pairs = stored(arrow_map(pairs.join(one, "a").join(two, "b").select("a", "b", "m", "n", "x", "y"), may, "a long, b long"), "may-be")
     one, two = sets.selectExpr("node as a", "hashes as x"), sets.selectExpr("node as b", "hashes as y")
     return stored(arrow_map(pairs.join(one, "a").join(two, "b").select("a", "b", "x", "y"), check, "a long, b long"), "similar")
 
@@ -318,7 +377,7 @@ def earlier_texts(own: DataFrame, others: DataFrame) -> tuple[DataFrame, DataFra
     return stored(arrow_map(met, make, kinds).drop("lines", "all"), "derived"), theirs.select("key", "text")
 
 
-def keep_one(docs: DataFrame, reach: int = REACH, both: int = REACH_BOTH, id_col: str = "doc_id", text_col: str = "text", leaf: int | None = None, tile: int = TILE, others: DataFrame | None = None) -> DataFrame:
+def keep_one(docs: DataFrame, reach: int = REACH, both: int = REACH_BOTH, id_col: str = "doc_id", text_col: str = "text", leaf: int | None = None, tile: int = TILE, others: DataFrame | None = None, least: int = LEAST_GIVEN) -> DataFrame:
     """docs, with its columns, without all but one document of each group of near copies.
 
     The document with the smallest id stays; of rows with that id, or of a group without ids, the
@@ -338,7 +397,7 @@ def keep_one(docs: DataFrame, reach: int = REACH, both: int = REACH_BOTH, id_col
         joints = earlier.select("id", "th", F.col("node").alias("b")).join(mine, ["id", "th"]).select("a", "b")
     nodes = stored(slim.groupBy("node").agg(*[F.min(c).alias(c) for c in ("f1", "f2", "size", "at")]).withColumn("root", F.col("node")), "nodes")
 
-    first = stored(candidates(nodes, True, reach, both, leaf, tile), "closest")
+    first = stored(candidates(nodes, True, reach, both, leaf, tile).select("a", "b"), "closest")
     asked = stored(first.selectExpr("a as node").unionByName(first.selectExpr("b as node")).distinct(), "asked")
     # every node that has a candidate at all is in the forest, so nothing else is asked for later
     near = stored(nodes.join(asked, "node"), "near")
@@ -346,9 +405,14 @@ def keep_one(docs: DataFrame, reach: int = REACH, both: int = REACH_BOTH, id_col
     sets = found[0] if len(found) == 1 else found[0].unionByName(found[1])
     sets = stored(sets.join(asked, "node", "left_semi").dropDuplicates(["node"]), "sets")
     links = verified(first, sets)
-    roots = stored(components(links), "groups")
-    grouped = near.drop("root").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")).join(sets.select("node", "sketch"), "node")
-    links = links.unionByName(verified(stored(candidates(stored(grouped, "grouped"), False, reach, both, leaf, tile), "others"), sets))
+    rest, over = None, False
+    while not over:  # a tile's share grows with each look, so there are few
+        roots = stored(components(links), "groups")
+        grouped = near.drop("root").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")).join(sets.select("node", "sketch"), "node")
+        found = stored(candidates(stored(grouped, "grouped"), False, reach, both, leaf, tile, rest, least), "others")
+        links = links.unionByName(verified(found.where("upto = 0").select("a", "b"), sets, sketched=True))
+        rest = found.where("upto > 0")
+        over = rest.isEmpty()
     if joints is not None:
         links = links.unionByName(joints)
     roots = stored(components(links), "groups")

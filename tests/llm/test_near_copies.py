@@ -137,3 +137,43 @@ def test_no_task_grows_with_its_leaf(spark):
         pairs = [(x, y) for x in a for y in (b if len(b) else a) if x != y]
         met |= {(leaf, min(p), max(p)) for p in pairs}
     assert met == {(leaf, x, y) for leaf in (1, 2) for x in range(300 * leaf) for y in range(x + 1, 300 * leaf) if x % 3 or y % 3}
+
+
+def cloud(n=300, words=400, seed=3):
+    """Texts that are alike by about 0.78: some pairs are linked, most are not."""
+    r = random.Random(seed)
+    base = [f"w{k}" for k in range(words)]
+    return [(k, " ".join(f"x{r.random()}" if r.random() < 0.013 else w for w in base)) for k in range(n)]
+
+
+def test_shares_of_a_tile_give_every_pair_once(monkeypatch):
+    """However many candidates are not in one group: a look gives about ``given`` pairs, then STEP
+    times what was given, and all of them in the end."""
+    sets = [near_copies.shingle_set(t) for _, t in cloud()]
+    f1, f2 = (np.array(x, np.uint64) for x in zip(*map(near_copies.fingerprints_of, sets)))
+    size, n = np.array([len(s) for s in sets], np.int64), len(sets)
+    node = np.array([near_copies.name_of(s) for s in sets], np.int64)
+    sketches = np.array([np.frombuffer(near_copies.sketch(s), np.uint8) for s in sets])
+    tile = f1, f2, size, np.arange(n), np.zeros(n, bool), near_copies.REACH, near_copies.REACH_BOTH, False, sketches
+    want = set(zip(*(x.tolist() for x in near_copies.tile_pairs(*tile))))
+    assert len(want) > 20 * n
+    for held, looks in ((near_copies.HELD, 6), (2 * n, 200)):
+        monkeypatch.setattr(near_copies, "HELD", held)
+        low, met, most = 0, [], []
+        while low < near_copies.PARTS:
+            i, j, low = near_copies.tile_share(node, low, n, *tile)
+            met += zip(i.tolist(), j.tolist())
+            most.append(len(i))
+        assert len(met) == len(set(met)) and set(met) == want
+        assert 2 <= len(most) <= looks and most[0] <= n and max(most) <= max(held, n)
+
+
+def test_groups_meet_over_several_looks(spark, monkeypatch):
+    """Few pairs of a cloud are given at a time, and the groups are those of brute force."""
+    rows = cloud(120) + [(1000 + i, t) for i, t in copies() if i >= 1000]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    given, whole = [], near_copies.verified
+    monkeypatch.setattr(near_copies, "verified", lambda pairs, *a, **b: given.append(pairs.count()) or whole(pairs, *a, **b))
+    got = near_copies.keep_one(df, least=16)
+    assert {r.doc_id for r in got.collect()} == plain_stay(rows)
+    assert len(given) > 2
