@@ -2,7 +2,7 @@
 
 Linear models come from sums of products, which Spark adds up by segment in one aggregation; the
 small systems are solved where each segment's sums lie.  Other models are adapters that are fitted
-on a segment's rows in one group.
+on a segment's rows in one task, which holds the numbers of one segment at a time.
 """
 
 from __future__ import annotations
@@ -13,6 +13,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -106,6 +107,10 @@ class Logistic(ModelAdapter):
         return 1 / (1 + np.exp(-np.clip(x @ self.coef[1:] + self.coef[0], -30, 30)))
 
 
+#: Cuts of a tree's node that are weighed at once.
+CUTS = 1 << 16
+
+
 @dataclass
 class Tree(ModelAdapter):
     """A regression tree by least squares; ``trees`` over 1: boosted with ``rate``."""
@@ -131,13 +136,15 @@ class Tree(ModelAdapter):
             for j in range(x.shape[1]):
                 order = np.argsort(x[:, j], kind="stable")
                 v, cw, cy = x[order, j], np.cumsum(w[order]), np.cumsum((w * y)[order])
-                cut = np.arange(self.min_leaf, len(y) - self.min_leaf + 1)
-                cut = cut[v[cut - 1] < v[cut]] if len(cut) else cut
-                if len(cut):
-                    gain = cy[cut - 1] ** 2 / cw[cut - 1] + (cy[-1] - cy[cut - 1]) ** 2 / (cw[-1] - cw[cut - 1])
-                    k = int(np.argmax(gain))
-                    if best is None or gain[k] > best[0]:
-                        best = (gain[k], j, (v[cut[k] - 1] + v[cut[k]]) / 2)
+                # blocks of cuts, so that what is made of them is small beside the rows
+                for at in range(self.min_leaf, len(y) - self.min_leaf + 1, CUTS):
+                    cut = np.arange(at, min(at + CUTS, len(y) - self.min_leaf + 1))
+                    cut = cut[v[cut - 1] < v[cut]]
+                    if len(cut):
+                        gain = cy[cut - 1] ** 2 / cw[cut - 1] + (cy[-1] - cy[cut - 1]) ** 2 / (cw[-1] - cw[cut - 1])
+                        k = int(np.argmax(gain))
+                        if best is None or gain[k] > best[0]:
+                            best = (gain[k], j, (v[cut[k] - 1] + v[cut[k]]) / 2)
         if best is None or best[0] <= np.sum(w * y) ** 2 / w.sum() + 1e-12:
             return value
         _, j, at = best
@@ -354,24 +361,51 @@ class ModelRunner:
 
     def _grouped(self, panel: Panel, plan: SegmentPlan) -> DataFrame:
         make = (lambda: create_model(self.model, self.params)) if isinstance(self.model, str) else self.model
-        features, output, weight, asset, time, label = self.features, self.output, self.weight, panel.asset, panel.time, self.label
+        output, asset, time, k, label, weight = self.output, panel.asset, panel.time, len(self.features), bool(self.label), bool(self.weight)
         keys = {f.name: f.dataType.simpleString() for f in panel.df.schema.fields}
-
-        def run(pdf: pd.DataFrame) -> pd.DataFrame:
-            train, infer = pdf[pdf["__train"]], pdf[~pdf["__train"]]
-            out = infer[["segment", asset, time]].copy()
-            out[output] = np.nan
-            if len(train) and len(infer):
+        numbers = [f"__x{i}" for i in range(k)] + ["__y", "__w"][: 1 + weight]
+
+        def table(b: pa.RecordBatch, n: int) -> np.ndarray:
+            return np.column_stack([b.column(b.schema.get_field_index(c)).to_numpy(zero_copy_only=False) for c in numbers[:n]])
+
+        def predicted(train: list[np.ndarray], infer: list[pa.RecordBatch]):
+            if not infer:
+                return
+            values = np.full(sum(b.num_rows for b in infer), np.nan)
+            if train:
+                rows = np.concatenate(train)
+                train.clear()
                 model = make()
-                model.fit(train[features].to_numpy(float), train["__y"].to_numpy(float) if label else None, train[weight].to_numpy(float) if weight else None)
-                out[output] = model.predict(infer[features].to_numpy(float))
-            return out
+                model.fit(rows[:, :k], rows[:, k] if label else None, rows[:, k + 1] if weight else None)
+                values[:] = model.predict(np.concatenate([table(b, k) for b in infer]))
+            at = 0
+            for b in infer:
+                yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(values[at : at + b.num_rows], pa.float64())], names=["segment", asset, time, output])
+                at += b.num_rows
 
-        used = list(dict.fromkeys(["segment", asset, time, *features, *([weight] if weight else [])]))
-        train = self._rows(panel, plan, "train").select(*used, F.col("__y") if label else F.lit(None).cast("double").alias("__y"), F.lit(True).alias("__train"))
-        infer = self._rows(panel, plan, "infer").select(*used, F.lit(None).cast("double").alias("__y"), F.lit(False).alias("__train"))
+        def run(batches):
+            """Rows by segment, training rows first."""
+            segment, train, infer = None, [], []
+            for b in batches:
+                own, part = (b.column(b.schema.get_field_index(c)).to_numpy(zero_copy_only=False) for c in ("segment", "__infer"))
+                ends = [*(np.flatnonzero((own[1:] != own[:-1]) | (part[1:] != part[:-1])) + 1).tolist(), b.num_rows]
+                for a, z in zip([0, *ends], ends):
+                    if z > a and own[a] != segment:
+                        yield from predicted(train, infer)
+                        segment, train, infer = own[a], [], []
+                    if z > a and part[a]:
+                        infer.append(b.slice(a, z - a))
+                    elif z > a:
+                        train.append(table(b.slice(a, z - a), len(numbers)))
+            yield from predicted(train, infer)
+
+        number = lambda c: F.col(c).cast("double")
+        x = [number(c).alias(n) for c, n in zip(self.features, numbers)] + ([number(self.weight).alias("__w")] if weight else [])
+        none = F.lit(None).cast("double")
+        train = self._rows(panel, plan, "train").select("segment", *[F.lit(None).cast(keys[c]).alias(c) for c in (asset, time)], *x, number("__y").alias("__y") if label else none.alias("__y"), F.lit(False).alias("__infer"))
+        infer = self._rows(panel, plan, "infer").select("segment", asset, time, *x, none.alias("__y"), F.lit(True).alias("__infer"))
         schema = f"segment int, `{asset}` {keys[asset]}, `{time}` {keys[time]}, `{output}` double"
-        got = train.unionByName(infer).groupBy("segment").applyInPandas(run, schema)
+        got = train.unionByName(infer).repartition("segment").sortWithinPartitions("segment", "__infer").mapInArrow(run, schema)
         return got.withColumn(output, F.when(~F.isnan(output), F.col(output)))
 
 

@@ -463,6 +463,30 @@ def test_foreign_estimators(spark):
     assert ModelRunner(lambda: Foreign(Mean), ["var_1"], "var_1").run(p, plan).where("pred is not null").count() > 20
 
 
+@pytest.mark.parametrize("weight", [None, "w"])
+def test_segments_are_no_python_groups(spark, weight):
+    """The adapter's tree, ties and weights too, from rows that come by batches and not as one group."""
+    r = np.random.default_rng(4)
+    start = datetime(2020, 1, 1)
+    rows = [(k, start + timedelta(days=d), *map(float, r.integers(0, 9, 3)), float(r.integers(1, 4)) if r.random() > 0.1 else None, float(r.integers(0, 5))) for k in range(6) for d in range(80)]
+    p = Panel(spark.createDataFrame(rows, "f long, time timestamp_ntz, a double, b double, c double, y double, w double").withColumn("w", F.col("w") + 1), "f", "time")
+    plan = make_plan(SegmentConfig(start, start + timedelta(days=79), timedelta(days=20), timedelta(days=20), timedelta(days=15)))
+    for depth, leaf in ((0, 5), (2, 5), (4, 3)):
+        params = {"max_depth": depth, "min_leaf": leaf}
+        got = ModelRunner("DecisionTreeRegressor", ["a", "b", "c"], "y", params, weight=weight).segments(p, plan)
+        assert "FlatMapGroups" not in got._jdf.queryExecution().toString()
+        want, inside = {}, lambda t, a, z: [x for x in rows if a <= x[1] <= z]
+        for i, s in enumerate(plan):
+            train, infer = [x for x in inside(rows, s.train_start, s.train_end) if x[5] is not None], inside(rows, s.infer_start, s.infer_end)
+            tree = create_model("DecisionTreeRegressor", params)
+            tree.fit(np.array([x[2:5] for x in train]), np.array([x[5] for x in train]), np.array([x[6] + 1 for x in train]) if weight else None)
+            want |= {(i, *x[:2]): v for x, v in zip(infer, tree.predict(np.array([x[2:5] for x in infer])).tolist())} if infer else {}
+        got = {(x.segment, x.f, x.time): x.pred for x in got.collect()}
+        assert len(want) > 300 and got.keys() == want.keys() and all(abs(got[x] - want[x]) < 1e-12 for x in want)
+    hollow = p.on(p.df.withColumn("y", F.when(F.col("time") > start + timedelta(days=40), F.col("y"))))
+    assert 0 < ModelRunner("DecisionTreeRegressor", ["a"], "y", {"max_depth": 2}).segments(hollow, plan).where("pred is null").count()
+
+
 def test_backtests_have_a_bound(spark):
     p = simulated(spark, 2, 20, 1)
     bars = p.on(p.df.selectExpr("asset", "time", "1.0 as open", "1.0 as high", "1.0 as low", "1.0 as close", "1.0 as volume"))
