@@ -148,6 +148,7 @@ class Tree(ModelAdapter):
         if best is None or best[0] <= np.sum(w * y) ** 2 / w.sum() + 1e-12:
             return value
         _, j, at = best
+        order = v = cw = cy = cut = gain = None  # not held while the sides grow
         left = x[:, j] <= at
         return (j, at, self._grow(x[left], y[left], w[left], depth - 1), self._grow(x[~left], y[~left], w[~left], depth - 1))
 
